@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sparkquarry.llm import exact_dedup, minhash_dedup
+from sparkquarry.llm import exact_dedup, line_dedup, minhash_dedup, source_mix
 
 MODULES = {
     "op1_minhash_dedup": minhash_dedup,
+    "op5_line_dedup": line_dedup,
     "op8_exact_dedup": exact_dedup,
+    "op10_source_mix": source_mix,
 }
 
 
