@@ -142,3 +142,43 @@ def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType | None = No
     """A list column: the values dealt out in runs of counts."""
     offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+_CORE = np.zeros(256, dtype=bool)
+_CORE[[*range(48, 58), *range(97, 123), *range(65, 91), *range(128, 256)]] = True
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[48:58] = True
+
+
+class Cores(Words):
+    """Words without the ASCII punctuation at their ends; words of punctuation alone are left out.
+
+    ``capital`` marks a first letter in upper case (ASCII or Latin-1), ``opens`` a word at the start of a
+    text or line or after . ! ? or :, ``number`` a word of digits, points and commas only.
+    """
+
+    def __init__(self, texts: pa.Array) -> None:
+        super().__init__(texts, lower=False)
+        size = len(self.data)
+        core = _CORE[self.data]
+        at = np.arange(size + 1)
+        after = np.minimum.accumulate(np.where(np.append(core, True), at, size)[::-1])[::-1]
+        before = np.maximum.accumulate(np.where(np.append(core, False), at, -1))
+        start, end = after[self.start], before[np.maximum(self.end - 1, 0)] + 1
+        full = start < self.end
+        last = self.data[np.maximum(self.end - 1, 0)]
+        newline = np.concatenate(([0], np.cumsum(self.data == 10)))
+        opens = np.ones(len(start), dtype=bool)
+        if len(start) > 1:
+            stop = np.isin(last[:-1], np.frombuffer(b".!?:", np.uint8))
+            opens[1:] = stop | (newline[self.start[1:]] > newline[self.start[:-1]])
+        self.opens, self.start, self.end, self.text = opens[full], start[full], end[full], self.text[full]
+        head = self.data[self.start] if len(self.start) else np.zeros(0, np.uint8)
+        second = self.data[np.minimum(self.start + 1, size - 1)] if len(self.start) else head
+        self.capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+        digits = np.concatenate(([0], np.cumsum(_DIGIT[self.data])))
+        letters = np.concatenate(([0], np.cumsum(core & ~_DIGIT[self.data])))
+        self.number = (digits[self.end] > digits[self.start]) & (letters[self.end] == letters[self.start])
+        self.data = _LOWER[self.data]
+        self.n = np.bincount(self.text, minlength=len(self.n))
+        self.first = np.concatenate(([0], np.cumsum(self.n)))
