@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sparkquarry.llm import decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, source_mix
+from sparkquarry.llm import decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, source_mix, toxicity
 
 MODULES = {
     "op1_minhash_dedup": minhash_dedup,
     "op4_language_id": language_id,
     "op5_line_dedup": line_dedup,
+    "op6_toxicity": toxicity,
     "op7_decontaminate": decontaminate,
     "op8_exact_dedup": exact_dedup,
     "op10_source_mix": source_mix,
