@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sparkquarry.llm import decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, minhash_dedup, source_mix, toxicity
+from sparkquarry.llm import decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, minhash_dedup, source_mix, substring_dedup, toxicity
 
 MODULES = {
     "op1_minhash_dedup": minhash_dedup,
@@ -17,6 +17,7 @@ MODULES = {
     "op6_toxicity": toxicity,
     "op7_decontaminate": decontaminate,
     "op8_exact_dedup": exact_dedup,
+    "op9_substring_dedup": substring_dedup,
     "op10_source_mix": source_mix,
 }
 
