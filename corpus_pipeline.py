@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkquarry.llm import exact_dedup, minhash_dedup
+from sparkquarry.llm import decontaminate, exact_dedup, language_id, minhash_dedup, source_mix
 from sparkquarry.llm.tables import cut, load
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language isn't identified with a score of 0.5 go."""
+    return language_id.keep_identified(docs)
+
+
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
     return exact_dedup.drop_duplicates(docs)
@@ -18,9 +24,25 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash_dedup.drop_near_duplicates(docs)
 
 
-STAGES = [("exact_dedup", dedup_exact), ("near_dedup", dedup_near)]
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, and taken, the words that the mix takes of it."""
+    return source_mix.mix(docs).withColumn("taken", F.col("size") * F.col("plays"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", dedup_exact),
+    ("near_dedup", dedup_near),
+    ("decontaminate", remove_benchmark),
+    ("source_mix", mix_sources),
+]
 
-#: The learned language model and the sketches have no SQL form.
+#: The learned language model and the sketches have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sparkquarry.llm import decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, minhash_dedup, source_mix, substring_dedup, toxicity
+from sparkquarry.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, minhash_dedup, source_mix, substring_dedup, toxicity
 
 MODULES = {
     "op1_minhash_dedup": minhash_dedup,
     "op2_lm_scoring": lm_scoring,
+    "op3_chat_format": chat_format,
     "op4_language_id": language_id,
     "op5_line_dedup": line_dedup,
     "op6_toxicity": toxicity,
