@@ -6,10 +6,11 @@ into bin ``i``, so every coordinate fills.  A text leaves as soon as its bins ar
 one or two rounds.  25 bands of 5 coordinates miss a pair at similarity 0.85 with probability 4e-7.
 
 Texts with the same shingle set (128-bit set hash and size) are one class from the start.  In a band
-bucket classes are never all paired: they are compared with the bucket's smallest class, and what a
-verified link already joins isn't compared again.  Only where a bucket still holds different components
-does the next leader follow, and after LEADERS rounds the remaining pairs across components, so no
-link is lost and a bucket of one group costs its length.  Links are confirmed on full sets of 48-bit
+bucket all classes are compared with the bucket's smallest one, which settles most groups in as many
+comparisons as they have members.  Where a bucket still holds several components, the pairs across
+components are compared inside block pairs of bounded size: counts of common shingles are one matrix
+product, a pair is looked at in its first common bucket only, and nothing but confirmed links leaves the
+task, so no link is lost and no pair list is ever written.  Links are confirmed on full sets of 48-bit
 shingle hashes.
 
 Defined results: null or wordless texts have an empty set and stand alone; rows that repeat an id are
@@ -30,7 +31,7 @@ from sparkquarry.llm.components import components
 from sparkquarry.llm.tables import by_slice, cut, load
 
 BANDS, ROWS = 25, 5
-LEADERS = 3
+BLOCK = 192
 BROADCAST_IDS = 2_000_000
 
 
@@ -138,6 +139,82 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     return cut(both.select("a", "b", "items_a", "items_b").mapInArrow(_confirmed(percent), "a long, b long"))
 
 
+def _across(percent: int):
+    """Links between the two blocks of each (key, low_block, high_block), rows in that order."""
+
+    def links(key: int, first: list, second: list) -> list[tuple[int, int]]:
+        (node_a, label_a, bands_a, items_a), (node_b, label_b, bands_b, items_b) = first, second
+        size_a, size_b = (np.array([len(x) for x in items]) for items in (items_a, items_b))
+        open_ = (label_a[:, None] != label_b[None, :]) & (100 * np.minimum(size_a[:, None], size_b) >= percent * np.maximum(size_a[:, None], size_b))
+        same = bands_a[:, None, :] == bands_b[None, :, :]
+        open_ &= np.take_along_axis(bands_a[:, None, :], same.argmax(axis=2)[:, :, None], axis=2)[:, :, 0] == key  # each pair in its first common bucket
+        use_a, use_b = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+        if not len(use_a):
+            return []
+        flat_a, flat_b = (np.concatenate([items[i] for i in use]) for items, use in ((items_a, use_a), (items_b, use_b)))
+        shared = np.intersect1d(flat_a, flat_b)
+        both = np.zeros((len(use_a), len(use_b)), dtype=np.float32)
+        for start in range(0, len(shared), 8192):
+            part = shared[start : start + 8192]
+            left, right = (np.zeros((len(use), len(part)), dtype=np.float32) for use in (use_a, use_b))
+            for out, flat, sizes in ((left, flat_a, size_a[use_a]), (right, flat_b, size_b[use_b])):
+                at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+                hit = part[at] == flat
+                out[np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]] = 1
+            both += left @ right.T
+        both = both.astype(np.int64)
+        linked = (100 * both >= percent * (size_a[use_a][:, None] + size_b[use_b][None, :] - both)) & open_[np.ix_(use_a, use_b)]
+        return [(int(node_a[use_a[i]]), int(node_b[use_b[j]])) for i, j in zip(*np.nonzero(linked), strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("node", "label", "bands", "items")
+
+        def done(at: tuple, rows: list[tuple]) -> pa.RecordBatch:
+            sides = []
+            for side in ([True, False] if at[1] != at[2] else [True]):
+                own = [r[1:] for r in rows if r[0] == side]
+                sides.append([np.array([r[0] for r in own]), np.array([r[1] for r in own]), np.array([r[2] for r in own]).reshape(-1, BANDS), [_unpacked(r[3]) for r in own]])
+            found = links(at[0], sides[0], sides[-1]) if all(len(x[0]) for x in sides) else []
+            return pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        at, rows = None, []
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("key", "low_block", "high_block")), strict=True)
+            for now, *row in zip(keys, *(batch.column(c).to_pylist() for c in ("is_low", *names)), strict=True):
+                if now != at:
+                    if rows:
+                        yield done(at, rows)
+                    at, rows = now, []
+                rows.append(tuple(row))
+        if rows:
+            yield done(at, rows)
+
+    return run
+
+
+def _verify_blocks(docs: DataFrame, rest: DataFrame, bands: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different labels in the buckets of rest(key, node, label, low).
+
+    A bucket's classes are dealt into blocks of about BLOCK: those of the label ``low``, the bulk of a
+    large group, meet only blocks of the others.  Two blocks are one unit of work of bounded size, and
+    only confirmed links leave it.
+    """
+    ids = cut(rest.select("node").distinct())
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = cut(_sets(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(some, "node", "left_semi"), k))
+    bulk = F.col("label") == F.col("low")
+    blocks = rest.groupBy("key").agg(*(F.ceil(F.count(F.when(x, 1)) / BLOCK).cast("int").alias(n) for x, n in ((~bulk, "others"), (bulk, "bulks"))))
+    dealt = rest.join(blocks, "key").withColumn("draw", F.xxhash64("node", "key"))
+    dealt = dealt.withColumn("block", F.when(bulk, F.col("others") + F.pmod("draw", F.col("bulks"))).otherwise(F.pmod("draw", F.col("others"))).cast("int"))
+    meets = F.sequence(F.lit(0), F.when(bulk, F.col("others")).otherwise(F.col("others") + F.col("bulks")) - 1)
+    dealt = dealt.select("key", "node", "label", "block", F.explode(meets).alias("other"))
+    dealt = dealt.select("key", "node", "label", F.least("block", "other").alias("low_block"), F.greatest("block", "other").alias("high_block"), (F.col("block") <= F.col("other")).alias("is_low"))
+    full = dealt.join(bands.join(sets, "node"), "node")
+    full = full.repartition("key", "low_block", "high_block").sortWithinPartitions("key", "low_block", "high_block")
+    full = full.select("key", "low_block", "high_block", "is_low", "node", "label", "bands", "items")
+    return cut(full.mapInArrow(_across(percent), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
@@ -150,34 +227,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     banded = classes.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1").select("key", "lead")
     members = cut(banded.join(shared, "key"))
-    tested, edges, label = None, None, None
-    for turn in range(LEADERS + 1):
-        if turn < LEADERS:
-            across = members.where("node <> lead") if label is None else members.where("node <> lead AND label <> lead_label")
-            pairs = across.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-        else:
-            other = members.select("key", F.col("node").alias("b"), F.col("label").alias("b_label"))
-            pairs = members.select("key", F.col("node").alias("a"), "label").join(other, "key").where("a < b AND label <> b_label").select("a", "b").distinct()
-        for side in "ab":
-            pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}")), side)
-        pairs = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not pairs.isEmpty():
-            found = _verify(docs, pairs, k, percent)
-            edges = found if edges is None else edges.unionByName(found)
-            label = cut(components(edges))
-        elif label is None:
-            label = pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-        if turn == LEADERS:
-            break
-        # a leader has met its whole bucket; the next round is for buckets whose other classes lie in several components
-        rest = members.where("node <> lead").select("key", "node").join(label.select("node", "root"), "node", "left")
-        rest = rest.select("key", "node", F.coalesce("root", "node").alias("label"))
-        split = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("node", "label")).alias("first")).where("low < high")
-        members = cut(rest.join(split.select("key", F.col("first.node").alias("lead"), F.col("first.label").alias("lead_label")), "key"))
-        if members.isEmpty():
-            break
+    pairs = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}")), side)
+    pairs = cut(pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b"))
+    edges = _verify(docs, pairs, k, percent)
+    label = cut(components(edges))
+    # every leader has met its whole bucket; what else lies in different components is compared block by block
+    rest = members.where("node <> lead").select("key", "node").join(label, "node", "left")
+    rest = rest.select("key", "node", F.coalesce("root", "node").alias("label"))
+    split = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "low")
+    rest = cut(rest.join(split, "key"))
+    if not rest.isEmpty():
+        more = _verify_blocks(docs, rest, classes.select("node", "bands"), k, percent)
+        label = cut(components(edges.unionByName(more)))
     ids = classes.select("n_shingles", "h1", "h2", "node")
     ids = ids.join(label, "node", "left").withColumn("node", F.coalesce("root", "node"))
     out = sign.select("doc_id", "n_shingles", "h1", "h2").join(ids.select("n_shingles", "h1", "h2", F.col("node").alias("found")), ["n_shingles", "h1", "h2"], "left")
