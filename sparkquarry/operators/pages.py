@@ -30,7 +30,8 @@ def html_text(html: Column) -> Column:
     x = F.regexp_replace(html, r"(?is)<(script|style|nav|noscript|head)\b.*?</\1>|<!--.*?-->", " ")
     x = F.regexp_replace(x, r"(?i)</?(p|div|h[1-6]|li|ul|ol|tr|table|section|article|br|pre|blockquote)\b[^>]*>", "\n")
     x = unescape(F.regexp_replace(x, r"<[^>]*>", ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[ \t\r]+", " "), r"\s*\n\s*", "\n"))
+    x = F.regexp_replace(F.regexp_replace(x, r"[ \t\r]+", " "), r"\s*\n\s*", "\n")
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
 def merge_unique(pages: DataFrame, order: list[str]) -> DataFrame:
