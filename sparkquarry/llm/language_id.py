@@ -39,7 +39,10 @@ class Grams:
         point = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         text = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
         low = point < 0x10000
-        keep = np.where(low, _letter[np.where(low, point, 0)], True)
+        keep = _letter[np.where(low, point, 0)]
+        if not low.all():
+            high, inverse = np.unique(point[~low], return_inverse=True)
+            keep[~low] = np.array([chr(c).isalpha() for c in high.tolist()])[inverse]
         self.letters = np.bincount(text[keep], minlength=len(parts)) > 0
         point = np.where(keep, point, 32).astype(np.uint64)
         again = np.zeros(len(point), dtype=bool)
