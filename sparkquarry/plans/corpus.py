@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkquarry.functions import repo
 from sparkquarry.functions import text as tx
 from sparkquarry.functions import urls
-from sparkquarry.operators import chunking, manifest, pages
+from sparkquarry.operators import chunking, manifest, pages, prototypes
 from sparkquarry.sources import relation
 
 QUERIES: dict = {}
@@ -263,3 +264,38 @@ def ledger_hash(spark, sf_dir):
 def ordered_assembly(spark, sf_dir):
     rows = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line")))).alias("lines"))
     return rows.select("conv_id", "turns", F.md5(F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("body_md5"))
+
+
+@query(_PATHS + """, r AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'tests/' WHEN 2 THEN 'docs/' WHEN 3 THEN 'build/' WHEN 4 THEN 'examples/' ELSE 'pkg/fixtures/' END || trim(path, '/') || CASE page_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.min.js' WHEN 2 THEN '.md' ELSE '' END AS p FROM t)
+SELECT page_id, CASE WHEN regexp_matches(p, '^(pkg)/fixtures/') THEN 'fixture' WHEN starts_with(p, 'tests/') THEN 'tests' WHEN starts_with(p, 'docs/') THEN 'docs' WHEN starts_with(p, 'examples/') THEN 'example'
+    WHEN starts_with(p, 'src/') OR regexp_matches(p, '\\.(py|js)$') THEN 'source' ELSE 'other' END AS role,
+  CASE WHEN starts_with(p, 'build/') OR regexp_matches(p, '\\.min\\.js$') THEN 'default' ELSE 'none' END AS skip_reason,
+  CASE WHEN p LIKE '%.py' THEN 'python' WHEN p LIKE '%.js' THEN 'javascript' WHEN p LIKE '%.md' THEN 'markdown' WHEN p LIKE '%.html' THEN 'html' ELSE 'text' END AS language FROM r""")
+def repository_paths(spark, sf_dir):
+    """Page paths put under repository folders."""
+    n, path = F.col("page_id"), F.regexp_replace(urls.normal_path(urls.path(F.col("url"))), "^/+|/+$", "")
+    folder = F.element_at(F.array(*map(F.lit, ("src/", "tests/", "docs/", "build/", "examples/", "pkg/fixtures/"))), (n % 6 + 1).cast("int"))
+    ending = F.element_at(F.array(*map(F.lit, (".py", ".min.js", ".md", ""))), (n % 4 + 1).cast("int"))
+    paths = load(spark, sf_dir, "pages").select("page_id", F.concat(folder, path, ending).alias("p"))
+    return paths.select("page_id", repo.role(F.col("p")).alias("role"), F.coalesce(repo.skip_reason(F.col("p")), F.lit("none")).alias("skip_reason"), repo.language(F.col("p")).alias("language"))
+
+
+@query("""
+WITH e AS (SELECT 'c-' || c_custkey AS namespace, c_mktsegment AS title, c_nationkey % 2 = 0 AS enabled, CASE WHEN c_custkey % 3 = 0 THEN 'manual' ELSE 'generated' END AS semantic_origin FROM customer WHERE c_custkey % 5 <> 0),
+i AS (SELECT 'c-' || c_custkey AS namespace, 'Customer ' || c_custkey AS title, true AS enabled, 'generated' AS semantic_origin FROM customer WHERE c_custkey % 7 <> 0)
+SELECT coalesce(e.namespace, i.namespace) AS namespace, CASE WHEN i.namespace IS NULL OR e.semantic_origin = 'manual' THEN e.title ELSE i.title END AS title, CASE WHEN e.namespace IS NOT NULL THEN e.enabled ELSE i.enabled END AS enabled,
+  CASE WHEN i.namespace IS NULL OR e.semantic_origin = 'manual' THEN e.semantic_origin ELSE i.semantic_origin END AS semantic_origin FROM e FULL OUTER JOIN i ON e.namespace = i.namespace""")
+def merged_cards(spark, sf_dir):
+    rows, key = load(spark, sf_dir, "customer"), F.col("c_custkey")
+    name = F.concat(F.lit("c-"), key.cast("string")).alias("namespace")
+    existing = rows.where(key % 5 != 0).select(name, F.col("c_mktsegment").alias("title"), (F.col("c_nationkey") % 2 == 0).alias("enabled"), F.when(key % 3 == 0, "manual").otherwise("generated").alias("semantic_origin"))
+    incoming = rows.where(key % 7 != 0).select(name, F.concat(F.lit("Customer "), key.cast("string")).alias("title"), F.lit(True).alias("enabled"), F.lit("generated").alias("semantic_origin"))
+    return prototypes.merge_cards(existing, incoming, ["title"], ["enabled"])
+
+
+@query()
+def routing_prototypes(spark, sf_dir):
+    """Eight diverse passages of every source; a document's lines are its sections."""
+    docs = load(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("namespace"), F.col("doc_id").cast("string").alias("url"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    order = F.struct(F.col("url").cast("long").alias("doc"), "line").alias("place")
+    return prototypes.select_prototypes(docs.select("namespace", "url", order, prototypes.passage(F.col("namespace"), F.lit(""), F.col("content")).alias("passage")), "place").select("namespace", "ordinal", "url", "passage")

@@ -189,3 +189,47 @@ def test_trace_ingest_is_exactly_once(spark, tmp_path):
     outcomes, stored = drain()
     assert stored == 3 and {("a", "replayed"), ("b", "conflict"), ("d", "committed")} <= set(outcomes)
     assert drain()[1] == 3
+
+
+def test_repository_paths(spark):
+    from sparkquarry.functions import repo
+
+    assert one(spark, repo.language(F.lit("a/b.RS"))) == "rust" and one(spark, repo.language(F.lit("Makefile"))) == "text" and one(spark, repo.language(F.lit("x.foo"))) == "foo"
+    assert one(spark, repo.skip_reason(F.lit("node_modules/x.js"))) == "default"
+    assert one(spark, repo.skip_reason(F.lit("node_modules/x.js"), include=["node_modules/**"])) is None
+    assert one(spark, repo.skip_reason(F.lit("src/a.py"), subdir="lib")) == "outside the folder"
+    assert [one(spark, repo.role(F.lit(p))) for p in ("src/a.py", "pkg/test_a.py", "docs/x.md", "tests/data/x", "README.md")] == ["source", "tests", "docs", "fixture", "other"]
+
+
+def test_prototypes_equal_plain_greedy(spark):
+    import random
+
+    from sparkquarry.operators import prototypes
+
+    rng = random.Random(6)
+    rows = [(ns, f"u{rng.randrange(4)}", i, " ".join(rng.choice("abcdefgh") for _ in range(4))) for i, ns in enumerate("xxxxxxxxxxxxyyyzzzzzz")] + [("x", "u9", 99, None)]
+    got = prototypes.select_prototypes(spark.createDataFrame(rows, "namespace string, url string, n int, passage string"), "n", 5).collect()
+    for ns in "xyz":
+        seen, pool = set(), []
+        for _, url, n, p in [r for r in rows if r[0] == ns and r[3]]:
+            if p not in seen:
+                seen.add(p)
+                pool.append((url, n, set(p.split())))
+        want = []
+        while pool and len(want) < 5:
+            rank = lambda c: (any(c[0] == w[0] for w in want), max([len(c[2] & w[2]) / len(c[2] | w[2]) for w in want], default=0.0), c[1])  # noqa: B023, E731
+            want.append(min(pool, key=rank))
+            pool.remove(want[-1])
+        assert [r.n for r in sorted(got, key=lambda r: r.ordinal) if r.namespace == ns] == [w[1] for w in want]
+
+
+def test_source_chunks_own_every_line(spark):
+    from sparkquarry.operators import source_code
+
+    text = "import os\n\n# about f\n@deco\ndef f():\n    def g():\n        return 1\n    return g\n\n\nclass C:\n    x = 1\n\n    def m(self):\n        pass\n"
+    files = spark.createDataFrame([("a.py", text), ("bad.py", "def ("), ("n.txt", "\n".join("x" * 3 for _ in range(100))), ("e.py", None)], "path string, text string")
+    chunks = source_code.chunk_source(files)
+    assert chunking.uncovered(chunks, "path").count() == 0
+    got = [(r.first_line, r.last_line, r.symbol) for r in chunks.where("path = 'a.py'").orderBy("first_line").collect()]
+    assert got[:4] == [(1, 1, ""), (2, 5, "f"), (6, 7, "f.g"), (8, 8, "f")] and {"C", "C.m"} <= {g[2] for g in got}
+    assert "\n".join(r.content for r in chunks.where("path = 'a.py'").orderBy("first_line").collect()) == text
