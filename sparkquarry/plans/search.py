@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import vectors
-from sparkquarry.operators import evaluation, retrieval, routing
+from sparkquarry.operators import evaluation, index, retrieval, routing
 from sparkquarry.streaming import traces
 
 QUERIES: dict = {}
@@ -323,3 +323,79 @@ def trace_outcomes(spark, sf_dir):
     stored = events.where("event_id % 2 = 0").groupBy(name).agg(F.sha2(F.min("props"), 256).alias("content_hash"))
     batch = events.select(name, F.when(F.col("event_id") % 50 == 7, "broken").otherwise(F.col("props")).alias("payload"))
     return traces.classify(batch, stored).select("trace_id", "content_hash", "outcome")
+
+
+@query(_BODY + """, h AS (SELECT query_id, doc_id AS key, source AS namespace, rank FROM body JOIN documents USING (doc_id)),
+m AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id, namespace ORDER BY rank, key) = 1 THEN 1 ELSE 0 END AS first FROM h),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first DESC, rank, key) AS slot FROM m) WHERE slot <= 8)
+SELECT query_id, key, namespace, row_number() OVER (PARTITION BY query_id ORDER BY rank, key) AS rank FROM s""")
+def namespace_coverage(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("namespace"))
+    hits = _body_hits(spark, sf_dir).join(docs, "doc_id").select("query_id", F.col("doc_id").alias("key"), "namespace", "rank")
+    return index.cover_namespaces(hits, 8)
+
+
+@query("""
+WITH h AS (SELECT user_id AS query_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS rank, 'https://docs.example/' || event_type || '/' || event_id % 10 AS url, event_type AS section FROM events WHERE value > 60),
+j AS (SELECT user_id AS query_id, event_id AS judgment_id, 'docs.example/' || event_type AS url, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE '' END AS section, 1 + event_id % 3 AS grade FROM events WHERE value < 1)
+SELECT query_id, judgment_id, max(grade) AS grade, min(rank) AS rank FROM h JOIN j USING (query_id) WHERE (contains(lower(h.url), lower(j.url)) OR contains(lower(j.url), lower(h.url))) AND (j.section = '' OR contains(lower(h.section), lower(j.section))) GROUP BY ALL""")
+def credited_judgments(spark, sf_dir):
+    from pyspark.sql import Window
+
+    events, kind = load(spark, sf_dir, "events"), F.col("event_type")
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    hits = events.where("value > 60").select(F.col("user_id").alias("query_id"), nth.alias("rank"), F.concat(F.lit("https://docs.example/"), kind, F.lit("/"), (F.col("event_id") % 10).cast("string")).alias("url"), F.lit("").alias("path"), kind.alias("section"))
+    judged = events.where("value < 1").select(
+        F.col("user_id").alias("query_id"), F.col("event_id").alias("judgment_id"), F.concat(F.lit("docs.example/"), kind).alias("url"), F.lit("").alias("path"),
+        F.when(F.col("event_id") % 2 == 0, F.upper(kind)).otherwise("").alias("section"), (1 + F.col("event_id") % 3).alias("grade"),
+    )
+    return index.credited(index.match_judgments(hits, judged))
+
+
+@query("""SELECT coalesce(reason, 'eligible') AS reason, count(*) AS cards FROM (SELECT CASE WHEN c_custkey % 7 = 0 THEN 'disabled' WHEN c_nationkey % 5 = 0 THEN 'region' WHEN c_mktsegment = 'BUILDING' THEN 'model' WHEN c_acctbal < 0 THEN 'precision' END AS reason FROM customer) GROUP BY 1""")
+def card_eligibility(spark, sf_dir):
+    key = F.col("c_custkey")
+    cards = load(spark, sf_dir, "customer").select(
+        key.cast("string").alias("namespace"), (key % 7 != 0).alias("enabled"), F.when(F.col("c_nationkey") % 5 == 0, "west").otherwise("east").alias("region"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "small").otherwise("base").alias("model"), F.when(F.col("c_acctbal") < 0, "float16").otherwise("float32").alias("precision"), F.lit(384).alias("dims"),
+    )
+    return index.ineligible(cards, "east", "base", "float32", 384).groupBy(F.coalesce("reason", F.lit("eligible")).alias("reason")).agg(F.count("*").alias("cards"))
+
+
+@query("SELECT o_custkey AS customer, 'left' AS side FROM (SELECT o_custkey, count(*) FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 EXCEPT SELECT o_custkey, count(*) FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) UNION ALL SELECT o_custkey, 'right' FROM (SELECT o_custkey, count(*) FROM orders WHERE o_orderstatus = 'O' GROUP BY 1 EXCEPT SELECT o_custkey, count(*) FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)")
+def unequal_keys(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders")
+    left, right = (orders.where(F.col("o_orderstatus") == x).select(F.col("o_custkey").alias("customer")) for x in "FO")
+    return index.same_keys(left, right, "customer")
+
+
+@query("SELECT key, CAST(sum(value) AS BIGINT) AS value FROM (SELECT event_type AS key, count(*) AS value FROM events GROUP BY 1 UNION ALL SELECT o_orderstatus, count(*) FROM orders GROUP BY 1 UNION ALL SELECT event_type, count(*) FROM events WHERE value > 10 GROUP BY 1) GROUP BY key")
+def combined_counters(spark, sf_dir):
+    events, orders = load(spark, sf_dir, "events"), load(spark, sf_dir, "orders")
+    count = lambda df, c: df.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("value"))
+    return index.combined_counters(count(events, "event_type"), count(orders, "o_orderstatus"), count(events.where("value > 10"), "event_type"))
+
+
+@query("""
+WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM benchmark),
+b AS (SELECT * FROM body)
+SELECT query_id, doc_id, round(len(list_intersect(w, list_distinct(list_filter(string_split_regex(lower('Title: ' || source || chr(10) || substr(text, 1, 8192)), '[^a-z0-9]+'), lambda x: x <> '')))) / len(w), 9) AS cross_score
+FROM b JOIN documents USING (doc_id) JOIN q USING (query_id)""".replace("WITH q AS", _BODY + ", q AS", 1))
+def cross_scores(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", index.rerank_passage(F.col("source"), F.lit(""), F.lit(""), F.col("text")).alias("passage"))
+    hits = _body_hits(spark, sf_dir).join(docs, "doc_id").join(_questions(spark, sf_dir), "query_id")
+    return hits.select("query_id", "doc_id", F.round(index.overlap_score(F.col("query"), F.col("passage")), 9).alias("cross_score"))
+
+
+@query("SELECT 'ts-' || doc_id AS id, source AS namespace, sha256(text) AS chunk_hash, substr(text, 1, 240) AS preview, 'duck://docs/' || doc_id AS url, 'en,' || coalesce(lang, '') AS tags FROM documents WHERE lang > 'en' UNION ALL SELECT 'ts-' || doc_id, source, sha256(text), substr(text, 1, 240), 'duck://docs/' || doc_id, array_to_string(list_sort(list_distinct(['en', lang])), ',') FROM documents WHERE lang <= 'en'")
+def index_rows(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").withColumn("content", F.col("text")).withColumn("tags", F.array(F.lit("en"), F.col("lang"), F.lit("en")))
+    key = F.col("doc_id").cast("string")
+    return index.chunk_record(docs).select(F.concat(F.lit("ts-"), key).alias("id"), F.col("source").alias("namespace"), "chunk_hash", "preview", index.document_url("duck", "docs", key).alias("url"), F.array_join("tags", ",").alias("tags"))
+
+
+@query()
+def embedded_documents(spark, sf_dir):
+    """Every document's hashed vector, and whether it is a valid unit vector."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", index.embed(F.col("text")).alias("vector"))
+    return docs.select("doc_id", "vector", vectors.is_unit(F.col("vector"), index.DIMENSIONS).alias("valid"))

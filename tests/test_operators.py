@@ -233,3 +233,41 @@ def test_source_chunks_own_every_line(spark):
     got = [(r.first_line, r.last_line, r.symbol) for r in chunks.where("path = 'a.py'").orderBy("first_line").collect()]
     assert got[:4] == [(1, 1, ""), (2, 5, "f"), (6, 7, "f.g"), (8, 8, "f")] and {"C", "C.m"} <= {g[2] for g in got}
     assert "\n".join(r.content for r in chunks.where("path = 'a.py'").orderBy("first_line").collect()) == text
+
+
+def test_versions_and_upserts(spark, tmp_path):
+    from sparkquarry.sources import sinks
+
+    root = str(tmp_path / "ledger")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_current(spark, root)
+    first = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    assert sinks.publish(first, root) == 1
+    second = sinks.upsert(sinks.read_current(spark, root), spark.createDataFrame([("b", 3), ("c", 4)], "id string, n int"), spark.createDataFrame([("a",)], "id string"))
+    assert sinks.publish(second, root, expected=1) == 2
+    with pytest.raises(ValueError):
+        sinks.publish(first, root, expected=1)
+    assert {tuple(r) for r in sinks.read_current(spark, root, first.schema).collect()} == {("b", 3), ("c", 4)}
+    with pytest.raises(ValueError):
+        sinks.read_current(spark, root, spark.range(1).schema)
+    index = str(tmp_path / "index")
+    rows = spark.createDataFrame([("x", "1", 1), ("y", "2", 1)], "namespace string, id string, n int")
+    sinks.write_index(rows, index)
+    sinks.write_index(rows.where("namespace = 'x'").withColumn("n", F.lit(2)), index)
+    assert {(r.namespace, r.n) for r in spark.read.parquet(index).collect()} == {("x", 2), ("y", 1)}
+    page = sinks.as_markdown(spark.createDataFrame([("u", 'a "b"', "text")], "url string, title string, content string")).first()
+    assert chunking.front_matter(page.raw)[1].strip() == "text" and page.file.startswith("document-")
+
+
+def test_judgments_slots_and_rules(spark):
+    from sparkquarry.operators import index
+
+    hits = spark.createDataFrame([(1, 1, "https://a.example/x", "pkg/src/m.py", "Intro > Use"), (1, 2, "https://b.example/y", "", "Other")], "query_id int, rank int, url string, path string, section string")
+    judged = spark.createDataFrame([(1, "p", "", "src/m.py", "", 3), (1, "u", "b.example/y", "", "nothing", 2), (1, "s", "b.example/y", "", "OTHER", 1)], "query_id int, judgment_id string, url string, path string, section string, grade int")
+    assert {(r.judgment_id, r.rank) for r in index.credited(index.match_judgments(hits, judged)).collect()} == {("p", 1), ("s", 2)}
+    ranked = spark.createDataFrame([(1, "a", i, i) for i in range(1, 6)] + [(1, "b", 9, 9)], "query_id int, namespace string, key int, rank int")
+    assert [(r.key, r.rank) for r in index.cover_namespaces(ranked, 3).orderBy("rank").collect()] == [(1, 1), (2, 2), (9, 3)]
+    rows = spark.createDataFrame([(None, "x"), (" ", "x"), ("a", " "), ("a", "x")], "document_id string, content string")
+    assert {r.rule: r.rows for r in index.invalid_rows(rows).collect()} == {"id missing": 1, "id blank": 1, "content blank": 1, "id repeated": 1}
+    assert one(spark, index.document_url("duck", "s", F.lit("a b/~*é"))) == "duck://s/a%20b%2F~%2A%C3%A9"
+    assert one(spark, index.row_key(F.struct(F.lit("").alias("id"), F.lit("u").alias("url"), F.lit("s").alias("section_path"), F.lit("c").alias("content"), F.lit("p").alias("path"), F.lit(1).alias("chunk_index"), F.lit("t").alias("title")))) == "u|s|c"
