@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkquarry.functions.text import collapse_spaces, lexical_tokens, sha256
 
@@ -43,7 +44,7 @@ def rerank_passage(title: Column, section: Column, location: Column, content: Co
     return F.concat_ws("\n", part("Title", title, "title"), part("Section", section, "section"), part("Location", location, "location"), F.substring(content, 1, CAPS["content"]))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A deterministic stand-in for a text encoder: hashed words, signed, as a unit vector."""
     import zlib
