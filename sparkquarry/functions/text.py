@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the data model.
 TOKEN = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*|[^\s]"
@@ -115,3 +121,11 @@ def excerpt(x: Column, limit: int = 320) -> Column:
     head = F.substring(flat, 1, limit - 3)
     cut = F.when(F.substring(flat, limit - 2, 1) == " ", head).otherwise(F.regexp_replace(head, r"\s+\S*$", ""))
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(cut), F.lit("...")))
+
+
+@F.pandas_udf(T.StringType())
+def compatible_fold(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """NFKC form, case-folded, runs of anything but letters and digits as single spaces (Spark has no NFKC of its own)."""
+    mark = re.compile(r"[\W_]+")
+    for series in texts:
+        yield series.map(lambda t: None if t is None else mark.sub(" ", unicodedata.normalize("NFKC", t).casefold()).strip())

@@ -126,3 +126,17 @@ def metrics_by_kind(observations: DataFrame, threshold: float, kind: str) -> Dat
     overall = rows.where(F.col(kind).isNull()).select(F.col("risk").alias("_risk"), F.col("recall").alias("_recall")).limit(1)
     out = rows.crossJoin(F.broadcast(overall))  # one row
     return out.select(kind, "tp", "fp", "tn", "fn", "risk", "recall", (F.col("risk") - F.col("_risk")).alias("excess_risk"), (F.col("_recall") - F.col("recall")).alias("recall_shortfall"))
+
+
+def gates(metrics: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
+    """(gate, value, threshold, passed) for each limit of a one-row metrics table: (">=" or "<=", threshold); a null value fails."""
+    rows = []
+    for name, (relation, threshold) in limits.items():
+        value = F.col(name).cast("double")
+        ok = value >= threshold if relation == ">=" else value <= threshold
+        rows.append(F.struct(F.lit(name).alias("gate"), value.alias("value"), F.lit(float(threshold)).alias("threshold"), F.coalesce(ok, F.lit(False)).alias("passed")))
+    return metrics.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
+
+
+# What a release must reach.
+ROUTING_GATES = {"route_recall_at_3": (">=", 0.95), "average_fanout": ("<=", 2.0), "max_fanout": ("<=", 3), "wrong_confident_singles": ("<=", 0)}

@@ -109,10 +109,14 @@ def group_score(ranks: Column, aggregation: str, k: int = RRF_K) -> Column:
     return first * (1 + 0.05 * close)
 
 
-def group_hits(hits: DataFrame, key: str, group: str, aggregation: str = "adaptive_sum_3") -> DataFrame:
-    """One row a query and group of hits(query_id, key, group, rank): the best hit represents it; rank by (-score, best rank, group)."""
-    grouped = hits.groupBy("query_id", group).agg(F.min_by(key, "rank").alias(key), F.min("rank").alias("best_rank"), F.count("*").alias("hits"), F.collect_list("rank").alias("ranks"))
-    scored = grouped.withColumn("score", F.round(group_score(F.col("ranks"), aggregation), 12)).drop("ranks")
+def group_hits(hits: DataFrame, key: str, group: str, aggregation: str = "adaptive_sum_3", factor: str | None = None) -> DataFrame:
+    """One row a query and group of hits(query_id, key, group, rank): the best hit represents it; rank by (-score, best rank, group).
+
+    factor: a column of the hits whose largest value in a group multiplies the group's score.
+    """
+    most = F.max(factor) if factor else F.lit(1.0)
+    grouped = hits.groupBy("query_id", group).agg(F.min_by(key, "rank").alias(key), F.min("rank").alias("best_rank"), F.count("*").alias("hits"), F.collect_list("rank").alias("ranks"), most.alias("factor"))
+    scored = grouped.withColumn("score", F.round(group_score(F.col("ranks"), aggregation) * F.col("factor"), 12)).drop("ranks", "factor")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "best_rank", group)))
 
 
@@ -154,3 +158,22 @@ def path_multiplier(path: Column, intents: Column) -> Column:
     for condition, factor in rules:
         out = out * F.when(condition, factor).otherwise(1.0)
     return out
+
+
+def place_companion(hits: DataFrame, slot: int = 5, reach: int = 20) -> DataFrame:
+    """hits(query_id, key, role, strength, rank) with a docs or tests companion in the first ``slot`` ranks.
+
+    Where the first hit is source and ranks 1 to slot have no docs or tests, the strongest companion (ties: the
+    earliest) of the ranks up to ``reach`` moves to ``slot`` and the hits between move down by one.
+    """
+    companion = F.col("role").isin("docs", "tests")
+    near = F.col("rank") <= slot
+    per = hits.groupBy("query_id").agg(
+        F.max(F.when((F.col("rank") == 1) & (F.col("role") == "source"), 1)).alias("source"),
+        F.max(F.when(near & companion, 1)).alias("has"),
+        F.max(F.when(~near & (F.col("rank") <= reach) & companion & (F.col("strength") > 0), F.struct("strength", (-F.col("rank")).alias("place")))).alias("best"),
+    )
+    moved = per.where("source = 1 AND has IS NULL AND best IS NOT NULL").select("query_id", (-F.col("best.place")).alias("_from"))
+    both = hits.join(moved, "query_id", "left")
+    rank_now = F.when(F.col("rank") == F.col("_from"), slot).when((F.col("rank") >= slot) & (F.col("rank") < F.col("_from")), F.col("rank") + 1).otherwise(F.col("rank"))
+    return both.withColumn("rank", rank_now).drop("_from")

@@ -399,3 +399,30 @@ def embedded_documents(spark, sf_dir):
     """Every document's hashed vector, and whether it is a valid unit vector."""
     docs = load(spark, sf_dir, "documents").select("doc_id", index.embed(F.col("text")).alias("vector"))
     return docs.select("doc_id", "vector", vectors.is_unit(F.col("vector"), index.DIMENSIONS).alias("valid"))
+
+
+_ROLES = _BODY + """, h AS (SELECT query_id, doc_id AS key, CASE (query_id + doc_id) % 13 WHEN 0 THEN 'docs' WHEN 1 THEN 'tests' ELSE 'source' END AS role, doc_id % 4 AS strength, rank FROM body WHERE rank > 0),
+"""
+
+
+@query(_ROLES + """p AS (SELECT query_id, max(rank = 1 AND role = 'source') AS source, max(rank <= 5 AND role <> 'source') AS has, arg_min(rank, (-strength * 100 + rank)) FILTER (rank BETWEEN 6 AND 20 AND role <> 'source' AND strength > 0) AS f FROM h GROUP BY query_id),
+m AS (SELECT query_id, f FROM p WHERE source AND NOT has AND f IS NOT NULL)
+SELECT query_id, key, role, CAST(CASE WHEN rank = f THEN 5 WHEN rank >= 5 AND rank < f THEN rank + 1 ELSE rank END AS BIGINT) AS rank FROM h LEFT JOIN m USING (query_id)""")
+def companion_placement(spark, sf_dir):
+    code = (F.col("query_id") + F.col("doc_id")) % 13
+    hits = _body_hits(spark, sf_dir).select("query_id", F.col("doc_id").alias("key"), F.when(code == 0, "docs").when(code == 1, "tests").otherwise("source").alias("role"), (F.col("doc_id") % 4).alias("strength"), "rank")
+    return retrieval.place_companion(hits).select("query_id", "key", "role", F.col("rank").cast("long").alias("rank"))
+
+
+@query(_BODY + """, g AS (SELECT query_id, source, min_by(doc_id, rank) AS doc_id, min(rank) AS best_rank, count(*) AS hits, max(CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END) AS factor FROM body JOIN documents USING (doc_id) GROUP BY query_id, source),
+s AS (SELECT *, round(1.0::DOUBLE / (60 + best_rank) * factor, 12) AS score FROM g)
+SELECT query_id, source, doc_id, best_rank, hits, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, source) AS rank FROM s""")
+def grouped_search_weighted(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", F.when(F.col("lang") == "en", 1.0).otherwise(0.7).alias("factor"))
+    return retrieval.group_hits(_body_hits(spark, sf_dir).join(docs, "doc_id"), "doc_id", "source", "max", "factor")
+
+
+@query(ORACLE["routing_metrics"].join(["SELECT gate, value, threshold, coalesce(CASE WHEN gate = 'route_recall_at_3' THEN value >= threshold ELSE value <= threshold END, false) AS passed FROM (SELECT * FROM (", """)) CROSS JOIN LATERAL (VALUES ('route_recall_at_3', CAST(route_recall_at_3 AS DOUBLE), 0.95::DOUBLE), ('average_fanout', CAST(average_fanout AS DOUBLE), 2.0::DOUBLE),
+  ('max_fanout', CAST(max_fanout AS DOUBLE), 3.0::DOUBLE), ('wrong_confident_singles', CAST(wrong_confident_singles AS DOUBLE), 0.0::DOUBLE)) AS v(gate, value, threshold)"""]))
+def release_gates(spark, sf_dir):
+    return evaluation.gates(routing_metrics(spark, sf_dir), evaluation.ROUTING_GATES)

@@ -271,3 +271,8 @@ def test_judgments_slots_and_rules(spark):
     assert {r.rule: r.rows for r in index.invalid_rows(rows).collect()} == {"id missing": 1, "id blank": 1, "content blank": 1, "id repeated": 1}
     assert one(spark, index.document_url("duck", "s", F.lit("a b/~*é"))) == "duck://s/a%20b%2F~%2A%C3%A9"
     assert one(spark, index.row_key(F.struct(F.lit("").alias("id"), F.lit("u").alias("url"), F.lit("s").alias("section_path"), F.lit("c").alias("content"), F.lit("p").alias("path"), F.lit(1).alias("chunk_index"), F.lit("t").alias("title")))) == "u|s|c"
+
+
+def test_compatible_fold(spark):
+    df = spark.createDataFrame([("Ｆｕｌｌ－Straße_1",), (None,), ("",)], "t string")
+    assert [r.x for r in df.select(text.compatible_fold("t").alias("x")).collect()] == ["full strasse 1", None, ""]
