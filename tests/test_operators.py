@@ -276,3 +276,23 @@ def test_judgments_slots_and_rules(spark):
 def test_compatible_fold(spark):
     df = spark.createDataFrame([("Ｆｕｌｌ－Straße_1",), (None,), ("",)], "t string")
     assert [r.x for r in df.select(text.compatible_fold("t").alias("x")).collect()] == ["full strasse 1", None, ""]
+
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@pytest.mark.skipif(not __import__("os").path.exists(TOKENIZER), reason="needs a tokenizer file")
+def test_token_budget(spark):
+    from sparkquarry.operators import budget
+
+    body = "\n".join("word " * (i % 7 + 1) for i in range(120)) + "\n" + "long " * 200
+    files = spark.createDataFrame([("a", body), ("b", ""), ("c", None)], "path string, text string")
+    ranges = budget.fit_lines(files, TOKENIZER, 64)
+    assert chunking.uncovered(ranges, "path").count() == 0
+    rows = [r for r in ranges.where("path = 'a'").orderBy("first_line").collect()]
+    assert all(r.tokens <= 64 or r.first_line == r.last_line for r in rows) and rows[-1].tokens > 64
+    lines = body.split("\n")
+    for r in rows[:-2]:
+        longer = spark.createDataFrame([("\n".join(lines[r.first_line - 1 : r.last_line + 1]),)], "t string").select(budget.token_count(F.col("t"), TOKENIZER).alias("n"))
+        assert longer.first()["n"] > 64
+        break
