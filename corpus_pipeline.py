@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquarry.llm import decontaminate, exact_dedup, language_id, minhash_dedup, source_mix
-from sparkquarry.llm.tables import cut, load
+from sparkquarry.llm.tables import cut, load, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language isn't identified with a score of 0.5 go."""
+    """Documents whose language isn't identified with a score of 0.4 go: mixed ones near a tie stay, unreadable ones don't."""
     return language_id.keep_identified(docs)
 
 
@@ -49,5 +49,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = cut(stage(spark, docs, sf_dir), keep=True)
     return docs

@@ -226,7 +226,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     return by_slice(docs.select("doc_id", "text"), work, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """docs whose language is identified with at least this score, all columns as they were.
 
     The model learns from the rows that have lang; where no row has, every text with a letter stays.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,13 +27,35 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: short lineage that outlives lost executors."""
+_open: list[list[str]] = []
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: short lineage that outlives lost executors.
+
+    Inside ``scratch`` the table lasts as long as the block, unless it is to be kept.
+    """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open and not keep:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside the block are deleted after it; write what should last with ``cut(df, keep=True)``."""
+    mine: list[str] = []
+    _open.append(mine)
+    try:
+        yield
+    finally:
+        _open.remove(mine)
+        for name in mine:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def by_slice(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | list[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over slices of bounded text size; df needs a column text."""
 
