@@ -476,3 +476,14 @@ def test_pipeline_stages(spark, tmp_path):
     before = set(os.listdir(tables.shared_dir(spark)))
     assert corpus_pipeline.run(spark, SF).count() == len(kept["source_mix"])
     assert len(set(os.listdir(tables.shared_dir(spark))) - before) == len(corpus_pipeline.STAGES)  # nothing else stays
+
+
+def test_pipeline_edges(spark, odd, empty):
+    import corpus_pipeline
+
+    for docs, some in ((odd, True), (empty, False)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = tables.cut(stage(spark, docs, SF))
+            assert name == "source_mix" or docs.columns == columns
+        assert (docs.count() > 0) == some
