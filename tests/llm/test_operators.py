@@ -487,3 +487,10 @@ def test_pipeline_edges(spark, odd, empty):
             docs = tables.cut(stage(spark, docs, SF))
             assert name == "source_mix" or docs.columns == columns
         assert (docs.count() > 0) == some
+
+
+def test_runs_of_one_word_are_passages(spark):
+    noise = [" ".join(f"n{d}_{i}" for i in range(30)) for d in range(3)]
+    texts = [f"{noise[0]} {'as ' * 80}{noise[1]}", f"{'as ' * 70}{noise[2]}", "as " * 20]
+    rows = substring_dedup.repeated_passages(table(spark, texts)).collect()
+    assert [(r.doc_id, r.source_doc_id, r.start_word) for r in rows] == [(1, 0, 0)] and rows[0].n_words >= 60
