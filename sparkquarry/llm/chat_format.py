@@ -95,15 +95,22 @@ def reply_links(parsed: DataFrame) -> DataFrame:
 
 
 def with_roots(links: DataFrame) -> DataFrame:
-    """links with root_turn and depth, by doubling the distance to a known ancestor each round."""
+    """links with root_turn and depth, by doubling the distance to a known ancestor each round.
+
+    A message whose known ancestor is a root is settled and takes no part in later rounds, so one long
+    conversation costs its own length a round and not the whole table's.
+    """
     links = cut(links)
-    reach = links.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("up"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    root = F.col("parent_turn").isNull()
+    reach = links.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("up"), F.when(root, 0).otherwise(1).cast("long").alias("depth"))
+    settled, open_ = reach.where("depth = 0"), reach.where("depth > 0")
     while True:
-        onward = reach.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("higher"), F.col("depth").alias("more"))
-        further = cut(reach.join(onward, ["conv_id", "up"]).select("conv_id", "turn", "up", "higher", (F.col("depth") + F.col("more")).alias("depth")))
-        reach = further.select("conv_id", "turn", F.col("higher").alias("up"), "depth")
-        if further.where("up <> higher").isEmpty():
-            return links.join(reach.withColumnRenamed("up", "root_turn"), ["conv_id", "turn"])
+        known = settled.unionByName(open_).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("higher"), F.col("depth").alias("more"))
+        moved = open_.join(known, ["conv_id", "up"]).select("conv_id", "turn", F.col("higher").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("up") == F.col("higher")).alias("done"))
+        moved = cut(moved)
+        settled, open_ = settled.unionByName(moved.where("done").drop("done")), moved.where("NOT done").drop("done")
+        if open_.isEmpty():
+            return links.join(settled.withColumnRenamed("up", "root_turn"), ["conv_id", "turn"])
 
 
 def format_chats(messages: DataFrame) -> DataFrame:
