@@ -4,8 +4,11 @@ Terms are words and their leading stems (4, 5 and 6 bytes of longer words), each
 hashed into DIMS features.  score = sigmoid(bias + sum of w + sum over pairs of <v_i, v_j>), so two terms
 that are harmless alone can weigh together.  The model is fitted on a bounded sample: about POSITIVES
 texts of label 1 and NEGATIVES of label 0, drawn by a hash of the id, reweighted to the rates of all
-labelled rows.  Only terms whose label rate stands out (LEAST texts, log ratio of EVIDENCE standard
-errors) have parameters, so the thousands of neutral terms of a long text add nothing.
+labelled rows.  Terms have parameters for two reasons: their own label rate stands out (LEAST texts, log
+ratio of EVIDENCE standard errors, counted over all labelled rows), or they belong to a pair whose texts
+differ in label from the texts of either term without the other (PAIR_EVIDENCE standard errors in each
+comparison, all pairs of the sample's terms of PAIR_LEAST texts).  The thousands of terms that are neutral
+both ways add nothing.
 
 Defined results: null and empty texts have no terms and score the bias; without labelled rows every
 score is 0, with one label only it is that label; a document with several labels counts as toxic if one
@@ -28,6 +31,7 @@ DIMS = 1 << 18
 STEMS = (4, 5, 6)
 POSITIVES, NEGATIVES = 2500, 5000
 LEAST, EVIDENCE, FACTORS = 4, 4.0, 8
+PAIR_LEAST, PAIR_EVIDENCE, PAIR_BLOCK = 16, 6.0, 1024
 
 
 def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +94,81 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray,
     return bias, w, v
 
 
-def telling_terms(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The features whose share among texts of label 1 differs from that among the others by EVIDENCE standard errors."""
-    flat = np.concatenate([np.zeros(0, int), *rows]).astype(int)
-    own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    one, zero = (np.bincount(flat, weights=(weights * x)[own], minlength=DIMS) + 1 for x in (labels, 1 - labels))
-    ratio = np.log(one / ((weights * labels).sum() + 2)) - np.log(zero / ((weights * (1 - labels)).sum() + 2))
-    return np.flatnonzero((np.bincount(flat, minlength=DIMS) >= LEAST) & (np.abs(ratio) > EVIDENCE * np.sqrt(1 / one + 1 / zero)))
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(feature, zero, one): how many texts of each label of docs(text, toxic) have the feature; every task sums its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2 * DIMS, dtype=np.int64)
+        for batch in batches:
+            for part in textkit.slices(batch):
+                feature, text = _distinct(*terms(part.column("text")))
+                label = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+                counts += np.bincount(label[text] * DIMS + feature, minlength=2 * DIMS)
+        zero, one = counts[:DIMS], counts[DIMS:]
+        at = np.flatnonzero(zero + one)
+        yield pa.record_batch([pa.array(at), pa.array(zero[at]), pa.array(one[at])], names=["feature", "zero", "one"])
+
+    return docs.select("text", "toxic").mapInArrow(run, "feature long, zero long, one long").groupBy("feature").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
+
+
+def telling_terms(zero: np.ndarray, one: np.ndarray, n_zero: int, n_one: int) -> np.ndarray:
+    """Which terms' share among texts of label 1 differs from that among the others by EVIDENCE standard errors."""
+    ratio = np.log((one + 1) / (n_one + 2)) - np.log((zero + 1) / (n_zero + 2))
+    return (zero + one >= LEAST) & (np.abs(ratio) > EVIDENCE * np.sqrt(1 / (one + 1) + 1 / (zero + 1)))
+
+
+def _beyond(both0: np.ndarray, both1: np.ndarray, all0: np.ndarray, all1: np.ndarray) -> np.ndarray:
+    """The signed root of chi-square between the texts of both features and the others of one feature."""
+    both, every = both0 + both1, all0 + all1
+    spread = both * (every - both) * all0 * all1
+    return (both1 * (all0 - both0) - both0 * (all1 - both1)) * np.sqrt(every / np.maximum(spread, 1))
+
+
+def telling_pairs(spark: SparkSession, rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The features of pairs whose label rate differs, in one direction, from that of either feature without the other.
+
+    Features that the same texts hold are searched as one; a task compares blocks of PAIR_BLOCK features.
+    """
+    order = np.argsort(labels, kind="stable")
+    rows, zeros, total = [rows[i] for i in order], int((labels == 0).sum()), len(rows)
+    flat = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)
+    own = np.repeat(np.arange(total, dtype=np.int32), [len(r) for r in rows])
+    sizes = np.bincount(flat, minlength=DIMS)
+    often = (sizes >= PAIR_LEAST)[flat]
+    flat, own = flat[often], own[often]
+    own = own[np.argsort(flat, kind="stable")]
+    used = np.flatnonzero(sizes >= PAIR_LEAST)
+    texts = np.split(own, np.cumsum(sizes[used])[:-1]) if len(used) else []
+    known: dict[bytes, int] = {}
+    same = np.array([known.setdefault(t.tobytes(), len(known)) for t in texts], dtype=np.int64)
+    distinct = [np.frombuffer(t, np.int32) for t in known]
+    packed = []
+    for i in range(0, len(distinct), PAIR_BLOCK):
+        some = distinct[i : i + PAIR_BLOCK]
+        held = np.zeros((len(some), total), dtype=np.uint8)
+        held[np.repeat(np.arange(len(some)), [len(t) for t in some]), np.concatenate(some)] = 1
+        packed.append(np.packbits(held, axis=1))
+    shared = spark.sparkContext.broadcast(packed)
+
+    def block(i: int) -> np.ndarray:
+        return np.unpackbits(shared.value[i], axis=1, count=total).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
+                left, right = block(i), block(j)
+                both0, both1 = left[:, :zeros] @ right[:, :zeros].T, left[:, zeros:] @ right[:, zeros:].T
+                one = _beyond(both0, both1, left[:, :zeros].sum(axis=1)[:, None], left[:, zeros:].sum(axis=1)[:, None])
+                two = _beyond(both0, both1, right[:, :zeros].sum(axis=1)[None], right[:, zeros:].sum(axis=1)[None])
+                stands = (both0 + both1 >= PAIR_LEAST) & (one * two > 0) & (np.minimum(np.abs(one), np.abs(two)) > PAIR_EVIDENCE)
+                found = np.union1d(np.flatnonzero(stands.any(axis=1)) + i * PAIR_BLOCK, np.flatnonzero(stands.any(axis=0)) + j * PAIR_BLOCK)
+                yield pa.record_batch([pa.array(found)], names=["place"])
+
+    n = len(packed)
+    tasks = max(1, min(96, n * (n + 1) // 2))
+    blocks = spark.range(0, n * n, 1, tasks).select(F.floor(F.col("id") / max(1, n)).alias("i"), (F.col("id") % max(1, n)).alias("j")).where("i <= j")
+    good = blocks.mapInArrow(run, "place long").distinct().toPandas()["place"].to_numpy()
+    return used[np.isin(same, good)]
 
 
 class Machine:
@@ -123,8 +195,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def _fitted(rates: dict[int, float]):
-    """rates: how many labelled rows each sampled row of a label stands for."""
+def _fitted(rates: dict[int, float], used: np.ndarray):
+    """rates: how many labelled rows each sampled row of a label stands for; used: the features that have parameters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, labels = [], []
@@ -135,7 +207,6 @@ def _fitted(rates: dict[int, float]):
         order = sorted(range(len(rows)), key=lambda i: (labels[i], len(rows[i]), rows[i][:40].tolist()))  # reruns agree
         rows, labels = [rows[i] for i in order], np.array([labels[i] for i in order], dtype=float)
         weights = np.where(labels > 0, rates.get(1, 1.0), rates.get(0, 1.0))
-        used = telling_terms(rows, labels, weights)
         place = np.full(DIMS, -1)
         place[used] = np.arange(len(used))
         rows = [p[p >= 0] for p in (place[r] for r in rows)]
@@ -156,10 +227,16 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     if len(counts) < 2:
         return Machine(30.0 if counts.get(1) else -30.0, np.zeros(0, int), np.zeros(0), none)
     share = {0: min(1.0, negatives / counts[0]), 1: min(1.0, positives / counts[1])}
+    labelled = docs.select("doc_id", "text").join(known, "doc_id")
+    seen = term_counts(labelled).where(F.col("zero") + F.col("one") >= LEAST).toPandas()  # at most DIMS rows
+    alone = seen["feature"].to_numpy()[telling_terms(seen["zero"].to_numpy(), seen["one"].to_numpy(), counts[0], counts[1])]
     draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30)) / (1 << 30)
     drawn = known.where(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     sample = _sample(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic"))  # about positives + negatives rows
-    found = sample.repartition(1).mapInArrow(_fitted({k: 1 / v for k, v in share.items()}), "feature long, w double, v array<double>").toPandas()
+    sample = cut(sample)
+    held = sample.toArrow()  # about positives + negatives rows
+    used = np.union1d(alone, telling_pairs(docs.sparkSession, [x.values.to_numpy() for x in held["features"]], held["toxic"].to_numpy())).astype(int)
+    found = sample.repartition(1).mapInArrow(_fitted({k: 1 / v for k, v in share.items()}, used), "feature long, w double, v array<double>").toPandas()
     bias = float(found.loc[found["feature"] < 0, "w"].iloc[0])
     found = found[found["feature"] >= 0].sort_values("feature")
     v = np.stack(found["v"].to_numpy()) if len(found) else none

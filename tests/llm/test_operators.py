@@ -305,6 +305,31 @@ def test_machine_learns_a_pair():
     assert np.mean([(score(r) > 0) == bool(y) for r, y in zip(rows, labels, strict=True)]) > 0.97
 
 
+def test_training_finds_a_pair_of_harmless_terms(spark):
+    rng = random.Random(5)
+    texts, toxic = [], []
+    for i in range(1500):
+        pair = [["dunce"], ["tribe"], ["dunce", "tribe"], ["tribe"], ["dunce"], []][i % 6]
+        texts.append(" ".join(rng.sample(pair + [f"n{rng.randrange(200)}" for _ in range(20)], len(pair) + 20)))
+        toxic.append(int(len(pair) == 2 or i % 6 == 5))  # each word's own rate is that of all texts: 1 in 3
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    machine = toxicity.train(table(spark, texts), labels)
+    both, one, other = machine.scores(pa.array(["n1 dunce n2 tribe", "n1 dunce n2", "n1 tribe n2"]))
+    assert both > 0.8 and max(one, other) < 0.3
+
+
+def test_evidence_does_not_grow_with_the_rows_a_sample_stands_for(spark, monkeypatch):
+    counts = {r.feature: (r.zero, r.one) for r in toxicity.term_counts(spark.createDataFrame([("a b b", 0), ("a", 1), (None, 1), ("a c", 1)], "text string, toxic int")).collect()}
+    assert sorted(counts.values()) == [(0, 1), (1, 0), (1, 2)]
+    drawn = []
+    monkeypatch.setattr(toxicity, "_fitted", lambda rates, used: drawn.append(sorted(used.tolist())) or (lambda batches: iter([pa.record_batch([pa.array([-1]), pa.array([0.0]), pa.array([[0.0] * 8])], names=["feature", "w", "v"])])))
+    texts = ["insult" if i % 5 == 0 or i == 3 else "calm" for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    for positives, negatives in ((2500, 5000), (10, 20)):
+        toxicity.train(table(spark, texts), labels, positives, negatives)
+    assert drawn[0] == drawn[1] and len(drawn[0]) >= 1
+
+
 def test_toxicity_on_held_out(spark):
     sf = SF.replace("0.001", "0.1")
     rows = {r.doc_id: r for r in registry.queries()["op6_toxicity"](spark, sf).collect()}
