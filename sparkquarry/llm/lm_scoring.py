@@ -1,281 +1,192 @@
 """LM scoring (2): a weighted backoff automaton over smoothed n-grams of the corpus.
 
-Unigrams are counted exactly over all learning texts and smoothed by adding one.  N-grams of order 2 and
-3 become arcs of the automaton where their share of all learning tokens is at least ARC_SHARE - at every
-corpus size the same rule, which bounds the arcs of an order by 1 / ARC_SHARE - with absolute
-discounting; every context is a state whose failure arc leads to its longest shorter suffix with the
-backoff weight that makes all continuations sum to one.  A text is read once from left to right: the
-state is carried, an arc adds its log-probability, a missing arc adds backoff weights along failure arcs.
-Texts are read in lanes of LANE tokens; a lane first reads the two tokens before it, which settles its
-state because no state is longer.
-
-Words whose share is at least WORD_SHARE have their exact counts in the automaton (at most 1 / WORD_SHARE
-of them); the exact counts of all other words grow with the corpus and stay a table: a text's rare words
-are joined with it, and as no arc holds a rare word they add the same unigram term to ``base_score`` and
-``score``.
+All n-grams of orders 1, 2 and 3 of the learning texts count, whatever their number.  Smoothing is a
+hierarchy of Dirichlet priors (MacKay and Peto): the probability of a word after a context adds a PRIOR
+of pseudo-words, spread by the next shorter context, to the counts; below all contexts stands add-one over
+single words.  As an automaton: every context that was learned is a state; a seen continuation is an arc
+with its smoothed log-probability; the failure arc leads to the longest shorter suffix and weighs
+PRIOR / (count of the context + PRIOR), so all continuations of a state sum to one.
+
+The automaton of the whole corpus is never gathered.  Texts are read in blocks (``blocks.py``): a block
+asks for the corpus counts of just its own n-grams, builds the part of the automaton that its texts can
+walk through, and reads them once from left to right: the state is carried, an arc adds its weight, a
+missing arc adds failure weights on the way down.  Texts are read in lanes of LANE tokens; a lane first
+reads the two tokens before it, which settles its state because no state is longer.
+
+Per n-gram of a block about six bytes are shuffled to its bucket and a count comes back; a bucket is
+bounded, a frequent n-gram is one entry a block.
 
 Defined results: null and empty texts are one end token; without learning texts every probability is 1;
-ids may be null or repeat, each row is scored by itself.
+ids may be null or repeat, each row is scored by itself; a null ``learns`` is false.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquarry.llm import textkit
-from sparkquarry.llm.tables import by_slice, crc_fold, cut, load
-
-WORD_SHARE, ARC_SHARE, DISCOUNT, ORDER = 3e-7, 1e-6, 0.5, 3
-LANE, HELD = 64, 4_000_000
-END = np.uint64(0)  # no word's hash in practice: a mixed value would have to be 0
-START = -2
-
-
-def tally(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
-    """(key, n): how often each key occurs; every task sums its own keys first, HELD at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, size = [], [], 0
+from sparkquarry.llm import blocks, textkit
+from sparkquarry.llm.tables import crc_fold, cut, load
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            if not keys:
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            return key, np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
+PRIORS, ORDER, LANE = (256.0, 16.0), 3, 64  # pseudo-words of orders 2 and 3
+END, START = np.uint64(0), np.uint64(0x5851F42D4C957F2D)
 
-        def out(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(key), 100_000):
-                yield pa.record_batch([pa.array(key[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["key", "n"])
 
-        for batch in batches:
-            for part in textkit.slices(batch):
-                key, n = np.unique(keys_of(part), return_counts=True)
-                keys.append(key)
-                counts.append(n)
-                size += len(key)
-                if size > HELD:
-                    key, n = merged()
-                    keys, counts, size = [key], [n], len(key)
-                    if size > HELD // 2:
-                        yield from out(key, n)
-                        keys, counts, size = [], [], 0
-        yield from out(*merged())
-
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+class Grams:
+    """The n-grams of a block: tokens by number (0 the end, then words, last the start), pairs and triples by place of their key.
 
+    ``hashes`` holds the 64-bit keys of each order, ``order`` their sorting, ``counts`` the learned occurrences.
+    """
 
-def _word_keys(part: pa.RecordBatch) -> np.ndarray:
-    words = textkit.Words(part.column("text"))
-    return np.concatenate((words.hashes.view(np.int64), np.full(part.num_rows, END.view(np.int64))))
+    def __init__(self, block: blocks.Block, learned: np.ndarray) -> None:
+        words = np.concatenate(([END], block.vocabulary, [START]))
+        self.start = len(words) - 1
+        self.first = block.first + 2 * np.arange(len(block.first))
+        self.tokens = np.zeros(self.first[-1], dtype=np.int64)
+        self.tokens[self.first[:-1]] = self.start
+        self.tokens[np.arange(len(block.text)) + 2 * block.text + 1] = block.sequence + 1
+        self.owner = np.repeat(np.arange(len(block.sizes)), np.diff(self.first))
+        counted = learned[self.owner].astype(np.float64)
+        wide = len(words)
+        self.two = np.flatnonzero(self.tokens != self.start)  # where a pair ends
+        pairs, self.pair_at = np.unique(self.tokens[self.two - 1] * wide + self.tokens[self.two], return_inverse=True)
+        place = np.full(len(self.tokens), -1)
+        place[self.two] = self.pair_at
+        self.three = self.two[self.tokens[self.two - 1] != self.start]
+        triples, some, triple_at = np.unique(place[self.three - 1] * wide + self.tokens[self.three], return_index=True, return_inverse=True)
+        self.context, self.word = np.divmod(pairs, wide)
+        self.longer, self.last = np.divmod(triples, wide)
+        self.shorter = place[self.three[some]] if len(triples) else np.zeros(0, int)  # the pair that ends a triple
+        inner = self.tokens[self.two]
+        self.counts = [
+            np.bincount(inner, weights=counted[self.two], minlength=wide - 1)[: wide - 1],
+            np.bincount(self.pair_at, weights=counted[self.two], minlength=len(pairs)),
+            np.bincount(triple_at, weights=counted[self.three], minlength=len(triples)),
+        ]
+        join = lambda a, b, seed: textkit.mix(a * np.uint64(0x9E3779B97F4A7C15) + b, seed)
+        of_pairs = join(words[self.context], words[self.word], 21)
+        self.hashes = [words[:-1], of_pairs, join(of_pairs[self.longer], words[self.last], 22)]
+        self.order = [np.argsort(h) for h in self.hashes]
+
+    def asked(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(h[o], n[o].astype(np.int64)) for h, o, n in zip(self.hashes, self.order, self.counts, strict=True)]
+
+    def told(self, answers: list[np.ndarray]) -> list[np.ndarray]:
+        """Corpus counts in the order of hashes."""
+        out = [np.empty(len(o), dtype=np.float64) for o in self.order]
+        for x, o, n in zip(out, self.order, answers, strict=True):
+            x[o] = n
+        return out
 
 
 class Automaton:
-    """States, arcs and failure arcs; words are numbered by their place in the sorted ``hashes``.
+    """States, arcs and failure arcs of a block's n-grams with their corpus counts.
 
-    State 0 is the empty context.  ``arcs`` holds sorted state * (words + 1) + word.
+    State 0 is the empty context, then come single words and pairs that were learned as contexts.
+    ``arcs`` holds sorted state * wide + word; ``fail`` and ``backoff`` the failure arcs.
     """
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, texts: int) -> None:
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-        self.tokens, self.distinct, self.texts = tokens, distinct, texts
-        self.unigram = np.log10((self.counts + 1.0) / (tokens + distinct + 1.0))
-        self.words = len(hashes)
-        self.end = int(np.searchsorted(self.hashes, END)) if len(hashes) else -1
-        self.arcs, self.weight, self.next = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        self.fail, self.backoff = np.zeros(1, np.int64), np.zeros(1)
-        self.single = np.zeros(self.words + 1, np.int64)  # the state of each word alone, the last that of a text's start
-        self.pairs = np.zeros(0, np.int64)
-
-    def sequence(self, words: textkit.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers with a start (the number ``words``) and an end around every text, -1 for words without number; where each text begins."""
-        number = np.full(len(words.text), -1, dtype=np.int64)
-        if self.words:
-            h = words.hashes
-            at = np.minimum(np.searchsorted(self.hashes, h), self.words - 1)
-            number = np.where(self.hashes[at] == h, at, -1)
-        first = words.first + 2 * np.arange(len(words.first))
-        out = np.full(first[-1], self.end, dtype=np.int64)
-        out[first[:-1]] = self.words
-        out[np.arange(len(number)) + 2 * words.text + 1] = number
-        return out, first
-
-    def look_up(self, keys: np.ndarray) -> np.ndarray:
-        """Places of the keys among arcs, -1 where there is none."""
-        if not len(self.arcs):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.arcs, keys), len(self.arcs) - 1)
-        return np.where(self.arcs[at] == keys, at, -1)
-
-    def frequent(self, share: float) -> np.ndarray:
-        """Which word numbers (the start last) reach the share of all tokens."""
-        return np.append(self.counts, self.texts) >= max(1.0, share * self.tokens)
-
-    def add_pairs(self, keys: np.ndarray, n: np.ndarray) -> None:
-        """Arcs of order 2; key = context * (words + 1) + word, context may be the start."""
-        order = np.argsort(keys)
-        self.pairs, self.pair_counts = keys[order], n[order]
-        context, word = np.divmod(self.pairs, self.words + 1)
-        p = (self.pair_counts - DISCOUNT) / np.append(self.counts, self.texts)[context]
-        states, at = np.unique(context, return_inverse=True)
-        self.single[states] = np.arange(1, len(states) + 1)
-        taken = np.bincount(at, weights=p, minlength=len(states))
-        below = np.bincount(at, weights=10 ** self.unigram[word], minlength=len(states))
-        self.fail = np.zeros(len(states) + 1, np.int64)
-        self.backoff = np.concatenate(([0.0], np.log10(np.maximum(1 - taken, 1e-12) / np.maximum(1 - below, 1e-12))))
-        self._set_arcs((at + 1) * (self.words + 1) + word, np.log10(p), self.single[word])
-
-    def add_triples(self, keys: np.ndarray, n: np.ndarray) -> None:
-        """Arcs of order 3; key = place among pairs * (words + 1) + word."""
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        pair, word = np.divmod(keys, self.words + 1)
-        middle = self.pairs[pair] % (self.words + 1)
-        p = (n - DISCOUNT) / self.pair_counts[pair]
-        lower = self.look_up(self.single[middle] * (self.words + 1) + word)
-        states, at = np.unique(pair, return_inverse=True)
-        number = np.full(len(self.pairs) + 1, -1, np.int64)
-        number[states] = np.arange(len(states)) + len(self.fail)
-        taken = np.bincount(at, weights=p, minlength=len(states))
-        below = np.bincount(at, weights=10 ** self.weight[lower], minlength=len(states))
-        first_state = len(self.fail)
-        self.fail = np.concatenate((self.fail, self.single[self.pairs[states] % (self.words + 1)]))
-        self.backoff = np.concatenate((self.backoff, np.log10(np.maximum(1 - taken, 1e-12) / np.maximum(1 - below, 1e-12))))
-
-        def onward(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-            key = context * (self.words + 1) + word
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            longer = np.where(self.pairs[at] == key, number[at], -1)
-            return np.where(longer >= 0, longer, self.single[word])
-
-        contexts, words = np.divmod(self.pairs, self.words + 1)
-        arcs = np.concatenate((self.single[contexts] * (self.words + 1) + words, (first_state + at) * (self.words + 1) + word))
-        weights = np.concatenate((self.weight[self.look_up(self.single[contexts] * (self.words + 1) + words)], np.log10(p)))
-        self._set_arcs(arcs, weights, np.concatenate((onward(contexts, words), onward(middle, word))))
-
-    def _set_arcs(self, arcs: np.ndarray, weight: np.ndarray, onward: np.ndarray) -> None:
+    def __init__(self, grams: Grams, counts: list[np.ndarray], tokens: int, distinct: int, priors: tuple[float, float] = PRIORS) -> None:
+        one, two, three = counts
+        prior2, prior3 = priors
+        self.wide = grams.start + 1
+        p1 = (one + 1.0) / (tokens + distinct + 1.0)
+        follows = np.append(one, one[0])  # a text begins as often as it ends
+        follows[0] = 0
+        p2 = (two + prior2 * p1[grams.word]) / (follows[grams.context] + prior2)
+        p3 = (three + prior3 * p2[grams.shorter]) / (two[grams.longer] + prior3)
+        number = np.cumsum(follows > 0)
+        self.single = np.where(follows > 0, number, 0)  # the state of each word alone
+        pair = (two > 0) & (grams.word > 0)
+        pair_state = np.where(pair, np.cumsum(pair) + number[-1], 0)
+        self.unigram = np.log10(p1)
+        self.fail = np.concatenate((np.zeros(number[-1] + 1, np.int64), self.single[grams.word[pair]]))
+        self.backoff = np.log10(np.concatenate(([1.0], prior2 / (follows[follows > 0] + prior2), prior3 / (two[pair] + prior3))))
+        seen2, seen3 = two > 0, three > 0
+        arcs = np.concatenate((self.single[grams.context[seen2]] * self.wide + grams.word[seen2], pair_state[grams.longer[seen3]] * self.wide + grams.last[seen3]))
+        weight = np.log10(np.concatenate((p2[seen2], p3[seen3])))
+        onward = np.concatenate((pair_state[seen2], pair_state[grams.shorter[seen3]]))
         order = np.argsort(arcs)
         self.arcs, self.weight, self.next = arcs[order], weight[order], onward[order]
 
-    def read(self, sequence: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The log10 probability of each text, without the unigram terms of words that have no number."""
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, next state) of each word in each state."""
+        gained, target = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        open_, here = np.arange(len(state)), state
+        while len(open_):
+            sought = here * self.wide + word[open_]
+            at = np.minimum(np.searchsorted(self.arcs, sought), max(0, len(self.arcs) - 1))
+            hit = (self.arcs[at] == sought) & (here > 0) if len(self.arcs) else np.zeros(len(open_), bool)
+            gained[open_[hit]] += self.weight[at[hit]]
+            target[open_[hit]] = self.next[at[hit]]
+            root = open_[~hit & (here == 0)]
+            gained[root] += self.unigram[word[root]]
+            target[root] = self.single[word[root]]
+            on = ~hit & (here > 0)
+            open_, here = open_[on], here[on]
+            gained[open_] += self.backoff[here]
+            here = self.fail[here]
+        return gained, target
+
+    def read(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The log10 probability of each text; tokens have a start and an end around each."""
         lanes_of = -(-(np.diff(first) - 1) // LANE)
         owner = np.repeat(np.arange(len(lanes_of)), lanes_of)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes_of) - lanes_of, lanes_of)
         begin = first[:-1][owner] + 1 + nth * LANE
         stop = np.minimum(begin + LANE, first[1:][owner])
-        state = np.where(nth == 0, self.single[self.words], 0)
+        state = np.where(nth == 0, self.single[-1], 0)
         total = np.zeros(len(owner))
-        for step in range(1 - ORDER, LANE):
-            at = begin + step
-            live = np.flatnonzero((at < stop) & ((step >= 0) | (nth > 0)))
+        for ahead in range(1 - ORDER, LANE):
+            at = begin + ahead
+            live = np.flatnonzero((at < stop) & ((ahead >= 0) | (nth > 0)))
             if not len(live):
                 break
-            word, here = sequence[at[live]], state[live]
-            gained, target = np.zeros(len(live)), np.zeros(len(live), np.int64)
-            open_ = np.arange(len(live))
-            while len(open_):
-                s, w = here[open_], word[open_]
-                arc = np.where((s > 0) & (w >= 0), self.look_up(s * (self.words + 1) + w), -1)
-                hit = arc >= 0
-                gained[open_[hit]] += self.weight[arc[hit]]
-                target[open_[hit]] = self.next[arc[hit]]
-                root = ~hit & (s == 0)
-                known = root & (w >= 0)
-                gained[open_[known]] += self.unigram[w[known]]
-                target[open_[known]] = self.single[w[known]]
-                on = ~hit & (s > 0)
-                gained[open_[on]] += self.backoff[s[on]]
-                here[open_[on]] = self.fail[s[on]]
-                open_ = open_[on]
-            state[live] = target
-            if step >= 0:
+            gained, state[live] = self.step(state[live], tokens[at[live]])
+            if ahead >= 0:
                 total[live] += gained
         return np.bincount(owner, weights=total, minlength=len(lanes_of)).astype(float)
 
 
-def learn(docs: DataFrame, word_share: float = WORD_SHARE, arc_share: float = ARC_SHARE) -> tuple[Automaton, DataFrame]:
-    """The automaton of docs(text) and the exact unigram table (key, n)."""
-    spark = docs.sparkSession
-    counts = cut(tally(docs, _word_keys))
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct"), F.coalesce(F.sum(F.when(F.col("key") == int(END), F.col("n"))), F.lit(0)).alias("texts")).first()
-    # at most 1 / word_share rows; the end of a text is always one of them
-    words = counts.where((F.col("n") >= word_share * totals["tokens"]) | (F.col("key") == int(END))).toPandas()
-    made = Automaton(words["key"].to_numpy().view(np.uint64), words["n"].to_numpy(), totals["tokens"], totals["distinct"], totals["texts"])
-    for order in range(2, ORDER + 1):
-        shared = spark.sparkContext.broadcast(made)
-
-        def keys_of(part: pa.RecordBatch, shared=shared, order=order) -> np.ndarray:
-            model = shared.value
-            seq, _ = model.sequence(textkit.Words(part.column("text")))
-            wide = model.words + 1
-            often = model.frequent(arc_share)
-            good = (seq >= 0) & often[np.maximum(seq, 0)]
-            # a run of word numbers never crosses a start, because a start is never a continuation
-            two = good[:-1] & good[1:] & (seq[1:] != model.words)
-            two &= seq[:-1] != model.end
-            key = seq[:-1] * wide + seq[1:]
-            if order == 2:
-                return key[two]
-            at = np.minimum(np.searchsorted(model.pairs, key), max(0, len(model.pairs) - 1))
-            kept = two & (model.pairs[at] == key) if len(model.pairs) else np.zeros(len(key), bool)
-            three = kept[:-1] & kept[1:]
-            return (at[:-1] * wide + seq[2:])[three]
+def _grams(batch: pa.RecordBatch, row: int) -> Grams:
+    block = blocks.Block(*(batch.column(c)[row] for c in ("sizes", "vocabulary", "sequence")))
+    learned = batch.column("marks")[row].values.fill_null(False).to_numpy(zero_copy_only=False)
+    return Grams(block, learned)
 
-        least = max(1.0, arc_share * totals["tokens"])
-        arcs = tally(docs, keys_of).where(F.col("n") >= least).toPandas()  # at most 1 / arc_share rows
-        if not len(arcs):
-            break
-        (made.add_pairs if order == 2 else made.add_triples)(arcs["key"].to_numpy(), arcs["n"].to_numpy())
-    return made, counts
 
+def score(docs: DataFrame, learns: Column | None = None, priors: tuple[float, float] = PRIORS) -> DataFrame:
+    """Every row of docs(doc_id, text) under the model of the rows where ``learns`` holds (all without it):
 
-def score(docs: DataFrame, model: Automaton, counts: DataFrame) -> DataFrame:
-    """Every row of docs(doc_id, text): doc_id, n_tokens, n_known, base_score, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    doc_id, n_tokens, n_known, train_tokens, base_score, score.
+    """
+    marked = docs.select(F.col("doc_id").alias("id"), (F.lit(True) if learns is None else F.coalesce(learns, F.lit(False))).alias("mark"), "text")
+    made = cut(blocks.text_blocks(marked))
+    tokens = made.agg(F.coalesce(F.sum(F.size("sizes") + F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0))).first()[0]
+    counts = cut(blocks.global_counts(made, lambda batch, row: _grams(batch, row).asked(), max(1, -(-tokens // blocks.BUCKET))))
+    learned, distinct = counts.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
 
-    def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        words = textkit.Words(part.column("text"))
-        seq, first = model.sequence(words)
-        inner = np.ones(len(seq), dtype=bool)
-        inner[first[:-1]] = False
-        owner = np.repeat(np.arange(part.num_rows), np.diff(first))
-        known = inner & (seq >= 0)
-        n_known = np.bincount(owner[known], minlength=part.num_rows)
-        base = np.bincount(owner[known], weights=model.unigram[seq[known]], minlength=part.num_rows).astype(float)  # whole numbers if nothing is known
-        number = seq[np.arange(len(words.text)) + 2 * words.text + 1]
-        rare = number < 0
-        key, text = words.hashes[rare], words.text[rare]
-        order = np.lexsort((key, text))
-        key, text = key[order], text[order]
-        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])))) if len(key) else np.zeros(0, int)
-        times = np.diff(np.append(new, len(key)))
-        sizes = np.bincount(text[new], minlength=part.num_rows)
-        columns = [part.column("row"), part.column("doc_id"), pa.array(words.n + 1), pa.array(n_known), pa.array(base), pa.array(model.read(seq, first))]
-        columns += [textkit.ragged(key[new].view(np.int64), sizes), textkit.ragged(times.astype(np.int32), sizes)]
-        yield pa.record_batch(columns, names=["row", "doc_id", "n_tokens", "n_known", "base", "path", "rare", "times"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                grams = _grams(batch, row)
+                own = grams.told(blocks.counts_of(batch.column("answers")[row], ORDER))
+                model = Automaton(grams, own, learned, distinct, priors)
+                inner, texts = grams.tokens[grams.two], grams.owner[grams.two]
+                sums = lambda x, n=len(grams.first) - 1, texts=texts: np.bincount(texts, weights=x, minlength=n)
+                columns = [batch.column("ids")[row].values, pa.array(np.diff(grams.first) - 1), pa.array(sums(own[0][inner] > 0).astype(np.int64))]
+                columns += [pa.array(sums(model.unigram[inner]).astype(float)), pa.array(model.read(grams.tokens, grams.first))]
+                yield pa.record_batch(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    read = cut(by_slice(rows, work, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, path double, rare array<long>, times array<int>"))
-    rare = read.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
-    met = rare.join(counts, "key", "left")
-    term = F.log10((F.coalesce("n", F.lit(0)) + 1.0) / F.lit(float(model.tokens + model.distinct + 1)))
-    sums = met.groupBy("row").agg(F.sum(F.col("times") * term).alias("rare_score"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
-    extra = F.coalesce("rare_score", F.lit(0.0))
-    return read.drop("rare", "times").join(sums, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), (F.col("base") + extra).alias("base_score"), (F.col("path") + extra).alias("score")
-    )
+    scored = blocks.with_counts(made, counts).mapInArrow(work, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(learned).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
     held_out = crc_fold("doc_id", 7) == 2
-    model, counts = learn(docs.where(~held_out))
-    return score(docs, model, counts).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    found = score(load(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkquarry.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, minhash_dedup, registry, source_mix, substring_dedup, tables, textkit, toxicity
+from sparkquarry.llm import blocks, chat_format, decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, minhash_dedup, registry, source_mix, substring_dedup, tables, textkit, toxicity
 from sparkquarry.llm.components import components
 from tests.llm import brute
 from tests.oracle import SF, assert_matches
@@ -133,88 +133,59 @@ def test_near_duplicates_edges(spark, odd, empty):
 # 2 language model
 
 
-def test_lm_base_scores_equal_brute_force(spark):
+@pytest.mark.parametrize("size", [2000, 1_000_000])
+def test_lm_scores_equal_a_dictionary_model(spark, monkeypatch, size):
+    """Whole texts of the whole table: counts, base score and backoff score against plain dictionaries."""
+    monkeypatch.setattr(blocks, "BLOCK", size)
+    monkeypatch.setattr(blocks.text_blocks, "__defaults__", (size,))
+    monkeypatch.setattr(blocks, "BUCKET", 30_000)
     rows = registry.queries()["op2_lm_scoring"](spark, SF).collect()
-    texts = {r.doc_id: brute.words(r.text) + [0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    texts = {r.doc_id: brute.words(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
-    counts = Counter(w for i, t in texts.items() if not held[i] for w in t)
-    total, distinct = sum(counts.values()), len(counts)
+    model = brute.BackoffModel([t for i, t in texts.items() if not held[i]], lm_scoring.PRIORS)
+    assert len(rows) == len(texts)
     for r in rows:
-        t = texts[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(w in counts for w in t), total)
-        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in t), abs=1e-6)
+        t = [*texts[r.doc_id], None]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(model.one[w] > 0 for w in t), model.total)
+        assert r.base_score == pytest.approx(sum(math.log10(model.base(w)) for w in t), abs=1e-6)
+        assert r.score == pytest.approx(model.score(texts[r.doc_id]), abs=1e-6)
     fresh = [r for r in rows if r.held_out]
     assert sum(r.score for r in fresh) > sum(r.base_score for r in fresh)
 
 
-def test_automaton_is_a_distribution_and_equals_plain_backoff(spark):
-    texts = ["a b c a b c", "a b d", "b c a b", "a b c e", "c c c a"] * 3
-    model, counts = lm_scoring.learn(table(spark, texts), word_share=0.05, arc_share=0.04)
-    assert len(model.arcs) and len(model.fail) > 1 + len(model.single.nonzero()[0])
-    order = {int(h): i for i, h in enumerate(model.hashes)}
-    number = {w: order.get(int(textkit.Words(pa.array([w])).hashes[0]), -1) for w in "abcde"} | {"$": model.end}
-
-    def plain(state, w):
-        out = 0.0
-        while state:
-            arc = model.look_up(np.array([state * (model.words + 1) + w]))[0]
-            if arc >= 0:
-                return out + model.weight[arc]
-            out, state = out + model.backoff[state], model.fail[state]
-        return out + model.unigram[w]
-
-    rest = 1 - (10**model.unigram).sum()
+def test_states_of_the_automaton_are_distributions():
+    """All words, the end and the mass of unknown words sum to one in every state."""
+    texts = ["a b c a b c", "a b d", "b c a b", "a b c e", "c c c a", ""]
+    made = textkit.Words(pa.array(texts))
+    vocabulary, sequence = np.unique(made.hashes, return_inverse=True)
+    block = blocks.Block(pa.scalar(made.n.tolist(), pa.list_(pa.int64())), pa.scalar(blocks.pack_sorted(vocabulary)), pa.scalar(blocks.pack(sequence)))
+    grams = lm_scoring.Grams(block, np.array([True] * 4 + [False, True]))
+    counts = grams.told([n for _, n in grams.asked()])
+    model = lm_scoring.Automaton(grams, counts, int(counts[0].sum()), int((counts[0] > 0).sum()))
+    known = np.flatnonzero(counts[0] > 0)
+    assert len(model.fail) > len(known)
     for state in range(len(model.fail)):
+        gained, _ = model.step(np.full(len(known), state), known)
         below, s = 0.0, state
         while s:
             below, s = below + model.backoff[s], model.fail[s]
-        assert sum(10 ** plain(state, w) for w in range(model.words)) + rest * 10**below == pytest.approx(1)
-
-    def states(history):
-        for n in (2, 1):
-            if len(history) >= n:
-                key = None
-                if n == 1:
-                    key = model.single[history[-1]] if history[-1] >= 0 else 0
-                elif min(history[-2:]) >= 0:
-                    at = np.flatnonzero(model.pairs == history[-2] * (model.words + 1) + history[-1])
-                    key = next((s for s in range(len(model.fail)) if len(at) and _pair_state(model, at[0]) == s), 0)
-                if key:
-                    return key
-        return 0
-
-    probe = " ".join(random.Random(1).choice("abcde") for _ in range(300))
-    got = lm_scoring.score(table(spark, [probe]), model, counts).first()
-    history, want = [model.words], 0.0
-    for w in [*probe.split(), "$"]:
-        n = number[w]
-        want += plain(states(history), n) if n >= 0 else _missing(model, states(history))
-        history.append(n)
-    unknown = sum(math.log10((counts.where(F.col("key") == int(textkit.Words(pa.array([w])).hashes.view(np.int64)[0])).first() or [0, 0])[1] + 1) - math.log10(model.tokens + model.distinct + 1) for w in probe.split() if number[w] < 0)
-    assert got.score == pytest.approx(want + unknown, abs=1e-6)
-
-
-def _pair_state(model, pair):
-    """The state of a pair of words: the target of the arc that completes it."""
-    context, word = divmod(int(model.pairs[pair]), model.words + 1)
-    arc = model.look_up(np.array([model.single[context] * (model.words + 1) + word]))[0]
-    return int(model.next[arc])
-
-
-def _missing(model, state):
-    out = 0.0
-    while state:
-        out, state = out + model.backoff[state], model.fail[state]
-    return out
+        assert (10**gained).sum() + 10 ** (below - math.log10(counts[0].sum() + len(known) + 1)) == pytest.approx(1)
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.RandomState(3)
+    for x in (np.zeros(0, np.int64), np.arange(300), rng.randint(0, 2**40, 1000), np.array([2**64 - 1], np.uint64)):
+        assert (blocks.unpack(blocks.pack(x)).astype(np.uint64) == x.astype(np.uint64)).all()
+        assert (blocks.unpack_sorted(blocks.pack_sorted(np.sort(x.astype(np.uint64)))) == np.sort(x.astype(np.uint64))).all()
 
 
 def test_lm_edges(spark, odd, empty):
-    model, counts = lm_scoring.learn(odd)
-    rows = lm_scoring.score(odd, model, counts).collect()
+    rows = lm_scoring.score(odd).collect()
     assert len(rows) == odd.count() and all(r.n_tokens == r.n_known for r in rows) and all(r.score <= 0 for r in rows)
-    none, counts = lm_scoring.learn(empty)
-    assert {r.base_score for r in lm_scoring.score(odd.where("doc_id < 3"), none, counts).collect()} == {0.0}
-    assert lm_scoring.score(empty, model, counts).count() == 0
+    assert {r.n_tokens for r in rows if r.doc_id in (0, 1, 2)} == {1}
+    none = lm_scoring.score(odd.where("doc_id < 4"), F.lit(None).cast("boolean")).collect()
+    assert {(r.base_score, r.score, r.n_known, r.train_tokens) for r in none} == {(0.0, 0.0, 0, 0)}
+    assert lm_scoring.score(empty).count() == 0
 
 
 # 3 chat formatting
