@@ -153,9 +153,8 @@ class Automaton:
 
 
 def _grams(batch: pa.RecordBatch, row: int) -> Grams:
-    block = blocks.Block(*(batch.column(c)[row] for c in ("sizes", "vocabulary", "sequence")))
     learned = batch.column("marks")[row].values.fill_null(False).to_numpy(zero_copy_only=False)
-    return Grams(block, learned)
+    return Grams(blocks.Block(batch, row), learned)
 
 
 def score(docs: DataFrame, learns: Column | None = None, priors: tuple[float, float] = PRIORS) -> DataFrame:
@@ -166,7 +165,7 @@ def score(docs: DataFrame, learns: Column | None = None, priors: tuple[float, fl
     marked = docs.select(F.col("doc_id").alias("id"), (F.lit(True) if learns is None else F.coalesce(learns, F.lit(False))).alias("mark"), "text")
     made = cut(blocks.text_blocks(marked))
     tokens = made.agg(F.coalesce(F.sum(F.size("sizes") + F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0))).first()[0]
-    counts = cut(blocks.global_counts(made, lambda batch, row: _grams(batch, row).asked(), max(1, -(-tokens // blocks.BUCKET))))
+    counts = cut(blocks.global_counts(made, lambda batch, row: _grams(batch, row).asked(), tokens))
     learned, distinct = counts.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

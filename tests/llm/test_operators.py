@@ -158,7 +158,8 @@ def test_states_of_the_automaton_are_distributions():
     texts = ["a b c a b c", "a b d", "b c a b", "a b c e", "c c c a", ""]
     made = textkit.Words(pa.array(texts))
     vocabulary, sequence = np.unique(made.hashes, return_inverse=True)
-    block = blocks.Block(pa.scalar(made.n.tolist(), pa.list_(pa.int64())), pa.scalar(blocks.pack_sorted(vocabulary)), pa.scalar(blocks.pack(sequence)))
+    columns = [pa.array([made.n.tolist()]), *(pa.array([x], pa.binary()) for x in (blocks.pack_sorted(vocabulary), blocks.pack(np.arange(len(vocabulary))), blocks.pack(sequence)))]
+    block = blocks.Block(pa.record_batch(columns, names=["sizes", "vocabulary", "numbers", "sequence"]), 0)
     grams = lm_scoring.Grams(block, np.array([True] * 4 + [False, True]))
     counts = grams.told([n for _, n in grams.asked()])
     model = lm_scoring.Automaton(grams, counts, int(counts[0].sum()), int((counts[0] > 0).sum()))
