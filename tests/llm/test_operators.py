@@ -1,6 +1,8 @@
+import difflib
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -209,6 +211,60 @@ def test_quote_links(spark):
     assert got[2, 0].text == "" and got[2, 0].parent_turn is None and got[None, 3].depth == 0
 
 
+def test_short_wrapped_and_cut_quotes(spark):
+    rows = [
+        (1, 0, "user", "Agreed."),
+        (1, 1, "user", "The plan needs more people than we have at the moment, so we should ask the others first."),
+        (1, 2, "user", "Yes, please."),
+        (1, 3, "user", "> Agreed.\nWhy?"),
+        (1, 4, "user", "On Mon 3 May Ann\nwrote:\n> The plan needs more\n> people than we have\n>\n> at the moment, so we\n> should ask the others first.\nFine."),
+        (1, 5, "user", "> than we have at the\n> moment\nHow many?"),
+        (1, 6, "user", ">  YES,  please.\nGood."),
+        (1, 7, "user", "> nothing like it was said by anybody here\nOdd."),
+        (1, 8, "user", ""),
+        (1, None, "user", "> Agreed."),
+        (1, 9, "user", "> Agreed.\n" + "> The plan needs more people\n" * 2 + LONG),
+    ]
+    got = {r.turn: r for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: got[t].parent_turn for t in got if t is not None} == {0: None, 1: 0, 2: 1, 3: 0, 4: 1, 5: 1, 6: 2, 7: 6, 8: 7, 9: 1}
+    assert got[4].text == "Fine." and got[9].text == LONG and got[9].n_linked == 1 and got[None].parent_turn is None
+
+
+def test_parents_of_a_quoted_table(spark):
+    """Every message of the conversations quotes chosen earlier ones: nested, attributed, wrapped anew."""
+    rng = random.Random(11)
+    talks = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        talks.setdefault(r.conv_id, []).append(r)
+    rows, truth = [], {}
+
+    def wrapped(text, mark):
+        w, out = text.split(), []
+        while w:
+            n = rng.randrange(3, 12)
+            out.append(mark + " ".join(w[:n]))
+            w = w[n:]
+        return out
+
+    for conv, turns in talks.items():
+        for i, r in enumerate(turns):
+            lines, parent = [], turns[i - 1].turn if i else None
+            words = brute.words(r.text)
+            if i and rng.random() < 0.7:
+                j = rng.randrange(i)
+                if len(brute.words(turns[j].text)) >= 3 and turns[j].text.split():
+                    first = next(t.turn for t in turns[: j + 1] if brute.words(t.text) == brute.words(turns[j].text))
+                    parent = first
+                    inner = wrapped(turns[rng.randrange(j + 1)].text, ">> ") if rng.random() < 0.4 else []
+                    lines = ["Somebody wrote:", *inner, *wrapped(turns[j].text, "> "), ""]
+            truth[conv, r.turn] = parent, bool(words)
+            rows.append((conv, r.turn, r.role, "\n".join([*lines, r.text])))
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in chat_format.format_chats(docs).collect()}
+    wrong = [k for k, (parent, _) in truth.items() if got[k].parent_turn != parent]
+    assert sum(parent is not None for parent, _ in truth.values()) > 30 and len(wrong) <= 0.02 * len(truth)
+
+
 def test_long_conversations_and_spans(spark, monkeypatch):
     monkeypatch.setattr(chat_format, "SPAN", 7)
     rows = [(1, 3 * i, "user", f"line number {i}") for i in range(100)] + [(1, 0, "user", "line number 0")]
@@ -238,6 +294,83 @@ def test_language_edges(spark, odd, empty):
     assert language_id.keep_identified(odd.withColumn("lang", F.lit(None).cast("string"))).where("doc_id = 3").count() == 2
 
 
+def test_ftrl_equals_a_dense_version():
+    """Plain loops over all coordinates, one batch at a time, as the FTRL-proximal paper writes them."""
+    rng = np.random.RandomState(5)
+    labels = rng.randint(3, size=90)
+    rows = [(np.unique(np.append(rng.choice(20, 4, replace=False), 20 + y)), None) for y in labels]
+    rows = [(f, rng.rand(len(f))) for f, _ in rows]
+    got = language_id.fit_ftrl(rows, labels, 3, 24, epochs=2, batch=32, alpha=0.3, beta=1.0, l1=0.02, l2=0.02)
+    x = np.zeros((90, 25))
+    for i, (f, v) in enumerate(rows):
+        x[i, f], x[i, 24] = v, 1.0
+    z, n, order = np.zeros((25, 3)), np.zeros((25, 3)), np.random.RandomState(7)
+
+    def weights():
+        w = np.zeros((25, 3))
+        for i in range(25):
+            for c in range(3):
+                if abs(z[i, c]) > 0.02:
+                    w[i, c] = -(z[i, c] - math.copysign(0.02, z[i, c])) / ((1.0 + math.sqrt(n[i, c])) / 0.3 + 0.02)
+        return w
+
+    for _ in range(2):
+        shuffled = order.permutation(90)
+        for first in range(0, 90, 32):
+            some = shuffled[first : first + 32]
+            w = weights()
+            e = np.exp(x[some] @ w)
+            g = x[some].T @ (e / e.sum(axis=1, keepdims=True) - np.eye(3)[labels[some]])
+            for i in range(25):
+                for c in range(3):
+                    sigma = (math.sqrt(n[i, c] + g[i, c] ** 2) - math.sqrt(n[i, c])) / 0.3
+                    z[i, c] += g[i, c] - sigma * w[i, c]
+                    n[i, c] += g[i, c] ** 2
+    assert np.allclose(got, weights())
+
+
+def test_language_scores_equal_plain_tfidf(spark):
+    texts = ["the cat sat on the mat", "der Hund saß auf der Matte", "Ünï çødé 42", None, "--", "a"]
+    docs = table(spark, texts).withColumn("lang", F.when(F.col("doc_id") == 1, "de").otherwise("en"))
+    model = language_id.train(docs)
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+
+    def features(text):
+        """Hashed 1-, 2- and 3-grams of lower-cased letters, other runs as one space."""
+        plain = "".join(c if c.isalpha() else " " for c in text.lower() + " ")
+        while "  " in plain:
+            plain = plain.replace("  ", " ")
+        for n in (1, 2, 3):
+            for i in range(len(plain) - n + 1):
+                key = n
+                for c in plain[i : i + n]:
+                    key = (key * 2**21 + ord(c)) % 2**64
+                yield (key * 0x9E3779B97F4A7C15) % 2**64 >> 48
+
+    for i, text in enumerate(texts):
+        if text is None or not any(map(str.isalpha, text)):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        seen = list(features(text))
+        logits = [sum(float(model.weights[f, c]) for f in seen) / len(seen) + model.bias[c] for c in range(2)]
+        e = [math.exp(x - max(logits)) for x in logits]
+        best = max(range(2), key=lambda c: (e[c], -c))
+        assert got[i].lang_pred == model.classes[best] and got[i].score == pytest.approx(max(e) / sum(e), abs=1e-5)
+
+
+def test_unreadable_texts_go_and_clean_ones_stay(spark):
+    rng = random.Random(4)
+    junk = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(3, 12))) for _ in range(4000)]
+    bad = [" ".join(rng.sample(junk, n)) for n in (20, 60, 200, 1000) for _ in range(5)] + ["漢字仮名交じり文章の例" * 8, "%% -- 12 !"]
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    more = spark.createDataFrame([(10**6 + i, t, None, "s", 0) for i, t in enumerate(bad)], SCHEMA)
+    for languages in (None, ["en"]):
+        some = docs if languages is None else docs.where(F.col("lang").isin(languages))
+        kept = {r.doc_id for r in language_id.keep_identified(some.unionByName(more.select(*some.columns))).select("doc_id").collect()}
+        readable = {r.doc_id for r in some.where("text RLIKE '[A-Za-z]'").select("doc_id").collect()}
+        assert not {i for i in kept if i is not None and i >= 10**6} and len(readable - kept) <= 0.02 * len(readable)
+
+
 def test_ftrl_is_sparse_and_calibrated():
     rng = np.random.RandomState(0)
     labels = np.arange(400) % 2
@@ -261,6 +394,12 @@ def test_line_dedup_equals_brute_force(spark, odd, empty):
     assert [r.text for r in rows if r.doc_id == 7] == ["x\n\n\n\ny"]
 
 
+def test_a_long_text_of_covered_lines_costs_its_length(spark):
+    many = "\n".join(f"line {i}" for i in range(60_000))
+    rows = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, [many, many, f"{many}\nlast"])).collect()}
+    assert rows[0].text == many and rows[1].text == "" and rows[2].text == "last" and rows[1].n_lines == len(rows[1].covered) == 60_000
+
+
 # 6 toxicity
 
 
@@ -330,12 +469,54 @@ def test_templates_and_slots(spark, odd, empty):
     docs = table(spark, [f"Some words. {item} More words.", again, broken, other, f"{item[:40]}", None, f"{item} {item}", item.upper()])
     bench = spark.createDataFrame([(7, item), (8, None), (9, "too short"), (7, item)], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
-    assert set(got) >= {0, 1, 6} and got[0].verbatim and not got[1].verbatim and got[1].coverage == 1
-    assert not set(got) & {2, 3, 4, 5}
+    assert set(got) == {0, 1, 2, 6, 7} and got[0].verbatim and got[7].verbatim and not got[1].verbatim and got[1].coverage == 1
+    assert not got[2].verbatim and got[2].coverage < 1  # one slip leaves the windows around it uncovered, no more
     assert decontaminate.decontaminate(odd, bench).count() == odd.count() and decontaminate.decontaminate(odd, bench).columns == odd.columns
     assert decontaminate.contamination(empty, bench).count() == 0 and decontaminate.contamination(odd, bench.limit(0)).count() == 0
 
 
+def test_letter_case_numbers_and_short_items(spark):
+    items = ["Compute 12 + 7 * 3 - 4", "2 + 2", "今日は天気がとても良いので散歩に行きましょう", "Mary Ann Smith met John Peter Miller Jones in Paris", "Name the largest planet of the solar system and its four brightest moons in order."]
+    docs = [f"Homework. {items[0]} Good luck.", "2 + 2", "We know that 2 + 2 is 4 and 7 + 2 is 9.", f"x\n{items[2]}\ny", items[3].upper(), items[4].upper(), items[4].lower(), items[4].title(), f"{items[4][:40]} something else", None]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contamination(table(spark, docs), bench).collect()}
+    assert set(got) == {(0, 0), (1, 1), (3, 2), (4, 3), (5, 4), (6, 4), (7, 4)} and all(r.verbatim for r in got.values())
+
+
+def test_slots_agree_over_the_whole_item(spark):
+    item = "A farmer has 12 red hens and 30 white geese in the yard while the neighbour keeps 12 ducks near the old mill and sells 30 eggs a day."
+    docs = [
+        item.replace("12", "8").replace("30", "41"),
+        item.replace("12", "8", 1).replace("30", "41"),  # 12 stands for 8 and 12: few windows disagree
+        "".join(c if not c.isdigit() else str(i % 10) for i, c in enumerate(item)),  # every number another
+        item.replace("12", "8").replace("30", "41").replace(" while", " and then, on the other side, while"),
+    ]
+    got = {r.doc_id: r for r in decontaminate.contamination(table(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert {0, 1, 3} <= set(got) and got[0].coverage == 1 and got[1].coverage < 1 and not got[0].verbatim
+
+
+def test_reparameterised_items_of_the_table_are_found(spark):
+    """Numbers and names of the benchmark's items changed, the copies put inside documents: recall at least 0.9, nothing else found."""
+    rng = random.Random(9)
+    sf = SF.replace("0.001", "0.01")
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    plain = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 3 = 0").select("doc_id", "text")
+    before = {(r.doc_id, r.item_id) for r in decontaminate.contamination(plain, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    rows, made = [], {}
+    texts = [(r.doc_id, r.text or "") for r in plain.orderBy("doc_id").collect()]
+    for (doc, text), (item, question) in zip(texts, items.items(), strict=False):
+        numbers: dict = {}
+        changed = re.sub(r"\d+", lambda m, numbers=numbers: numbers.setdefault(m[0], str(rng.randrange(100, 999))), question)
+        changed = re.sub(r"(?<=[a-z,] )[A-Z][a-z]+", lambda m: {"Anna": "Olga"}.get(m[0], "Xavier"), changed)
+        made[doc] = item
+        rows.append((doc, f"{text}\n{changed}\n{text[:200]}"))
+    rest = texts[len(rows) :]
+    docs = spark.createDataFrame(rows + rest, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert len(made) >= 20 and sum((d, i) in got for d, i in made.items()) >= 0.9 * len(made)
+    assert len(got - set(made.items()) - before) <= 1
+
+
 def test_verbatim_passages_of_the_table_are_found(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 500)
     sf = SF.replace("0.001", "0.01")
@@ -409,6 +590,53 @@ def test_fuzzy_passages(spark, odd, empty):
     assert substring_dedup.repeated_passages(odd).count() == 0
 
 
+def _noise(rng, n):
+    return [f"v{rng.randrange(3000)}" for _ in range(n)]
+
+
+def test_a_passage_put_together_from_pieces_is_found_whole(spark):
+    """A holds 45 words, B other 45, C and D both hold the 90 in one piece: D's copy of C must be reported."""
+    rng = random.Random(1)
+    texts, groups = [], []
+    for _ in range(40):
+        a, b = _noise(rng, 45), _noise(rng, 45)
+        for parts in ((30, a, 30), (30, b, 30), (20, a, b, 20), (25, a, b, 15)):
+            texts.append(" ".join(w for p in parts for w in (p if isinstance(p, list) else _noise(rng, p))))
+        groups.append((len(texts) - 2, len(texts) - 1))
+    got = {(r.source_doc_id, r.doc_id) for r in substring_dedup.repeated_passages(table(spark, texts)).collect() if r.n_words >= 88}
+    assert len(got & set(groups)) >= 36
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Passages of 100 words with 3 to 15 % of the words changed, dropped or put in, against plain word alignment."""
+    rng = random.Random(2)
+    texts, planted = [], {}
+    for share in (0.03, 0.06, 0.1, 0.15):
+        for _ in range(30):
+            passage = _noise(rng, 100)
+            again = []
+            for w in passage:
+                kind = rng.random() / share
+                again += [w] if kind >= 1 else [f"v{rng.randrange(3000)}"] if kind < 0.6 else [] if kind < 0.8 else [w, "extra"]
+            texts += [" ".join(_noise(rng, 30) + passage + _noise(rng, 40)), " ".join(_noise(rng, 50) + again + _noise(rng, 20))]
+            same = sum(m.size for m in difflib.SequenceMatcher(None, passage, again, autojunk=False).get_matching_blocks())
+            planted[len(texts) - 1] = same / max(len(passage), len(again))
+    found = {r.doc_id for r in substring_dedup.repeated_passages(table(spark, texts)).collect()}
+    assert found <= set(planted)
+    for low, high, least in ((0.95, 1, 1.0), (0.9, 0.95, 0.9), (0.8, 0.9, 0.75)):
+        some = [d for d, p in planted.items() if low <= p < high]
+        assert len(some) >= 10 and sum(d in found for d in some) >= least * len(some)
+
+
+def test_rows_that_repeat_an_id_and_hot_passages(spark):
+    rng = random.Random(6)
+    passage = _noise(rng, 60)
+    rows = [(i % 40, " ".join(_noise(rng, 20) + passage + _noise(rng, 20)), "en", "s", 0) for i in range(80)] + [(None, " ".join(passage), "en", "s", 0)]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r.doc_id > r.source_doc_id and r.n_words >= 60 for r in got)
+    assert Counter(r.doc_id for r in got if r.source_doc_id == 0) == {i: 2 for i in range(1, 40)}
+
+
 def test_passages_of_the_table_cover_exact_repeats(spark):
     texts = {r.doc_id: brute.words(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     covered = {i: set() for i in texts}
@@ -439,6 +667,21 @@ def test_mix_edges(spark, odd, empty):
     assert sorted(map(str, rows)) == sorted(map(str, source_mix.mix(odd.repartition(3)).collect()))
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "few", "own"])
+def test_mix_meets_its_targets_with_null_and_repeated_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(source_mix, "PART", 50)
+    monkeypatch.setattr(source_mix, "SLICE", 20)
+    name = {"null": lambda i: None, "one": lambda i: 7, "few": lambda i: i % 5, "own": lambda i: i}[ids]
+    rows = [(name(i), " ".join(["w"] * (1 + i % 3)), None, "ab"[i % 2], 0) for i in range(1200)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = source_mix.mix(docs).collect()
+    assert len(got) == 1200 and all(0 <= r.plays <= 2 for r in got)
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.size * r.plays for r in mine) - mine[0].target) <= 3
+    assert sorted(map(str, got)) == sorted(map(str, source_mix.mix(docs.repartition(5)).collect()))
+
+
 def test_mix_of_the_table_comes_near_its_targets(spark):
     sf = SF.replace("0.001", "0.01")
     rows = registry.queries()["op10_source_mix"](spark, sf).toPandas()
@@ -462,7 +705,8 @@ def test_pipeline_stages(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         kept[name] = {r.doc_id for r in docs.select("doc_id").collect()}
         assert name == "source_mix" or docs.columns == source.columns
-    assert kept["language_id"] == set(texts)
+    readable = {i for i, t in texts.items() if any(map(str.isalpha, t or ""))}
+    assert kept["language_id"] <= readable and len(readable - kept["language_id"]) <= 0.02 * len(readable)
     last = {}
     for i in sorted(kept["language_id"]):
         last[(texts[i] or "").translate(brute.LOWER)] = i
