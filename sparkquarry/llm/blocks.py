@@ -6,7 +6,7 @@ key of every block (n-grams, seeds) how often all blocks have it: a block sends
 bucket of its leading bits, a bucket sums and answers in the order asked.  A key in a third of all texts
 is so one entry a block and not one a text; no bucket holds texts, and buckets grow in number with the
 corpus, not in size.  Keys travel with as many bits as keep a false meeting of any two unlikely (twice the
-logarithm of their number, 56 at least, 64 at most).
+logarithm of their number, 48 at least, 64 at most).
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def global_counts(blocks: DataFrame, keys_of: Callable[[pa.RecordBatch, int], li
     total and distinct: the sum and the number of counted keys of the bucket, on one of its rows, 0 on the others.  size: about how many keys of a kind all blocks have.
     """
     buckets = max(1, -(-size // BUCKET))
-    bits = min(64, max(56, 2 * size.bit_length()))
+    bits = min(64, max(48, 2 * size.bit_length()))
     mask = np.uint64((2**bits - 1) << (64 - bits))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
