@@ -7,8 +7,9 @@ texts of label 1 and NEGATIVES of label 0, drawn by a hash of the id, reweighted
 labelled rows.  Terms have parameters for two reasons: their own label rate stands out (LEAST texts, log
 ratio of EVIDENCE standard errors, counted over all labelled rows), or they belong to a pair whose texts
 differ in label from the texts of either term without the other (PAIR_EVIDENCE standard errors in each
-comparison, all pairs of the sample's terms of PAIR_LEAST texts).  The thousands of terms that are neutral
-both ways add nothing.
+comparison, all pairs of the sample's whole words of PAIR_LEAST texts; a stem's texts are those of its
+words).  The thousands of terms that are neutral both ways cost recall: with parameters for every term of
+a least number of texts, held-out recall on 4,000 labelled texts was 0.44 to 0.71 instead of 0.88.
 
 Defined results: null and empty texts have no terms and score the bias; without labelled rows every
 score is 0, with one label only it is that label; a document with several labels counts as toxic if one
@@ -34,11 +35,11 @@ LEAST, EVIDENCE, FACTORS = 4, 4.0, 8
 PAIR_LEAST, PAIR_EVIDENCE, PAIR_BLOCK = 16, 6.0, 1024
 
 
-def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def terms(texts: pa.Array, stems: tuple[int, ...] = STEMS) -> tuple[np.ndarray, np.ndarray]:
     """(feature, text) of every occurrence of a term."""
     words = textkit.Cores(texts)
     features, owners = [(words.hashes >> np.uint64(46)).astype(np.int32)], [words.text]
-    for n in STEMS:
+    for n in stems:
         longer = words.end - words.start > n
         start = words.start[longer]
         features.append((textkit.mix(words.hash_spans(start, start + n), n) >> np.uint64(46)).astype(np.int32))
@@ -52,12 +53,16 @@ def _distinct(feature: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _sample(docs: DataFrame) -> DataFrame:
+    """(toxic, features, words): the distinct terms of each text, and those of them that are whole words."""
+
     def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        feature, text = _distinct(*terms(part.column("text")))
-        sizes = np.bincount(text, minlength=part.num_rows)
-        yield pa.record_batch([part.column("toxic"), textkit.ragged(feature.astype(np.int32), sizes)], names=["toxic", "features"])
+        columns = [part.column("toxic")]
+        for stems in (STEMS, ()):
+            feature, text = _distinct(*terms(part.column("text"), stems))
+            columns.append(textkit.ragged(feature.astype(np.int32), np.bincount(text, minlength=part.num_rows)))
+        yield pa.record_batch(columns, names=["toxic", "features", "words"])
 
-    return by_slice(docs, work, "toxic int, features array<int>")
+    return by_slice(docs, work, "toxic int, features array<int>, words array<int>")
 
 
 def fit_machine(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, dims: int, factors: int = FACTORS, epochs: int = 8, batch: int = 64, rate: float = 0.1, l1: float = 2e-2, l2: float = 1e-3) -> tuple[float, np.ndarray, np.ndarray]:
@@ -158,10 +163,11 @@ def telling_pairs(spark: SparkSession, rows: list[np.ndarray], labels: np.ndarra
             for i, j in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
                 left, right = block(i), block(j)
                 both0, both1 = left[:, :zeros] @ right[:, :zeros].T, left[:, zeros:] @ right[:, zeros:].T
-                one = _beyond(both0, both1, left[:, :zeros].sum(axis=1)[:, None], left[:, zeros:].sum(axis=1)[:, None])
-                two = _beyond(both0, both1, right[:, :zeros].sum(axis=1)[None], right[:, zeros:].sum(axis=1)[None])
-                stands = (both0 + both1 >= PAIR_LEAST) & (one * two > 0) & (np.minimum(np.abs(one), np.abs(two)) > PAIR_EVIDENCE)
-                found = np.union1d(np.flatnonzero(stands.any(axis=1)) + i * PAIR_BLOCK, np.flatnonzero(stands.any(axis=0)) + j * PAIR_BLOCK)
+                x, y = np.nonzero(both0 + both1 >= PAIR_LEAST)
+                both0, both1 = both0[x, y].astype(np.float64), both1[x, y].astype(np.float64)
+                one, two = (_beyond(both0, both1, of[:, :zeros].sum(axis=1)[at], of[:, zeros:].sum(axis=1)[at]) for of, at in ((left, x), (right, y)))
+                stands = (one * two > 0) & (np.minimum(np.abs(one), np.abs(two)) > PAIR_EVIDENCE)
+                found = np.union1d(x[stands] + i * PAIR_BLOCK, y[stands] + j * PAIR_BLOCK)
                 yield pa.record_batch([pa.array(found)], names=["place"])
 
     n = len(packed)
@@ -234,8 +240,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     drawn = known.where(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     sample = _sample(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic"))  # about positives + negatives rows
     sample = cut(sample)
-    held = sample.toArrow()  # about positives + negatives rows
-    used = np.union1d(alone, telling_pairs(docs.sparkSession, [x.values.to_numpy() for x in held["features"]], held["toxic"].to_numpy())).astype(int)
+    held = sample.select("toxic", "words").toArrow()  # about positives + negatives rows
+    used = np.union1d(alone, telling_pairs(docs.sparkSession, [x.values.to_numpy() for x in held["words"]], held["toxic"].to_numpy())).astype(int)
     found = sample.repartition(1).mapInArrow(_fitted({k: 1 / v for k, v in share.items()}, used), "feature long, w double, v array<double>").toPandas()
     bias = float(found.loc[found["feature"] < 0, "w"].iloc[0])
     found = found[found["feature"] >= 0].sort_values("feature")
