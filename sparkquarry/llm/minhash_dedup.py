@@ -193,18 +193,20 @@ def _across(percent: int):
 
 
 def _verify_blocks(docs: DataFrame, rest: DataFrame, bands: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes of different labels in the buckets of rest(key, node, label, low).
+    """Links (a, b) between classes of different labels in the buckets of rest(key, node, label, low, salts, salt).
 
     A bucket's classes are dealt into blocks of about BLOCK: those of the label ``low``, the bulk of a
     large group, meet only blocks of the others.  Two blocks are one unit of work of bounded size, and
-    only confirmed links leave it.
+    only confirmed links leave it.  A bucket's rows are spread over one salt a block before they learn how
+    many blocks there are; each full set then travels once for every block that its own one meets.
     """
     ids = cut(rest.select("node").distinct())
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = cut(_sets(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(some, "node", "left_semi"), k))
     bulk = F.col("label") == F.col("low")
-    blocks = rest.groupBy("key").agg(*(F.ceil(F.count(F.when(x, 1)) / BLOCK).cast("int").alias(n) for x, n in ((~bulk, "others"), (bulk, "bulks"))))
-    dealt = rest.join(blocks, "key").withColumn("draw", F.xxhash64("node", "key"))
+    blocks = rest.groupBy("key", "salts").agg(*(F.ceil(F.count(F.when(x, 1)) / BLOCK).cast("int").alias(n) for x, n in ((~bulk, "others"), (bulk, "bulks"))))
+    blocks = blocks.select("key", "others", "bulks", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    dealt = rest.join(blocks, ["key", "salt"]).withColumn("draw", F.xxhash64("node", "key"))
     dealt = dealt.withColumn("block", F.when(bulk, F.col("others") + F.pmod("draw", F.col("bulks"))).otherwise(F.pmod("draw", F.col("others"))).cast("int"))
     meets = F.sequence(F.lit(0), F.when(bulk, F.col("others")).otherwise(F.col("others") + F.col("bulks")) - 1)
     dealt = dealt.select("key", "node", "label", "block", F.explode(meets).alias("other"))
@@ -236,8 +238,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # every leader has met its whole bucket; what else lies in different components is compared block by block
     rest = members.where("node <> lead").select("key", "node").join(label, "node", "left")
     rest = rest.select("key", "node", F.coalesce("root", "node").alias("label"))
-    split = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "low")
-    rest = cut(rest.join(split, "key"))
+    split = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
+    rest = rest.join(split.select("key", "low", F.ceil(F.col("n") / BLOCK).cast("int").alias("salts")), "key")
+    rest = cut(rest.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")))
     if not rest.isEmpty():
         more = _verify_blocks(docs, rest, classes.select("node", "bands"), k, percent)
         label = cut(components(edges.unionByName(more)))
