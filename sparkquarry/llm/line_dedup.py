@@ -41,12 +41,13 @@ def covered_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 def line_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, text without covered lines, n_lines, covered."""
     marks = covered_lines(docs, width).select(F.col("doc_id").alias("_id"), F.col("covered").alias("_covered"))
-    lines = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     both = lines.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     covered = F.coalesce("_covered", F.array().cast("array<int>"))
-    split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_covered", i)), "\n")
-    return both.select("doc_id", F.when(F.col("_covered").isNull(), F.col("text")).otherwise(kept).alias("text"), F.size(split).alias("n_lines"), covered.alias("covered"))
+    # array_except hashes, so a text whose lines are all covered costs its own length
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "_covered")
+    kept = F.when(F.col("_covered").isNull(), F.col("lines")).otherwise(F.transform(left, lambda i: F.col("lines")[i]))
+    return both.select("doc_id", F.array_join(kept, "\n").alias("text"), F.size("lines").alias("n_lines"), covered.alias("covered"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
