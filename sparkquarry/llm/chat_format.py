@@ -1,74 +1,120 @@
 """Chat formatting (3): quotation linking turns quoted mail-like messages into reply-ordered chats.
 
 A message's lines are parsed into nested quote levels (leading ``>`` signs); attribution lines above a
-quote go.  Quoted lines and the lines that a message wrote itself are normalised (lower case, single
-spaces) and hashed; a quoted passage belongs to the first message of the same conversation that wrote it,
-so the join meets one row a passage however often it is quoted.  A message answers the earlier message
-that most lines of its outermost matched level come from (ties: the later one), and without a match the
-message before it.  Depth and root follow by pointer doubling.  Every message is returned without
-quotes, as chat markup, ordered by (conv_id, root_turn, turn): a reply never precedes what it answers.
+quote go.  Neighbouring lines of one level are a passage, joined across its line breaks and normalised
+(lower case, single spaces), so a quote that was wrapped anew or cut inside a line still meets its
+original.  A passage is hashed as its windows of WIDTH words, a shorter one as a whole, and joined with the
+windows that the messages of the same conversation wrote themselves (for short passages: with their lines
+and whole texts of that length).  A window belongs to the first message that wrote it, so the join meets
+one row a window however often it is quoted.  A passage is linked to the earlier message that at least
+half of its windows come from.  A message answers the one that most windows of its outermost linked level
+come from (ties: the later one), and without a link the message before it.  Depth and root follow by
+pointer doubling.  Every message is returned without quotes, as chat markup, ordered by (conv_id,
+root_turn, turn): a reply never precedes what it answers.
 
 Conversations aren't gathered: the message before comes from small windows of SPAN turns and their
-maxima, so one conversation may hold a third of all messages.
+maxima, so one conversation may hold a third of all messages.  Own windows are only made for conversations
+that quote anything.
 
 Defined results: null and empty texts are empty messages; a message of quotes alone has empty text; null
 conv_id or turn: the message stands alone; a null role counts as ``user``; rows that repeat a
-(conv_id, turn) are reported each and answered as one message; passages of under LEAST_WORDS words are
-not linked.
+(conv_id, turn) are reported each and answered as one message; a message that several wrote word for word
+is answered where it was written first.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkquarry.llm import textkit
 from sparkquarry.llm.tables import by_slice, cut, load
 
-SPAN, LEAST_WORDS = 4096, 3
+SPAN, WIDTH = 4096, 3
 _QUOTED = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _ATTRIBUTION = re.compile(r"(wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$", re.IGNORECASE)
+_OPENING = re.compile(r"(on|am|le|el)\s.*\d", re.IGNORECASE)
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
-    """(the message without quotes and attribution lines, its lines as (quote level, normalised line)).
+    """(the message without quotes and attribution lines, its quoted passages as (level, words joined by spaces)).
 
-    >>> parse("On Monday Ann wrote:\\n> > all is well\\n> so they say\\nI see.")
-    ('I see.', [(2, 'all is well'), (1, 'so they say'), (0, 'i see.')])
+    >>> parse("On Monday Ann wrote:\\n> > all is\\n> > well\\n> so they say\\nI see.")
+    ('I see.', [(2, 'all is well'), (1, 'so they say')])
     """
     lines = []
     for line in (text or "").split("\n"):
         mark = _QUOTED.match(line)
         lines.append((mark[1].count(">"), line[mark.end() :]) if mark else (0, line))
-    own, parsed = [], []
+    gone = set()
+    for i, (level, line) in enumerate(lines[:-1]):
+        if lines[i + 1][0] > level and _ATTRIBUTION.search(line):
+            gone.add(i)
+            if i and lines[i - 1][0] == level and len(line.split()) < 4 and _OPENING.match(lines[i - 1][1].strip()):
+                gone.add(i - 1)  # an attribution broken into two lines
+    own: list[str] = []
+    passages: list[tuple[int, list[str]]] = []
     for i, (level, line) in enumerate(lines):
-        if i + 1 < len(lines) and lines[i + 1][0] > level and _ATTRIBUTION.search(line):
+        if i in gone:
             continue
         if level == 0:
             own.append(line)
-        if line.strip():
-            parsed.append((level, " ".join(line.lower().split())))
-    return "\n".join(own).strip("\n"), parsed
+            passages.append((0, []))
+        elif passages and passages[-1][0] == level:
+            passages[-1][1].extend(line.lower().split())
+        else:
+            passages.append((level, line.lower().split()))
+    return "\n".join(own).strip("\n"), [(level, " ".join(words)) for level, words in passages if words]
+
+
+def _short_units(own: str) -> list[str]:
+    """A message's own words as one unit, and each line that is too short for a window."""
+    lines = [line.lower().split() for line in own.split("\n")]
+    whole = [w for words in lines for w in words]
+    return [" ".join(whole), *(" ".join(words) for words in lines if 0 < len(words) < WIDTH and len(words) < len(whole))]
 
 
 def parsed_messages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text without quotes, and lines: array of (level, hash) of lines with enough words."""
+    """conv_id, turn, role, text without quotes, own (hashes of what it wrote), and quoted: (level, passage, of, hash) of each window.
+
+    passage is a hash of all its words, of the number of its windows.
+    """
+
+    def hashed(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, unit) of the distinct windows, and a hash of each whole unit."""
+        words = textkit.Words(pa.array(units, pa.string()))
+        value, unit = words.shingles(WIDTH)
+        total = np.bincount(words.text, minlength=len(units))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(textkit.mix(words.hashes + np.arange(len(words.text), dtype=np.uint64) - words.first[words.text].astype(np.uint64), 5), dtype=np.uint64)))
+        whole = textkit.mix(sums[words.first[1:]] - sums[words.first[:-1]], 6) if len(units) else total.astype(np.uint64)
+        order = np.lexsort((value, unit))
+        value, unit = value[order], unit[order]
+        new = np.concatenate(([True], (value[1:] != value[:-1]) | (unit[1:] != unit[:-1]))) if len(value) else np.zeros(0, bool)
+        return value[new].view(np.int64), unit[new], whole.view(np.int64)
 
     def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, lines = [], []
-        for text in part.column("text").to_pylist():
-            own, parsed = parse(text)
-            texts.append(own)
-            lines.append([{"level": level, "hash": int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)} for level, line in parsed if len(line.split()) >= LEAST_WORDS])
-        kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())]))
-        yield pa.record_batch([part.column("conv_id"), part.column("turn"), part.column("role"), pa.array(texts, pa.string()), pa.array(lines, kind)], names=["conv_id", "turn", "role", "text", "lines"])
+        made = [parse(t) for t in part.column("text").to_pylist()]
+        units = [(i, u) for i, (own, _) in enumerate(made) for u in _short_units(own)]
+        quotes = [(i, level, p) for i, (_, passages) in enumerate(made) for level, p in passages]
+        value, unit, _ = hashed([u for _, u in units])
+        owner = np.array([i for i, _ in units], dtype=np.int64)[unit]
+        own = textkit.ragged(value, np.bincount(owner, minlength=len(made)), pa.int64())
+        value, unit, whole = hashed([p for *_, p in quotes])
+        owner, level = (np.array([q[c] for q in quotes], dtype=np.int64)[unit] for c in (0, 1))
+        of = np.bincount(unit, minlength=len(quotes))[unit]
+        columns = [pa.array(x, k) for x, k in ((level, pa.int32()), (whole[unit], pa.int64()), (of, pa.int32()), (value, pa.int64()))]
+        structs = pa.StructArray.from_arrays(columns, names=["level", "passage", "of", "hash"])
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(made))))).astype(np.int32)
+        quoted = pa.ListArray.from_arrays(pa.array(offsets), structs)
+        yield pa.record_batch([part.column("conv_id"), part.column("turn"), part.column("role"), pa.array([own for own, _ in made], pa.string()), own, quoted], names=["conv_id", "turn", "role", "text", "own", "quoted"])
 
     some = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"), "text")
-    return by_slice(some, work, "conv_id long, turn long, role string, text string, lines array<struct<level:int,hash:long>>")
+    return by_slice(some, work, "conv_id long, turn long, role string, text string, own array<long>, quoted array<struct<level:int,passage:long,of:int,hash:long>>")
 
 
 def _before(nodes: DataFrame) -> DataFrame:
@@ -81,13 +127,17 @@ def _before(nodes: DataFrame) -> DataFrame:
 
 
 def reply_links(parsed: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent_turn, n_linked) of every message that has both keys."""
+    """(conv_id, turn, parent_turn, n_linked) of every message that has both keys; n_linked: its linked passages."""
     named = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    lines = named.select("conv_id", "turn", F.explode("lines").alias("l")).select("conv_id", "turn", "l.level", "l.hash").distinct()
-    origin = lines.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    met = lines.where("level > 0").join(origin, ["conv_id", "hash"]).where("origin < turn")
-    votes = met.groupBy("conv_id", "turn", "level", "origin").agg(F.count("*").alias("n"))
-    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("outer"), "n", "origin")).alias("best"), F.sum("n").alias("n_linked"))
+    quoted = named.where(F.size("quoted") > 0).select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.*").distinct()
+    quoting = quoted.select("conv_id").distinct()
+    own = named.join(quoting, "conv_id", "left_semi").select("conv_id", "turn", F.explode("own").alias("hash"))
+    origin = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
+    met = quoted.join(origin, ["conv_id", "hash"]).where("origin < turn")
+    votes = met.groupBy("conv_id", "turn", "level", "passage", "of", "origin").agg(F.count("*").alias("n")).where("2 * n >= of")
+    passages = votes.groupBy("conv_id", "turn", "level", "passage").agg(F.max(F.struct("n", "origin")).alias("best"))
+    per = passages.groupBy("conv_id", "turn", "level", F.col("best.origin").alias("origin")).agg(F.sum("best.n").alias("n"), F.count("*").alias("passages"))
+    best = per.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("outer"), "n", "origin")).alias("best"), F.sum("passages").alias("n_linked"))
     best = best.select("conv_id", "turn", F.col("best.origin").alias("quoted"), "n_linked")
     before = _before(named.select("conv_id", "turn").distinct())
     out = before.join(best, ["conv_id", "turn"], "left")
@@ -118,7 +168,7 @@ def format_chats(messages: DataFrame) -> DataFrame:
     parsed = cut(parsed_messages(messages))
     linked = with_roots(reply_links(parsed))
     keys = linked.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), "parent_turn", "n_linked", "root_turn", "depth")
-    out = parsed.drop("lines").join(keys, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
+    out = parsed.drop("own", "quoted").join(keys, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
     markup = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>\n"))
     return out.select(
         "conv_id", F.coalesce("root_turn", "turn").alias("root_turn"), "turn", F.coalesce("depth", F.lit(0)).alias("depth"), "parent_turn", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "role", "text", markup.alias("markup")
