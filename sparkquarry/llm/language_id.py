@@ -7,6 +7,11 @@ follow-the-regularised-leader (FTRL-proximal) under an elastic net on a sample o
 a language, and one temperature is calibrated on CALIBRATE_ROWS further texts a language.  Both bounds
 are parameters; rows are sampled by a hash of the id.  The model is at most DIMS x languages numbers.
 
+``keep_identified`` rejects by readability, which doesn't depend on how many languages there are: a text
+goes if its n-grams are rarer, by their mean inverse document frequency, than those of the sampled texts of
+every language by ODD standard deviations (robust between texts, and within a text of that length), or if it
+has no letter.
+
 Defined results: null or letterless texts are ``und`` with score 0; so is every text where nothing can be
 learned (no labelled rows); with one label that is predicted with score 1; ids may be null or repeat.
 """
@@ -25,7 +30,7 @@ from sparkquarry.llm.tables import by_slice, crc_fold, load
 
 DIMS = 1 << 16
 FIT_ROWS, CALIBRATE_ROWS = 500, 150
-SCALE = 60.0
+SCALE, ODD, OVERLAP = 60.0, 6.0, 3.0  # n-grams overlap: so many of them count as one
 UNDETERMINED = "und"
 
 _letter = np.array([chr(c).isalpha() for c in range(0x10000)])
@@ -153,15 +158,32 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 class LanguageModel:
-    """classes, weights scaled by idf and by 1 / temperature, (DIMS, classes), and bias."""
+    """classes, weights scaled by idf and by 1 / temperature, (DIMS, classes), and bias; idf, and for each class the usual mean idf of a text and its deviations between and within texts."""
+
+    def __init__(self, classes: list[str], weights: np.ndarray, bias: np.ndarray, idf: np.ndarray, usual: np.ndarray) -> None:
+        self.classes, self.weights, self.bias, self.idf, self.usual = classes, weights.astype(np.float32), bias, idf.astype(np.float32), usual
+
+    def oddness(self, grams: Grams) -> np.ndarray:
+        """By how many standard deviations a text's n-grams are rarer than usual in the language that they fit best."""
+        n = np.maximum(grams.n, 1)
+        mean = np.bincount(grams.text, weights=self.idf[grams.feature], minlength=len(grams.n)) / n
+        of = [(mean - middle) / np.sqrt(among**2 + OVERLAP * within**2 / n) for middle, among, within in self.usual]
+        return np.where(grams.letters, np.min(of, axis=0), 0.0)
 
-    def __init__(self, classes: list[str], weights: np.ndarray, bias: np.ndarray) -> None:
-        self.classes, self.weights, self.bias = classes, weights.astype(np.float32), bias
+
+def usual_rarity(means: np.ndarray, deviations: np.ndarray, sizes: np.ndarray) -> tuple[float, float, float]:
+    """(median of the texts' mean idf, its robust deviation between long texts, 15 % at least, the usual deviation inside a text)."""
+    if not len(means):
+        return np.inf, 1.0, 1.0
+    long = sizes >= np.median(sizes)
+    middle = float(np.median(means[long]))
+    among = 1.4826 * float(np.median(np.abs(means[long] - middle)))
+    return middle, max(among, 0.15 * middle, 1e-3), max(float(np.median(deviations)), 1e-3)
 
 
 def _fitted(classes: list[str], idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, labels, kept = [], [], []
+        rows, labels, kept, rarity = [], [], [], []
         for batch in batches:
             for lang, holdout, feature, count in zip(*(batch.column(c) for c in ("lang", "holdout", "features", "counts")), strict=True):
                 f, c = feature.values.to_numpy(), count.values.to_numpy()
@@ -169,6 +191,10 @@ def _fitted(classes: list[str], idf: np.ndarray):
                     rows.append((f, (c / c.sum() * idf[f] * SCALE)))
                     labels.append(classes.index(lang.as_py()))
                     kept.append(holdout.as_py())
+                    mean = (c * idf[f]).sum() / c.sum()
+                    rarity.append((mean, np.sqrt((c * (idf[f] - mean) ** 2).sum() / c.sum()), c.sum()))
+        rarity = np.array(rarity).reshape(-1, 3)
+        usual = np.array([usual_rarity(*rarity[np.array(labels, dtype=int) == c].T) for c in range(len(classes))])
         labels, kept = np.array(labels, dtype=int), np.array(kept, dtype=bool)
         order = sorted(range(len(rows)), key=lambda i: (labels[i], len(rows[i][0]), rows[i][1].sum()))  # reruns agree
         rows, labels, kept = [rows[i] for i in order], labels[order], kept[order]
@@ -177,7 +203,7 @@ def _fitted(classes: list[str], idf: np.ndarray):
         held = np.flatnonzero(kept)
         t = calibrate(np.array([x @ w[f] + w[DIMS] for f, x in (rows[i] for i in held)]).reshape(-1, len(classes)), labels[held])
         at = np.flatnonzero((w != 0).any(axis=1) | (np.arange(DIMS + 1) == DIMS))
-        yield pa.record_batch([pa.array(at), textkit.ragged((w[at] / t).ravel(), np.full(len(at), len(classes)))], names=["feature", "weights"])
+        yield pa.record_batch([pa.array(np.append(at, -1)), textkit.ragged(np.append((w[at] / t).ravel(), usual.ravel()), np.append(np.full(len(at), len(classes)), usual.size))], names=["feature", "weights"])
 
     return run
 
@@ -199,42 +225,50 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS, calibrate_rows: int = CALIB
     part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("part")), F.lit(fit_rows + calibrate_rows))
     sample = _sparse(drawn.withColumn("holdout", part >= fit_rows).select("text", "lang", "holdout"))
     weights = sample.repartition(1).mapInArrow(_fitted(classes, idf), "feature long, weights array<double>").toPandas()  # a bounded sample
+    usual = np.array(weights.loc[weights["feature"] < 0, "weights"].iloc[0]).reshape(-1, 3)
+    weights = weights[weights["feature"] >= 0]
     w = np.zeros((DIMS + 1, len(classes)))
     w[weights["feature"].to_numpy()] = np.stack(weights["weights"].to_numpy())
-    return LanguageModel(classes, w[:DIMS] * (idf * SCALE)[:, None], w[DIMS])
+    return LanguageModel(classes, w[:DIMS] * (idf * SCALE)[:, None], w[DIMS], idf, usual)
 
 
-def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row."""
+def _predicted(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """(doc_id, lang_pred, score, oddness) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         model, n = shared.value, part.num_rows
         grams = Grams(part.column("text"))
         if model is None:
-            best, score, known = np.zeros(n, int), np.zeros(n), np.zeros(n, bool)
+            best, score, known, odd = np.zeros(n, int), np.zeros(n), np.zeros(n, bool), np.zeros(n)
             names = [UNDETERMINED]
         else:
-            names, known = model.classes, grams.letters
+            names, known, odd = model.classes, grams.letters, model.oddness(grams)
             logits = np.stack([np.bincount(grams.text, weights=model.weights[:, c][grams.feature], minlength=n) for c in range(len(names))], axis=1)
             p = _softmax(logits / np.maximum(grams.n, 1)[:, None] + model.bias)
             best, score = p.argmax(axis=1), np.where(known, p.max(axis=1), 0.0)
         langs = [names[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
-        yield pa.record_batch([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+        yield pa.record_batch([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(score), pa.array(odd)], names=["doc_id", "lang_pred", "score", "oddness"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return by_slice(docs.select("doc_id", "text"), work, f"doc_id {kind}, lang_pred string, score double")
+    return by_slice(docs.select("doc_id", "text"), work, f"doc_id {kind}, lang_pred string, score double, oddness double")
+
+
+def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row."""
+    return _predicted(docs, model).drop("oddness")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """docs whose language is identified with at least this score, all columns as they were.
+def keep_identified(docs: DataFrame, odd: float = ODD) -> DataFrame:
+    """docs whose language is identified and whose text reads like the labelled ones, all columns as they were.
 
-    The model learns from the rows that have lang; where no row has, every text with a letter stays.
+    The model learns from the rows that have lang; where no row has, every text with a letter stays.  Of
+    rows that repeat an id all stay if one does.
     """
     model = train(docs)
     if model is None:
         return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
-    judged = predict(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(F.col("doc_id").alias("_id")).distinct()
+    judged = _predicted(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("oddness") <= odd)).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(judged, docs["doc_id"].eqNullSafe(judged["_id"]), "left_semi")
 
 
