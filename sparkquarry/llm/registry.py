@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sparkquarry.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, minhash_dedup, source_mix, substring_dedup, toxicity
+from sparkquarry.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, minhash_dedup, source_mix, substring_dedup, tables, toxicity
 
 MODULES = {
     "op1_minhash_dedup": minhash_dedup,
@@ -23,8 +23,18 @@ MODULES = {
 }
 
 
+def _settled(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its result written, and its intermediate tables deleted after that."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with tables.scratch(spark):
+            return tables.cut(MODULES[name].query(spark, sf_dir), keep=True)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: module.query for name, module in MODULES.items()} | {"pipeline": corpus_pipeline.run}
+    return {name: _settled(name) for name in MODULES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -19,15 +20,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that driver and executors share; one of our own only where it is unset (local runs, tests)."""
+    """The folder in spark.checkpoint.dir that driver and executors share; one of our own only where it is unset and the master is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-_open: list[list[str]] = []
+_runs = threading.local()  # each thread's open scratch blocks
 
 
 def cut(df: DataFrame, keep: bool = False) -> DataFrame:
@@ -37,8 +40,8 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _open and not keep:
-        _open[-1].append(path)
+    if getattr(_runs, "open", None) and not keep:
+        _runs.open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,11 +49,11 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables cut inside the block are deleted after it; write what should last with ``cut(df, keep=True)``."""
     mine: list[str] = []
-    _open.append(mine)
+    _runs.open = [*getattr(_runs, "open", []), mine]
     try:
         yield
     finally:
-        _open.remove(mine)
+        _runs.open.pop()
         for name in mine:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
