@@ -5,6 +5,8 @@ Queries are a stated set that is small beside the corpus; every operator scores
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,32 +18,95 @@ from pyspark.sql import functions as F
 from sparkquarry.functions.text import lexical_tokens
 
 K1, B, RRF_K = 1.2, 0.75, 60
-QUERY_BLOCK = 1024
+QUERY_BLOCK, SCORED = 1024, 256
+FIELD_WEIGHTS = {"title": 2.0, "section_path": 1.5, "content": 1.0}  # fixed values
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length): one row a document and term; terms are runs of a-z and 0-9."""
-    terms = docs.select(key, F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda t: t != "").alias("terms"))
-    return terms.select(key, F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+_term = re.compile("[a-z0-9]+")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, key, score) of queries(query_id, query) against all documents that share a term.
+class _Terms:
+    """The wanted terms of a batch: for each field the row, term number and count of each hit, and the length of each row."""
 
-    Only the queries' terms leave the scan: postings are joined with them (and Spark broadcasts that
-    side where it is small enough) before anything is shuffled by document.
+    def __init__(self, batch: pa.RecordBatch, columns: list[str], wanted: dict[str, int]) -> None:
+        self.hits, self.lengths = [], []
+        for column in columns:
+            rows, terms, counts, lengths = [], [], [], []
+            for row, text in enumerate(batch.column(column).to_pylist()):
+                words = _term.findall((text or "").lower())
+                lengths.append(len(words))
+                met = Counter(w for w in words if w in wanted)
+                rows += [row] * len(met)
+                terms += [wanted[w] for w in met]
+                counts += met.values()
+            self.hits.append(tuple(np.array(x, dtype=np.int64) for x in (rows, terms, counts)))
+            self.lengths.append(np.array(lengths, dtype=np.int64))
+
+
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", fields: dict[str, float] | None = None, k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
+    """(query_id, key, score, rank): the k documents of highest field-weighted BM25 for each of queries(query_id, query).
+
+    fields: text columns and their weights (FIELD_WEIGHTS for title, section_path, content); each has its own
+    document frequencies and mean length.  Queries go out in blocks of QUERY_BLOCK.  One scan sums the
+    frequencies of the block's terms, one scores where it reads and hands on its best k a query: no posting
+    is shuffled, a word in every document costs no more than another, and a filter on docs reaches the scan.
+    Ties go to the smaller key; a document without any of the terms isn't ranked.
     """
-    wanted = queries.select("query_id", F.explode(lexical_tokens(F.coalesce("query", F.lit("")))).alias("term"))
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
-    terms = docs.select(key, words.alias("terms"))
-    size = terms.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"))
-    hits = terms.select(key, F.size("terms").alias("length"), F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    hits = hits.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = hits.join(df, "term").crossJoin(F.broadcast(size)).select(key, "term", weight.alias("weight"))  # size is one row
-    return scored.join(wanted, "term").groupBy("query_id", key).agg(F.sum("weight").alias("score"))
+    fields = fields or {"text": 1.0}
+    names, weights = list(fields), list(fields.values())
+    spark, out = docs.sparkSession, None
+    asked = queries.select("query_id", F.explode(lexical_tokens(F.coalesce("query", F.lit("")))).alias("term"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    texts = docs.select(F.col(key).cast("long").alias(key), *names)
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()  # a block's words
+        wanted = {t: i for i, t in enumerate(sorted(set(own["term"])))}
+        ids = np.unique(own["query_id"].to_numpy())
+        asks = np.zeros((len(wanted), len(ids)), dtype=np.float64)
+        asks[own["term"].map(wanted).to_numpy(dtype=np.int64), np.searchsorted(ids, own["query_id"].to_numpy())] = 1.0
+        shared = spark.sparkContext.broadcast((wanted, ids, asks))
+
+        def frequencies(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            wanted = shared.value[0]
+            total = np.zeros((len(names), len(wanted) + 2), dtype=np.int64)
+            for batch in batches:
+                made = _Terms(batch, names, wanted)
+                for field, ((_, terms, _), lengths) in enumerate(zip(made.hits, made.lengths, strict=True)):
+                    total[field, : len(wanted)] += np.bincount(terms, minlength=len(wanted))
+                    total[field, len(wanted) :] += lengths.sum(), len(lengths)
+            field, term = np.nonzero(total)
+            yield pa.record_batch([pa.array(field), pa.array(term), pa.array(total[field, term])], names=["field", "term", "n"])
+
+        summed = texts.select(*names).mapInArrow(frequencies, "field long, term long, n long").groupBy("field", "term").agg(F.sum("n").alias("n")).toPandas()
+        seen = np.zeros((len(names), len(wanted) + 2))
+        seen[summed["field"].to_numpy(dtype=np.int64), summed["term"].to_numpy(dtype=np.int64)] = summed["n"].to_numpy()
+        df, words, n = seen[:, : len(wanted)], seen[:, -2], seen[:, -1]
+        idf = np.log(1 + (n[:, None] - df + 0.5) / (df + 0.5))
+        stats = spark.sparkContext.broadcast((idf, words / np.maximum(n, 1)))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared, stats=stats) -> Iterator[pa.RecordBatch]:
+            (wanted, ids, asks), (idf, mean) = shared.value, stats.value
+            keys, scores = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            for batch in batches:
+                made = _Terms(batch, names, wanted)
+                for first in range(0, batch.num_rows, SCORED):
+                    count = min(SCORED, batch.num_rows - first)
+                    weight = np.zeros((count, len(wanted)))
+                    for field, ((rows, terms, tf), lengths) in enumerate(zip(made.hits, made.lengths, strict=True)):
+                        some = (rows >= first) & (rows < first + count)
+                        row, term, f = rows[some], terms[some], tf[some]
+                        weight[row - first, term] += weights[field] * idf[field, term] * f * (k1 + 1) / (f + k1 * (1 - b + b * lengths[row] / max(mean[field], 1e-300)))
+                    scores = np.concatenate((scores, np.round(asks.T @ weight.T, digits)), axis=1)
+                    own = batch.column(0).slice(first, count).to_numpy()
+                    keys = np.concatenate((keys, np.broadcast_to(own, (len(ids), count))), axis=1)
+                    order = np.lexsort((keys, -scores), axis=1)[:, :k]
+                    scores, keys = np.take_along_axis(scores, order, axis=1), np.take_along_axis(keys, order, axis=1)
+            hit = scores > 0
+            yield pa.record_batch([pa.array(np.broadcast_to(ids[:, None], keys.shape)[hit]), pa.array(keys[hit]), pa.array(scores[hit])], names=["query_id", key, "score"])
+
+        part = texts.where(F.col(key).isNotNull()).mapInArrow(best, f"query_id long, {key} long, score double")
+        out = part if out is None else out.unionByName(part)
+    return rank(out, key, k, digits)
 
 
 def rank(scored: DataFrame, key: str, top: int | None = None, digits: int = 6) -> DataFrame:
@@ -87,6 +152,17 @@ def vector_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
     return rank(out, key, k, digits)
 
 
+def hybrid_top_k(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int, key: str = "doc_id", candidates: int = 200) -> DataFrame:
+    """Vector and field-weighted BM25 lists of up to ``candidates`` hits a query, fused by reciprocal rank.
+
+    docs(key, title, section_path, content), vectors(key, embedding), queries(query_id, query), query_vectors(query_id, embedding).
+    """
+    near = vector_top_k(vectors, query_vectors, candidates, key)
+    words = bm25_top_k(docs, queries, candidates, key, FIELD_WEIGHTS)
+    fused = rrf(near, words, key, k)
+    return fused.select("query_id", key, F.col("left_rank").alias("vector_rank"), F.col("right_rank").alias("bm25_rank"), "score", "rank")
+
+
 def rrf(left: DataFrame, right: DataFrame, key: str, top: int | None = None, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two (query_id, key, rank) lists: score, the two ranks, and rank by (-score, best rank, key)."""
     both = left.select("query_id", key, F.col("rank").alias("left_rank")).join(right.select("query_id", key, F.col("rank").alias("right_rank")), ["query_id", key], "full_outer")

@@ -33,13 +33,13 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _body_hits(spark: SparkSession, sf_dir: str, top: int = 20) -> DataFrame:
-    return retrieval.rank(retrieval.bm25(load(spark, sf_dir, "documents"), _questions(spark, sf_dir)), "doc_id", top)
+    return retrieval.bm25_top_k(load(spark, sf_dir, "documents"), _questions(spark, sf_dir), top)
 
 
 def _title_hits(spark: SparkSession, sf_dir: str, top: int = 20) -> DataFrame:
     """The first line of a document stands for its title."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"))
-    return retrieval.rank(retrieval.bm25(docs, _questions(spark, sf_dir), text="title"), "doc_id", top)
+    return retrieval.bm25_top_k(docs, _questions(spark, sf_dir), top, fields={"title": 1.0})
 
 
 def _bm25(name: str, text: str) -> str:
@@ -70,13 +70,35 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 
 @query(_RRF + "SELECT query_id, doc_id, coalesce(left_rank, 0) AS title_rank, coalesce(right_rank, 0) AS body_rank, score, rank FROM fused")
-def hybrid_search(spark, sf_dir):
-    """The flagship: title and body rankings fused by reciprocal rank."""
+def title_body_search(spark, sf_dir):
+    """Title and body rankings fused by reciprocal rank."""
     fused = retrieval.rrf(_title_hits(spark, sf_dir), _body_hits(spark, sf_dir), "doc_id", 10)
     nth = lambda c: F.coalesce(c, F.lit(0))
     return fused.select("query_id", "doc_id", nth("left_rank").alias("title_rank"), nth("right_rank").alias("body_rank"), "score", "rank")
 
 
+_FIELDS = {"title": "split_part(coalesce(text, ''), chr(10), 1)", "section_path": "source", "content": "text"}
+_HYBRID = "WITH " + ",".join(_bm25(f"{name}_f", text) for name, text in _FIELDS.items()) + f""",
+weighted AS ({" UNION ALL ".join(f"SELECT query_id, doc_id, {retrieval.FIELD_WEIGHTS[name]}::DOUBLE * sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean_length))) AS part FROM {name}_f_q JOIN {name}_f_p USING (term) JOIN {name}_f_d USING (term) CROSS JOIN {name}_f_s GROUP BY query_id, doc_id" for name in _FIELDS)}),
+words AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM weighted GROUP BY ALL) QUALIFY rank <= 200),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q JOIN benchmark ON item_id = q.vec_id CROSS JOIN embeddings v) QUALIFY rank <= 200),
+f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS l, b.rank AS r, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 12) AS score
+  FROM near a FULL OUTER JOIN words b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)
+SELECT query_id, doc_id, coalesce(l, 0) AS vector_rank, coalesce(r, 0) AS bm25_rank, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, least(l, r), doc_id) AS rank FROM f QUALIFY rank <= 10"""
+
+
+@query(_HYBRID)
+def hybrid_search(spark, sf_dir):
+    """The flagship: nearest vectors and field-weighted BM25 fused; the vector of an item's id stands for its question's, that of a document's id for the document's."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"), F.col("source").alias("section_path"), F.col("text").alias("content"))
+    rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")).join(rows, "doc_id").select(F.col("doc_id").alias("query_id"), "embedding")
+    fused = retrieval.hybrid_top_k(docs, rows, _questions(spark, sf_dir), asked, 10)
+    nth = lambda c: F.coalesce(c, F.lit(0))
+    return fused.select("query_id", "doc_id", nth("vector_rank").alias("vector_rank"), nth("bm25_rank").alias("bm25_rank"), "score", "rank")
+
+
 _GROUP = _BODY + """, g AS (SELECT query_id, source, min_by(doc_id, rank) AS doc_id, min(rank) AS best_rank, count(*) AS hits, list_sort(list(rank)) AS ranks FROM body JOIN documents USING (doc_id) GROUP BY query_id, source),
 s AS (SELECT *, round({}, 12) AS score FROM g)
 SELECT query_id, source, doc_id, best_rank, hits, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, source) AS rank FROM s"""

@@ -141,17 +141,32 @@ def test_routing(spark):
     assert [r.namespace for r in route.orderBy("rank").collect()] == ["a", "b"]
 
 
+def _chunks(text, target=300, overlap=2):
+    sections = {}
+    for path, section, block in chunking.labelled_blocks(text):
+        sections.setdefault((section, path), []).append(block)
+    return [(path, content, n) for (_, path), blocks in sections.items() for content, n in chunking.section_chunks(blocks, chunking.Words(), target, overlap)]
+
+
 def test_chunks_follow_headings_and_fences():
-    body = "intro text here\n\n# One\n\nalpha. Beta gamma.\n\n```\n# not a heading\n\nx = 1\n```\n\n## Two\n\ndelta"
-    assert [s for s, _ in chunking.sections(body)] == ["", "One", "One > Two"]
-    assert "# not a heading\n\nx = 1" in chunking.blocks(list(chunking.sections(body))[1][1])[1]
-    meta, rest = chunking.front_matter("---\ntitle: 'It''s'\n---\nbody")
-    assert meta == {"title": "It's"} and rest == "body"
+    body = "intro text here\n\n# One [x](y)\n\nalpha. Beta gamma.\n\n```\n# not a heading\n\nx = 1\n```\nTwo\n## **Two**\n\ndelta\n\n[Skip to content](#a)\n\n# Three\n# Four"
+    made = _chunks(body)
+    assert [(p, c) for p, c, _ in made] == [("", "intro text here"), ("One x", "alpha. Beta gamma.\n\n```\n# not a heading\n\nx = 1\n```"), ("One x > Two", "delta")]
+    meta, rest = chunking.front_matter('---\ntitle: \'It\'\'s\'\nname: "a \\"b\\" \\\\ c"\nbare: x: y\n---\nbody')
+    assert meta == {"title": "It's", "name": 'a "b" \\ c', "bare": "x: y"} and rest == "body"
+    assert _chunks("") == [] and _chunks(" \n\n ") == []
+
+
+def test_chunks_keep_all_words_within_the_target():
     long = " ".join(f"Word{i} goes on." for i in range(300))
-    made = chunking.chunk_section(long, 40, 2)
-    assert all(chunking.tokens(c) <= 40 + chunking.OVERLAP_TOKENS for c in made)
-    assert all(f"Word{i} " in " ".join(made) for i in range(300))
-    assert chunking.chunk_section("x-" * 500, 10, 0)
+    made = _chunks(long, 40)
+    assert all(n == len(chunking._token.findall(c)) <= 40 + chunking.OVERLAP_TOKENS for _, c, n in made)
+    assert all(f"Word{i} " in " ".join(c for _, c, _ in made) for i in range(300))
+    assert all(b.startswith(" ".join(a.split()[-6:])) for (_, a, _), (_, b, _) in zip(made, made[1:], strict=False))  # two sentences again
+    giant = _chunks("x+" * 500 + " end", 10, 0)
+    assert len(giant) > 50 and "".join(c for _, c, _ in giant).replace(" ", "") == "x+" * 500 + "end"
+    blocks = "\n\n".join(" ".join(["word"] * 30) for _ in range(20))
+    assert [n for _, _, n in _chunks(blocks, 100, 0)] == [90] * 6 + [60]
 
 
 def test_line_ranges_cover(spark):
