@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquarry.functions.text import comparable, sha256
-from sparkquarry.functions.vectors import dot
 
 # What a confident semantic route needs, and its fan-outs.
 SCORE_FLOOR, MARGIN_FLOOR, SURE_FANOUT, WIDE_FANOUT = 0.65, 0.05, 1, 3
+SHORTLIST, MOST_NAMED = 12, 3
+BANK_BLOCK = 8192
 
 
 def lexical_route(queries: DataFrame, descriptors: DataFrame) -> DataFrame:
@@ -30,21 +36,122 @@ def lexical_route(queries: DataFrame, descriptors: DataFrame) -> DataFrame:
     return per.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("matches"), F.desc("words"), "namespace")))
 
 
+def title_descriptors(title: Column) -> Column:
+    """The title, and the first label of a title that is a bare domain of two labels (www. aside)."""
+    stem = F.regexp_extract(F.trim(title), r"^(?i:www\.)?([A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)\.[A-Za-z]{2,63}$", 1)
+    return F.filter(F.array(F.trim(title), stem), lambda x: x != "")
+
+
+def named_route(queries: DataFrame, cards: DataFrame) -> DataFrame:
+    """lexical_route by the titles and aliases alone of cards(namespace, title, aliases): the corpora that a query names."""
+    descriptors = F.concat(title_descriptors(F.col("title")), F.coalesce("aliases", F.array().cast("array<string>")))
+    return lexical_route(queries, cards.select("namespace", F.explode(descriptors).alias("descriptor")))
+
+
+def nearest_namespaces(queries: DataFrame, bank: DataFrame, keep: int, digits: int = 6) -> DataFrame:
+    """(query_id, namespace, score, rank): the ``keep`` namespaces whose best vector in bank(namespace, vector) has the largest dot product with queries(query_id, vector).
+
+    The bank goes out in blocks of about BANK_BLOCK vectors, a namespace in one block; a task multiplies its
+    queries with the block and hands on the best of each, so queries are never joined with the catalog.
+    Vectors of another length than the query's don't count; ties go to the smaller namespace.
+    """
+    spark, out = queries.sparkSession, None
+    blocks = max(1, -(-bank.count() // BANK_BLOCK))
+    for block in range(blocks):
+        own = bank.where(F.pmod(F.xxhash64("namespace"), F.lit(blocks)) == block).select("namespace", "vector").toPandas()  # one block
+        banks = []
+        for size, part in own.groupby(own["vector"].map(len)):
+            part = part.sort_values("namespace", kind="stable")
+            names, first = np.unique(part["namespace"].to_numpy(dtype=str), return_index=True)
+            banks.append((int(size), names, first, np.stack(part["vector"].to_numpy()).astype(np.float64)))
+        shared = spark.sparkContext.broadcast(banks)
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lengths = pc.list_value_length(batch.column("vector"))
+                for size, names, first, matrix in shared.value:
+                    some = batch.filter(pc.equal(lengths, size))
+                    if not some.num_rows or not size:
+                        continue
+                    x = some.column("vector").flatten().to_numpy().astype(np.float64).reshape(some.num_rows, size)
+                    scores = np.round(np.maximum.reduceat(x @ matrix.T, first, axis=1), digits)
+                    order = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
+                    ids = some.column("query_id").take(pa.array(np.repeat(np.arange(some.num_rows), order.shape[1])))
+                    yield pa.record_batch([ids, pa.array(names[order.ravel()]), pa.array(np.take_along_axis(scores, order, axis=1).ravel())], names=["query_id", "namespace", "score"])
+
+        part = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(best, "query_id long, namespace string, score double")
+        out = part if out is None else out.unionByName(part)
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "namespace")))
+    return ranked.where(F.col("rank") <= keep)
+
+
+def _with_margin(ranked: DataFrame, score: str, digits: int = 6) -> DataFrame:
+    """ranked with the first rank's lead over the second on every row (null where there is no second)."""
+    heads = ranked.where("rank <= 2").groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col(score))).alias("top"), F.max(F.when(F.col("rank") == 2, F.col(score))).alias("second"))
+    return ranked.join(heads.select("query_id", "top", F.round(F.col("top") - F.col("second"), digits).alias("margin")), "query_id")
+
+
 def semantic_route(queries: DataFrame, cards: DataFrame, digits: int = 6) -> DataFrame:
-    """(query_id, namespace, score, rank, margin, confident, fanout) of queries(query_id, vector) against a catalog cards(namespace, vector).
+    """(query_id, namespace, score, rank, margin, confident, fanout): the first WIDE_FANOUT of queries(query_id, vector) against a catalog cards(namespace, vector).
+
+    Confident: the best score reaches SCORE_FLOOR and leads the second by MARGIN_FLOOR, or is the only one.
+    """
+    ranked = _with_margin(nearest_namespaces(queries, cards, WIDE_FANOUT, digits), "score", digits)
+    sure = (F.col("top") >= SCORE_FLOOR) & (F.col("margin").isNull() | (F.col("margin") >= MARGIN_FLOOR))
+    return ranked.select("query_id", "namespace", "score", "rank", "margin", sure.alias("confident"), F.when(sure, SURE_FANOUT).otherwise(WIDE_FANOUT).alias("fanout"))
+
+
+def rerank_shortlist(queries: DataFrame, shortlist: DataFrame, passages: DataFrame, score: Callable[[Column, Column], Column], digits: int = 6) -> DataFrame:
+    """shortlist(query_id, namespace, rank) by the best of passages(namespace, ordinal, passage) for queries(query_id, query):
+
+    (query_id, namespace, score, prototype, shortlist_rank, rank); ties keep the first passage, then the shortlist's order.
+    """
+    met = shortlist.select("query_id", "namespace", F.col("rank").alias("shortlist_rank")).join(passages, "namespace").join(queries.select("query_id", "query"), "query_id")
+    met = met.withColumn("_score", F.round(score(F.col("query"), F.col("passage")), digits))
+    best = met.groupBy("query_id", "namespace", "shortlist_rank").agg(F.max(F.struct("_score", (-F.col("ordinal")).alias("place"))).alias("best"))
+    best = best.select("query_id", "namespace", F.col("best._score").alias("score"), (-F.col("best.place")).alias("prototype"), "shortlist_rank")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "shortlist_rank", "namespace")))
+
+
+def select_route(named: DataFrame, semantic: DataFrame, ranked: DataFrame, score_floor: float, margin_floor: float, margin_required: bool = True, certified: bool = True) -> DataFrame:
+    """(query_id, namespace, route_rank, score, reason, confident, fanout): the corpora that each query is sent to.
 
-    The catalog is small and goes to every task only below Spark's broadcast threshold.  Confident: the best
-    score reaches SCORE_FLOOR and leads the second by MARGIN_FLOOR, or is the only one.
+    named(query_id, namespace, rank), semantic and ranked(query_id, namespace, score, rank).  One named corpus
+    leads, the nearest others follow, and only it is asked first; several named ones are the route; more
+    than MOST_NAMED are refused (a row without namespace).  Otherwise the first WIDE_FANOUT of ``ranked``,
+    asked one by one only if certified and the best reaches both floors; without a second there is no
+    margin, which passes unless it is required.
     """
-    cards = cards.select("namespace", F.col("vector").alias("_card"))
-    pairs = queries.select("query_id", "vector").join(cards, F.size("vector") == F.size("_card"))
-    scored = pairs.select("query_id", "namespace", F.round(dot(F.col("vector"), F.col("_card")), digits).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "namespace")
-    scored = scored.withColumn("rank", F.row_number().over(order)).withColumn("margin", F.round(F.col("score") - F.lead("score").over(order), digits))
-    sure = (F.col("score") >= SCORE_FLOOR) & (F.col("margin").isNull() | (F.col("margin") >= MARGIN_FLOOR))
-    heads = scored.where("rank = 1").select(F.col("query_id").alias("_q"), F.col("margin").alias("_margin"), sure.alias("confident"))
-    out = scored.drop("margin").join(heads, F.col("query_id") == F.col("_q"))
-    return out.select("query_id", "namespace", "score", "rank", F.col("_margin").alias("margin"), "confident", F.when(F.col("confident"), SURE_FANOUT).otherwise(WIDE_FANOUT).alias("fanout"))
+    count = named.groupBy("query_id").agg(F.count("*").alias("named"))
+    first = named.where(F.col("rank") <= MOST_NAMED).select("query_id", "namespace", F.col("rank").alias("place"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("by_name"))
+    others = semantic.join(named.select("query_id", "namespace"), ["query_id", "namespace"], "left_anti").select("query_id", "namespace", (F.col("rank") + MOST_NAMED).alias("place"), "score", F.lit(False).alias("by_name"))
+    own = first.unionByName(others).join(count, "query_id").where("named = 1 OR by_name")
+    own = own.withColumn("route_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "namespace"))).where(F.col("route_rank") <= WIDE_FANOUT)
+    refused = F.col("named") > MOST_NAMED
+    own = own.where(~refused | (F.col("route_rank") == 1)).select(
+        "query_id", F.when(~refused, F.col("namespace")).alias("namespace"), "route_rank", F.when(~refused, F.col("score")).alias("score"),
+        F.when(refused, "too_many_named").when(F.col("named") == 1, "unique_title_or_alias").otherwise("multiple_named_corpora").alias("reason"),
+        (~refused).alias("confident"), F.when(refused, 0).otherwise(F.col("named")).cast("int").alias("fanout"),
+    )
+    rest = _with_margin(ranked.join(count, "query_id", "left_anti"), "score").where(F.col("rank") <= WIDE_FANOUT)
+    led = (F.col("margin") >= margin_floor) if margin_required else (F.col("margin").isNull() | (F.col("margin") >= margin_floor))
+    sure = F.lit(certified) & F.coalesce((F.col("top") >= score_floor) & led, F.lit(False))
+    size = F.count("*").over(Window.partitionBy("query_id"))
+    rest = rest.select("query_id", "namespace", F.col("rank").alias("route_rank"), "score", F.when(sure, "high_confidence").otherwise("ambiguous").alias("reason"), sure.alias("confident"), F.when(sure, 1).otherwise(size).cast("int").alias("fanout"))
+    return own.unionByName(rest)
+
+
+def prototype_route(queries: DataFrame, cards: DataFrame, bank: DataFrame, passages: DataFrame, score: Callable[[Column, Column], Column], score_floor: float, margin_floor: float, certified: bool = True) -> DataFrame:
+    """select_route of queries(query_id, query, vector): names, else the best passage of each of the SHORTLIST nearest namespaces."""
+    near = nearest_namespaces(queries, bank, SHORTLIST)
+    ranked = rerank_shortlist(queries, near, passages, score)
+    return select_route(named_route(queries, cards), near, ranked, score_floor, margin_floor, True, certified)
+
+
+def hybrid_route(queries: DataFrame, cards: DataFrame) -> DataFrame:
+    """select_route of queries(query_id, query, vector) by names, else by cards(namespace, title, aliases, vector) alone."""
+    near = nearest_namespaces(queries, cards.select("namespace", "vector"), SHORTLIST)
+    return select_route(named_route(queries, cards), near, near, SCORE_FLOOR, MARGIN_FLOOR, False)
 
 
 def hybrid_score(lexical: DataFrame, semantic: DataFrame, k: int = 60) -> DataFrame:

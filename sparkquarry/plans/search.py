@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquarry.functions import vectors
-from sparkquarry.operators import evaluation, index, retrieval, routing
+from sparkquarry.functions import text, vectors
+from sparkquarry.operators import evaluation, index, prototypes, retrieval, routing
 from sparkquarry.streaming import traces
 
 QUERIES: dict = {}
@@ -241,6 +241,77 @@ def lexical_routes(spark, sf_dir):
     return routing.lexical_route(_questions(spark, sf_dir), cards)
 
 
+_NAMED = """
+WITH c AS (SELECT DISTINCT label, 'label-' || label AS namespace FROM embeddings),
+phrases AS (SELECT item_id, trim(regexp_replace(lower(regexp_extract(text, '^(\\S+\\s+\\S+)', 1)), '[^a-z0-9]+', ' ', 'g')) AS phrase FROM benchmark),
+d AS (SELECT DISTINCT namespace, phrase, len(string_split(phrase, ' ')) AS n FROM (SELECT namespace, 'label ' || label AS phrase FROM c UNION ALL SELECT 'label-' || item_id % 10 AS namespace, phrase FROM phrases WHERE item_id % 5 = 0 UNION ALL SELECT 'label-' || (item_id // 5) % 10 AS namespace, phrase FROM phrases WHERE item_id % 10 = 0) WHERE phrase <> '' AND namespace IN (SELECT namespace FROM c)),
+q AS (SELECT item_id AS query_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM benchmark),
+named AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, words DESC, namespace) AS rank FROM (SELECT query_id, namespace, count(*) AS matches, CAST(sum(n) AS BIGINT) AS words FROM q JOIN d ON contains(t, ' ' || phrase || ' ') GROUP BY ALL))
+""".replace("\\\\", "\\")
+
+
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card for each label of the vectors: its aliases are the first words of some benchmark items, its vector the centroid."""
+    rows = load(spark, sf_dir, "embeddings").withColumn("namespace", F.concat(F.lit("label-"), F.col("label").cast("string")))
+    centroids = vectors.mean_by(rows, "namespace", "embedding").withColumnRenamed("embedding", "vector")
+    first = load(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", r"^(\S+\s+\S+)", 1).alias("alias"))
+    one = first.where("item_id % 5 = 0").select((F.col("item_id") % 10).alias("label"), "alias")
+    two = first.where("item_id % 10 = 0").select((F.floor(F.col("item_id") / 5) % 10).alias("label"), "alias")
+    aliases = one.unionByName(two).groupBy(F.concat(F.lit("label-"), F.col("label").cast("string")).alias("namespace")).agg(F.collect_set("alias").alias("aliases"))
+    return centroids.withColumn("title", F.regexp_replace("namespace", "label-", "Label ")).join(aliases, "namespace", "left")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), vectors.unit(F.col("embedding")).alias("vector"))
+    return _questions(spark, sf_dir).join(rows, "query_id")
+
+
+@query(_NAMED + "SELECT query_id, namespace, matches, words, rank FROM named")
+def named_routes(spark, sf_dir):
+    return routing.named_route(_questions(spark, sf_dir), _cards(spark, sf_dir))
+
+
+_UNIT = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))"
+_BANK = _NAMED + f""", u AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings),
+centroid AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY label, i) GROUP BY label),
+base AS (SELECT 'label-' || label AS namespace, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM centroid),
+asked AS (SELECT vec_id AS query_id, v FROM u JOIN benchmark ON item_id = vec_id)"""
+_SELECT = """, counts AS (SELECT query_id, count(*) AS named FROM named GROUP BY ALL),
+own AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, namespace) AS route_rank FROM (
+  SELECT query_id, namespace, rank AS place, CAST(NULL AS DOUBLE) AS score, true AS by_name FROM named WHERE rank <= 3
+  UNION ALL SELECT query_id, namespace, rank + 3, score, false FROM near n WHERE NOT EXISTS (SELECT 1 FROM named m WHERE m.query_id = n.query_id AND m.namespace = n.namespace)) JOIN counts USING (query_id) WHERE named = 1 OR by_name),
+lead AS (SELECT query_id, max(score) FILTER (rank = 1) AS top, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 6) AS margin FROM ranked GROUP BY query_id),
+rest AS (SELECT query_id, namespace, rank AS route_rank, score, {sure} AS sure, count(*) OVER (PARTITION BY query_id) AS n FROM ranked JOIN lead USING (query_id) WHERE rank <= 3 AND query_id NOT IN (SELECT query_id FROM counts))
+SELECT query_id, CASE WHEN named <= 3 THEN namespace END AS namespace, route_rank, CASE WHEN named <= 3 THEN score END AS score,
+  CASE WHEN named > 3 THEN 'too_many_named' WHEN named = 1 THEN 'unique_title_or_alias' ELSE 'multiple_named_corpora' END AS reason, named <= 3 AS confident, CAST(CASE WHEN named > 3 THEN 0 ELSE named END AS INTEGER) AS fanout
+FROM own WHERE route_rank <= 3 AND (named <= 3 OR route_rank = 1)
+UNION ALL SELECT query_id, namespace, route_rank, score, CASE WHEN sure THEN 'high_confidence' ELSE 'ambiguous' END, sure, CAST(CASE WHEN sure THEN 1 ELSE n END AS INTEGER) FROM rest"""
+
+
+@query(_BANK + """, near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, namespace) AS rank FROM (SELECT query_id, namespace, round(list_dot_product(a.v, b.v), 6) AS score FROM asked a CROSS JOIN base b) QUALIFY rank <= 12), ranked AS (SELECT * FROM near)"""
+       + _SELECT.format(sure="coalesce(top >= 0.65::DOUBLE AND coalesce(margin >= 0.05::DOUBLE, true), false)"))
+def hybrid_routes(spark, sf_dir):
+    return routing.hybrid_route(_asked(spark, sf_dir), _cards(spark, sf_dir))
+
+
+@query(_BANK + """, bank AS (SELECT * FROM base UNION ALL SELECT 'label-' || label, v FROM u WHERE vec_id % 50 < 20),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, namespace) AS rank FROM (SELECT query_id, namespace, round(max(list_dot_product(a.v, b.v)), 6) AS score FROM asked a CROSS JOIN bank b GROUP BY ALL) QUALIFY rank <= 12),
+w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS words FROM benchmark),
+p AS (SELECT 'label-' || item_id % 10 AS namespace, item_id // 10 AS ordinal, words FROM w WHERE item_id % 3 <> 1),
+met AS (SELECT query_id, n.namespace, rank AS shortlist_rank, ordinal, round(len(list_intersect(w.words, p.words)) / len(list_distinct(list_concat(w.words, p.words))), 6) AS s FROM near n JOIN p USING (namespace) JOIN w ON w.item_id = query_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, shortlist_rank, namespace) AS rank FROM (SELECT query_id, namespace, shortlist_rank, max(s) AS score FROM met GROUP BY ALL))"""
+       + _SELECT.format(sure="coalesce(top >= 0.3::DOUBLE AND margin >= 0.1::DOUBLE, false)"))
+def prototype_routes(spark, sf_dir):
+    """Every label has its centroid and some vectors in the bank, and some benchmark items as passages; scores are shares of common words."""
+    rows = load(spark, sf_dir, "embeddings").select(F.concat(F.lit("label-"), F.col("label").cast("string")).alias("namespace"), "vec_id", vectors.unit(F.col("embedding")).alias("vector"))
+    cards = _cards(spark, sf_dir)
+    bank = cards.select("namespace", "vector").unionByName(rows.where("vec_id % 50 < 20").select("namespace", "vector"))
+    items = load(spark, sf_dir, "benchmark").where("item_id % 3 <> 1")
+    passages = items.select(F.concat(F.lit("label-"), (F.col("item_id") % 10).cast("string")).alias("namespace"), F.floor(F.col("item_id") / 10).alias("ordinal"), F.col("text").alias("passage"))
+    common = lambda q, p: prototypes.overlap(text.lexical_tokens(q), text.lexical_tokens(p))
+    return routing.prototype_route(_asked(spark, sf_dir), cards, bank, passages, common, 0.3, 0.1)
+
+
 @query("""
 WITH live AS (SELECT DISTINCT source AS namespace FROM documents), cards AS (SELECT 'src' || n_nationkey AS namespace, n_nationkey % 7 <> 0 AS enabled, CASE WHEN n_nationkey % 5 = 0 THEN 'small' ELSE 'base' END AS model FROM nation WHERE n_nationkey % 3 <> 1)
 SELECT coalesce(l.namespace, c.namespace) AS namespace, CASE WHEN c.namespace IS NULL THEN 'missing' WHEN l.namespace IS NULL THEN 'stale' WHEN NOT enabled THEN 'disabled' WHEN model <> 'base' THEN 'incompatible' ELSE 'eligible' END AS status
