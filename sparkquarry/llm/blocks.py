@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sparkquarry.llm import textkit
 
-BLOCK, TEXTS = 500_000, 100_000
+BLOCK, TEXTS = 300_000, 100_000
 BUCKET = 500_000
 NTH = 17  # bits of a row number that count the texts of its block
 _UNSIGNED = (np.uint8, np.uint16, np.uint32, np.uint64)
@@ -155,7 +155,7 @@ def global_counts(blocks: DataFrame, keys_of: Callable[[pa.RecordBatch, int], li
 def with_counts(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     """blocks with ``answers``: the rows of global_counts that belong to each."""
     told = counts.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "n")).alias("answers"))
-    return blocks.join(told, "block", "left")
+    return blocks.join(told.hint("merge"), "block", "left")  # one plan at every size
 
 
 def counts_of(answers: pa.Scalar, kinds: int) -> list[np.ndarray]:
