@@ -219,23 +219,6 @@ def namespace_fusion(candidates: DataFrame, per_namespace: int = 8, top: int = 5
     return kept.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= top)
 
 
-def path_multiplier(path: Column, intents: Column) -> Column:
-    """A ranking factor of a repository path for a query's intent words (array of text)."""
-    lower = F.lower(path)
-    wants = lambda *words: F.arrays_overlap(intents, F.array(*map(F.lit, words)))
-    rules = [
-        (F.startswith(lower, F.lit("artifacts/")) | F.startswith(lower, F.lit("autoresearch/")), 0.20),
-        ((F.startswith(lower, F.lit("docs/")) | F.endswith(lower, F.lit(".md"))) & ~wants("docs", "documentation", "guide"), 0.70),
-        (F.startswith(lower, F.lit("tests/")), 1.10),
-        (F.startswith(lower, F.lit("src/")) & wants("implementation", "implement", "code"), 1.12),
-        (F.endswith(lower, F.lit("/__init__.py")), 0.82),
-    ]
-    out = F.lit(1.0)
-    for condition, factor in rules:
-        out = out * F.when(condition, factor).otherwise(1.0)
-    return out
-
-
 def place_companion(hits: DataFrame, slot: int = 5, reach: int = 20) -> DataFrame:
     """hits(query_id, key, role, strength, rank) with a docs or tests companion in the first ``slot`` ranks.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquarry.functions import repo
+from sparkquarry.functions import ranking, repo
 from sparkquarry.functions import text as tx
 from sparkquarry.functions import urls
 from sparkquarry.operators import chunking, manifest, pages, prototypes
@@ -293,6 +293,53 @@ def merged_cards(spark, sf_dir):
     return prototypes.merge_cards(existing, incoming, ["title"], ["enabled"])
 
 
+_PROFILE = r"""
+WITH r AS (SELECT page_id, trim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') AS tail FROM pages),
+p AS (SELECT page_id, [{folders}][page_id % {n_folders} + 1] || tail || [{endings}][(page_id // {n_folders}) % {n_endings} + 1] AS path, [{asks}][(page_id // 7) % {n_asks} + 1] AS query FROM r),
+w AS (SELECT *, lower(path) AS l, list_distinct(list_filter(string_split_regex(lower(query), '[^a-z0-9]+'), lambda x: x <> '')) AS q, list_distinct(list_filter(string_split_regex(lower(path), '[^a-z0-9]+'), lambda x: x <> '')) AS pt FROM p),
+f AS (SELECT page_id, path, query,
+  CASE WHEN regexp_matches('/' || l, '/\.(agents|claude|cursor)/') OR starts_with(l, 'artifacts/') OR starts_with(l, 'autoresearch/') OR (l LIKE '%.json' AND contains(l, '/data/') AND (contains(l, 'eval') OR contains(l, 'fixture') OR contains(l, 'seed') OR contains(l, 'dataset'))) THEN 0.2::DOUBLE
+    WHEN (starts_with(l, 'docs_src/') OR starts_with(l, 'examples/') OR contains(l, 'example_scripts/') OR contains(l, '/example/') OR contains(l, '/examples/')) AND NOT list_has_any(q, [{example}]) THEN 0.7::DOUBLE
+    WHEN starts_with(l, 'docs/') OR l LIKE '%.md' THEN 0.7::DOUBLE WHEN starts_with(l, 'tests/') THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END
+  * CASE WHEN starts_with(l, 'doc/') AND NOT list_has_any(q, [{documentation}, {example}]) THEN 0.8::DOUBLE ELSE 1 END
+  * CASE WHEN starts_with(l, 'docs/source/') AND NOT list_has_any(q, [{documentation}]) THEN 0.8::DOUBLE ELSE 1 END
+  * CASE WHEN starts_with(l, 'docs_src/') AND NOT list_has_any(q, [{example}]) THEN 0.8::DOUBLE ELSE 1 END
+  * CASE WHEN contains('/' || l, '/fixtures/') AND NOT list_has_any(q, [{fixture}]) THEN 0.8::DOUBLE ELSE 1 END
+  * CASE WHEN list_has_any(pt, [{experiments}]) AND NOT list_has_any(q, [{experiment}]) THEN 0.7::DOUBLE ELSE 1 END
+  * CASE WHEN starts_with(l, 'src/') AND list_has_any(q, [{implementation}]) THEN 1.12::DOUBLE ELSE 1 END
+  * CASE WHEN ends_with(l, '/__init__.py') AND NOT list_has_any(q, [{public}]) THEN 0.82::DOUBLE ELSE 1 END
+  * CASE WHEN l LIKE '%/core.py' AND list_has_any(q, [{runtime}]) THEN 1.2::DOUBLE ELSE 1 END
+  * CASE WHEN l LIKE '%/models.py' AND list_has_any(q, [{parameter}]) THEN 1.2::DOUBLE ELSE 1 END
+  * CASE WHEN l LIKE '%/utils.py' AND list_has_any(q, [{parameter}]) AND NOT list_has_any(q, [{utility}]) THEN 0.75::DOUBLE ELSE 1 END
+  * CASE WHEN l LIKE '%/cli.py' AND NOT list_has_any(q, [{cli}]) THEN 0.9::DOUBLE ELSE 1 END
+  * CASE WHEN starts_with(l, 'docs/') AND ((l LIKE '%/core.py' AND list_contains(q, 'core')) OR (l LIKE '%/models.py' AND (list_contains(q, 'models') OR list_contains(q, 'model')))) THEN 1.3::DOUBLE
+    WHEN regexp_matches(l, '^(docs|doc|tests|test|examples|example|benchmarks|benchmark)/') OR regexp_matches('/' || l, '/\.(agents|claude|cursor)/|/fixtures/') THEN 1.0::DOUBLE
+    WHEN (starts_with(l, 'src/') OR l LIKE '%.py') AND ((l LIKE '%/core.py' AND list_contains(q, 'core')) OR (l LIKE '%/models.py' AND (list_contains(q, 'models') OR list_contains(q, 'model')))) THEN 1.0::DOUBLE + 0.04::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM w)
+SELECT page_id, path, query, round(factor, 9) AS factor FROM f"""
+_FOLDERS = ["src/", "tests/", "docs/", "docs/source/", "doc/", "examples/", "docs_src/", "pkg/fixtures/", "benchmarks/", ".claude/", "artifacts/", "pkg/data/"]
+_ENDINGS = ["/core.py", "/models.py", "/utils.py", "/cli.py", "/__init__.py", ".md", ".json", "/eval.json"]
+_ASKS = ["how is the command runtime implemented", "which options and parameters does the model have", "show an example of the tutorial", "where is the documentation", "helper for default fields", "benchmark fixtures of the experiment", "core exports"]
+
+
+def _sql_list(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@query(_PROFILE.format(
+    folders=_sql_list(_FOLDERS), n_folders=len(_FOLDERS), endings=_sql_list(_ENDINGS), n_endings=len(_ENDINGS), asks=_sql_list(_ASKS), n_asks=len(_ASKS), example=_sql_list(ranking.EXAMPLE_INTENT),
+    documentation=_sql_list(ranking.DOCUMENTATION_INTENT), fixture=_sql_list(ranking.FIXTURE_INTENT), experiments=_sql_list(ranking.EXPERIMENT_PATHS), experiment=_sql_list(ranking.EXPERIMENT_INTENT),
+    implementation=_sql_list(ranking.IMPLEMENTATION_INTENT), public=_sql_list(ranking.PUBLIC_INIT), runtime=_sql_list(ranking.COMMAND_RUNTIME), parameter=_sql_list(ranking.PARAMETER_METADATA),
+    utility=_sql_list(ranking.UTILITY_INTENT), cli=_sql_list(ranking.CLI_INTENT),
+))
+def profile_factors(spark, sf_dir):
+    """Page paths put under folders and names that the rules of the code profile speak of, each with a question."""
+    tail = F.regexp_replace(urls.path(F.col("url")), "^/+|/+$", "")
+    nth = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    page = F.col("page_id")
+    rows = load(spark, sf_dir, "pages").select("page_id", F.concat(nth(_FOLDERS, page), tail, nth(_ENDINGS, F.floor(page / len(_FOLDERS)))).alias("path"), nth(_ASKS, F.floor(page / 7)).alias("query"))
+    return rows.select("page_id", "path", "query", F.round(ranking.code_profile(F.col("path"), F.lit(""), F.col("query")), 9).alias("factor"))
+
+
 @query()
 def routing_prototypes(spark, sf_dir):
     """Eight diverse passages of every source; a document's lines are its sections."""

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sparkquarry.functions import text, urls, vectors
+from sparkquarry.functions import ranking, text, urls, vectors
 from sparkquarry.operators import chunking, evaluation, manifest, pages, retrieval, routing
 from sparkquarry.sources import relation
 from sparkquarry.streaming import traces
@@ -169,6 +169,34 @@ def test_chunks_keep_all_words_within_the_target():
     assert [n for _, _, n in _chunks(blocks, 100, 0)] == [90] * 6 + [60]
 
 
+@pytest.mark.parametrize(
+    "path,query,factor",
+    [
+        ("", "anything", 1.0),
+        ("artifacts/report.md", "report", 0.2),  # one rule for the kind of file, not two
+        ("crates/parser/src/lib.rs", "how does the parser work", 1.35),
+        ("web/settings/index.ts", "where are settings kept", 1.5),
+        ("src/pkg/_vendor/thing.py", "network retries", 0.8),
+        ("src/pkg/_internal/user_errors.py", "user exceptions", 1.04),
+        ("docs/retry_policy.md", "retry policy", 0.7 * 1.3),
+        ("src/pkg/_click/termui.py", "show a progress prompt", 0.8 * 1.2),
+        ("docs/tutorial/first.md", "network", 0.7 * 0.8),
+    ],
+)
+def test_code_profile(spark, path, query, factor):
+    assert one(spark, ranking.code_profile(F.lit(path), F.lit(""), F.lit(query))) == pytest.approx(factor)
+
+
+def test_ranking_signals(spark):
+    assert set(one(spark, ranking.signal_tokens(F.lit("parseHTTPErrors ABC-def policies in")))) == {"parse", "http", "errors", "error", "exception", "exceptions", "abc", "def", "policies", "policie", "policy"}
+    declared = F.lit("import x\nclass RetryPolicy:\n    def backoff_delay(self): ...")
+    assert one(spark, ranking.code_profile(F.lit("src/a/net.py"), declared, F.lit("retry policy delay"))) == pytest.approx(1.04)
+    assert one(spark, ranking.companion_strength(F.lit("tests/test_net.py"), F.lit(""), F.lit(""), F.lit(""), F.lit("net"), F.lit("x"))) == 3
+    assert one(spark, ranking.companion_strength(F.lit("docs/net.md"), F.lit(""), F.lit(""), F.lit(""), F.lit("net"), F.lit("x"))) == 12
+    assert one(spark, ranking.card_group_factor(ranking.card_path_bonus(F.lit("src/net.py"), F.lit("net")), F.lit(0))) == 1.3
+    assert one(spark, ranking.card_group_factor(F.lit(None).cast("double"), F.lit(3))) == 0.9
+
+
 def test_line_ranges_cover(spark):
     files = spark.createDataFrame([("a", "\n".join(map(str, range(200)))), ("b", ""), ("c", None)], "path string, text string")
     ranges = chunking.line_ranges(files, "path", "text")
