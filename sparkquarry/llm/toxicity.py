@@ -33,6 +33,7 @@ STEMS = (4, 5, 6)
 POSITIVES, NEGATIVES = 2500, 5000
 LEAST, EVIDENCE, FACTORS = 4, 4.0, 8
 PAIR_LEAST, PAIR_EVIDENCE, PAIR_BLOCK = 16, 6.0, 1024
+BROADCAST_LABELS = 4_000_000
 
 
 def terms(texts: pa.Array, stems: tuple[int, ...] = STEMS) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +234,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     if len(counts) < 2:
         return Machine(30.0 if counts.get(1) else -30.0, np.zeros(0, int), np.zeros(0), none)
     share = {0: min(1.0, negatives / counts[0]), 1: min(1.0, positives / counts[1])}
-    labelled = docs.select("doc_id", "text").join(known, "doc_id")
+    side = F.broadcast(known) if sum(counts.values()) <= BROADCAST_LABELS else known  # beyond it the texts are shuffled
+    labelled = docs.select("doc_id", "text").join(side, "doc_id")
     seen = term_counts(labelled).where(F.col("zero") + F.col("one") >= LEAST).toPandas()  # at most DIMS rows
     alone = seen["feature"].to_numpy()[telling_terms(seen["zero"].to_numpy(), seen["one"].to_numpy(), counts[0], counts[1])]
     draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30)) / (1 << 30)
