@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Cut-offs, weights and gates of the metrics.
 NDCG_K, PRECISION_K = 10, 5
 WEIGHTS = {"ndcg": 0.55, "recall": 0.20, "mrr": 0.15, "precision": 0.10}
 MAX_RISK_PERCENT = 5
+EVIDENCE_GATES = {"risk": ("<=", 0.05), "recall": (">=", 0.95), "abstention": (">=", 0.90)}
+RERANK_K, RERANK_IMPROVEMENT = 5, 0.03
+RANGE_ROWS = 50_000
 
 
 def graded_metrics(hits: DataFrame, judgments: DataFrame, key: str = "doc_id", k: int = NDCG_K) -> DataFrame:
@@ -96,21 +102,92 @@ def confusion(observations: DataFrame, threshold: float, *keys: str) -> DataFram
     )
 
 
-def risk_curve(observations: DataFrame) -> DataFrame:
+def risk_curve(observations: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(threshold, tp, fp, accepted, risk, recall) at every distinct score.
 
-    Scores are summed first; the running sums go over one row a distinct score.
+    Scores are summed first.  The running sums go over ranges of about ``range_rows`` distinct scores, each a
+    window of its own, plus one window over the totals of the ranges.
     """
     per = observations.where("score IS NOT NULL").groupBy(F.col("score").alias("threshold")).agg(
         F.sum(F.when(F.col("useful"), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("useful"), 0).otherwise(1)).alias("n")
     )
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = observations.agg(F.sum(F.when(F.col("useful"), 1).otherwise(0)).alias("positives"))
-    curve = per.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp")).crossJoin(F.broadcast(total))  # one row
+    ranges = min(4096, per.count() // range_rows + 1)
+    bounds = sorted(set(per.approxQuantile("threshold", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []  # at most 4096 numbers
+    above = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x > F.col("threshold"))) if bounds else F.lit(0)
+    per = per.withColumn("range", above)
+    down = Window.partitionBy("range").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = per.groupBy("range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    totals = totals.select("range", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    whole = observations.agg(F.sum(F.when(F.col("useful"), 1).otherwise(0)).alias("positives"))
+    run = per.select("range", "threshold", F.sum("p").over(down).alias("p"), F.sum("n").over(down).alias("n")).join(F.broadcast(totals), "range")  # a row a range
+    curve = run.select("threshold", (F.col("p") + F.col("_p")).alias("tp"), (F.col("n") + F.col("_n")).alias("fp")).crossJoin(F.broadcast(whole))  # one row
     accepted = F.col("tp") + F.col("fp")
     return curve.select("threshold", "tp", "fp", accepted.alias("accepted"), (F.col("fp") / accepted).alias("risk"), (F.col("tp") / F.col("positives")).alias("recall"))
 
 
+@F.pandas_udf(T.DoubleType())
+def next_above(values: pd.Series) -> pd.Series:
+    """The next larger double."""
+    return pd.Series(np.nextafter(values.to_numpy(dtype=np.float64), np.inf))
+
+
+def breakpoints(scores: DataFrame, column: str) -> DataFrame:
+    """(threshold): every distinct finite value and the next double above it, between which a decision can change."""
+    values = scores.select(F.col(column).cast("double").alias("threshold")).where(F.col("threshold").isNotNull() & ~F.isnan("threshold") & (F.abs("threshold") < float("inf"))).distinct()
+    return values.unionByName(values.select(next_above("threshold").alias("threshold"))).distinct()
+
+
+def certify(observations: DataFrame, max_risk_percent: int = MAX_RISK_PERCENT) -> DataFrame:
+    """One row: the threshold chosen on observations(split = 'calibration', useful, score) and its figures on split 'gate'.
+
+    threshold, tp, fp, tn, fn, risk, recall, abstention and passed: risk, recall and abstention reach EVIDENCE_GATES.
+    Without a threshold of bounded risk there is no row.
+    """
+    chosen = select_threshold(observations.where("split = 'calibration'").select("useful", "score"), max_risk_percent).select("threshold")
+    accepted = F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False))
+    count = lambda x: F.sum(F.when(x, 1).otherwise(0))
+    gate = observations.where("split = 'gate'").crossJoin(F.broadcast(chosen))  # one row
+    sums = gate.groupBy("threshold").agg(
+        count(accepted & F.col("useful")).alias("tp"), count(accepted & ~F.col("useful")).alias("fp"), count(~accepted & ~F.col("useful")).alias("tn"), count(~accepted & F.col("useful")).alias("fn")
+    )
+    rate = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b)))
+    out = sums.withColumn("risk", rate("fp", "tp")).withColumn("recall", rate("tp", "fn")).withColumn("abstention", rate("tn", "fp"))
+    ok = [F.coalesce(F.col(c) >= limit if relation == ">=" else F.col(c) <= limit, F.lit(False)) for c, (relation, limit) in EVIDENCE_GATES.items()]
+    return out.withColumn("passed", ok[0] & ok[1] & ok[2])
+
+
+def grouped_ndcg(hits: DataFrame, groups: DataFrame, k: int = RERANK_K) -> DataFrame:
+    """(query_id, ndcg) of hits(query_id, key, rank) against groups(query_id, key, group, grade): a group of keys is one judgment, credited at its best rank."""
+    wanted = groups.where("grade > 0").groupBy("query_id", "group").agg(F.max("grade").alias("grade"))
+    best = hits.join(groups.select("query_id", "key", "group").distinct(), ["query_id", "key"]).groupBy("query_id", "group").agg(F.min("rank").alias("rank"))
+    met = wanted.join(best, ["query_id", "group"], "left")
+    met = met.withColumn("ideal", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "group")))
+    gain = lambda at: (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(at + 1)
+    sums = met.groupBy("query_id").agg(F.coalesce(F.sum(F.when(F.col("rank") <= k, gain(F.col("rank")))), F.lit(0.0)).alias("dcg"), F.sum(F.when(F.col("ideal") <= k, gain(F.col("ideal")))).alias("best"))
+    return sums.select("query_id", (F.col("dcg") / F.col("best")).alias("ndcg"))
+
+
+def rerank_gain(before: DataFrame, after: DataFrame, groups: DataFrame, k: int = RERANK_K) -> DataFrame:
+    """One row: cases, ndcg_before, ndcg_after and improvement (gate: RERANK_IMPROVEMENT)."""
+    both = grouped_ndcg(before, groups, k).withColumnRenamed("ndcg", "before").join(grouped_ndcg(after, groups, k).withColumnRenamed("ndcg", "after"), "query_id")
+    out = both.agg(F.count("*").alias("cases"), F.avg("before").alias("ndcg_before"), F.avg("after").alias("ndcg_after"))
+    return out.withColumn("improvement", F.col("ndcg_after") - F.col("ndcg_before"))
+
+
+def recall_by_namespace(routes: DataFrame, expected: DataFrame, k: int) -> DataFrame:
+    """(namespace, cases, found, recall): in how many cases that expect a namespace it is among the first k routes."""
+    hit = expected.join(routes.where(F.col("rank") <= k).select("query_id", "namespace", F.lit(1).alias("_hit")).distinct(), ["query_id", "namespace"], "left")
+    per = hit.groupBy("namespace").agg(F.count("*").alias("cases"), F.count("_hit").alias("found"))
+    return per.withColumn("recall", F.col("found") / F.col("cases"))
+
+
+def regressions(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, before, after) of what got worse or is gone."""
+    both = before.select(key, F.col(value).alias("before")).join(after.select(key, F.col(value).alias("after")), key, "left")
+    return both.where(F.col("before").isNotNull() & (F.col("after").isNull() | (F.col("after") < F.col("before"))))
+
+
 def select_threshold(observations: DataFrame, max_risk_percent: int = MAX_RISK_PERCENT) -> DataFrame:
     """The one row of the curve with the most true positives among those of bounded risk (exact, in integers); then least risk, then highest threshold."""
     curve = risk_curve(observations)

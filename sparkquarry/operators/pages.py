@@ -11,6 +11,7 @@ from sparkquarry.functions.text import collapse_spaces
 # When a locale family or a version family counts as detected.
 MIN_FOREIGN_URLS, MIN_UNPREFIXED_URLS, MIN_FOREIGN_LOCALES, MIN_OVERLAP = 20, 10, 2, 5
 MIN_VERSIONS, MIN_VERSION_URLS = 3, 30
+CURRENT_VERSIONS, PREVIEW_VERSIONS = ["latest", "current", "stable"], ["nightly", "main", "master", "dev", "snapshot"]
 
 
 def unescape(x: Column) -> Column:
@@ -67,16 +68,65 @@ def locale_report(pages: DataFrame) -> DataFrame:
 
 
 def versions(pages: DataFrame) -> DataFrame:
-    """(root_path, version, urls) of the first version-like segment of each path."""
+    """(root_path, version, kind, urls) of the first segment of each path, after a first one, that names a version.
+
+    kind: current or preview (by name) or semver.
+    """
+    kind = lambda s: F.when(F.lower(s).isin(CURRENT_VERSIONS), "current").when(F.lower(s).isin(PREVIEW_VERSIONS), "preview").when(urls.version_key(F.lower(s)).isNotNull(), "semver")
     parts = urls.segments(F.col("url"))
-    at = F.array_position(F.transform(parts, lambda s: urls.version_key(s).isNotNull() | F.lower(s).isin("latest", "stable", "current", "nightly", "dev", "main", "next")), F.lit(True))
-    rows = pages.select("url", parts.alias("parts"), at.cast("int").alias("at")).where("at > 0").distinct()
-    root = F.concat(F.lit("/"), F.array_join(F.when(F.col("at") > 1, F.slice("parts", F.lit(1), F.col("at") - 1)).otherwise(F.array().cast("array<string>")), "/"))
-    return rows.select(root.alias("root_path"), F.element_at("parts", F.col("at")).alias("version")).groupBy("root_path", "version").agg(F.count("*").alias("urls"))
+    at = F.array_position(F.transform(parts, lambda s, i: (i > 0) & kind(s).isNotNull()), F.lit(True)).cast("int")
+    rows = pages.select("url", parts.alias("parts"), at.alias("at")).where("at > 1").distinct()
+    root = F.concat(F.lit("/"), F.array_join(F.slice("parts", F.lit(1), F.greatest(F.col("at") - 1, F.lit(0))), "/"))
+    named = rows.select(root.alias("root_path"), F.element_at("parts", F.col("at")).alias("version"))
+    return named.groupBy("root_path", "version", kind(F.col("version")).alias("kind")).agg(F.count("*").alias("urls"))
 
 
 def version_family(pages: DataFrame) -> DataFrame:
     """The versioned root with most URLs among those with MIN_VERSIONS versions and MIN_VERSION_URLS URLs: (root_path, versions, urls, latest)."""
-    per = versions(pages).withColumn("key", urls.version_key(F.col("version")))
+    per = versions(pages).withColumn("key", urls.version_key(F.lower("version")))
     roots = per.groupBy("root_path").agg(F.count("*").alias("versions"), F.sum("urls").alias("urls"), F.max_by("version", F.col("key")).alias("latest"))
     return roots.where((F.col("versions") >= MIN_VERSIONS) & (F.col("urls") >= MIN_VERSION_URLS)).orderBy(F.desc("urls"), F.desc("versions"), "root_path").limit(1)
+
+
+def selected_versions(per: DataFrame, policy: str) -> DataFrame:
+    """(root_path, version) to keep of versions(): stable-latest, latest or latest-nightly; a name stands in where there is no number, and the other way round."""
+    key = urls.version_key(F.lower("version"))
+    stable = F.struct(key.alias("key"), "version")
+    one = per.groupBy("root_path").agg(
+        F.max(F.when(F.col("kind") == "semver", stable))["version"].alias("stable"),
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "current", F.col("version")))).alias("current"),
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "preview", F.col("version")))).alias("preview"),
+    )  # at most a few names a root
+    first = lambda c: F.slice(c, 1, 1)
+    numbered = F.array_compact(F.array("stable"))
+    some = lambda *options: F.coalesce(*[F.when(F.size(o) > 0, o) for o in options])
+    chosen = {
+        "stable-latest": some(numbered, first(F.col("current")), first(F.col("preview"))),
+        "latest": some(F.col("current"), numbered, first(F.col("preview"))),
+        "latest-nightly": some(F.concat("current", "preview"), numbered),
+    }[policy]
+    return one.select("root_path", F.explode(chosen).alias("version"))
+
+
+def apply_version_policy(pages: DataFrame, policy: str) -> DataFrame:
+    """pages without those below another version of a root than the policy selects; roots with one version stay as they are."""
+    if policy == "all":
+        return pages
+    per = versions(pages)
+    several = per.groupBy("root_path").agg(F.count("*").alias("n")).where("n > 1").select("root_path")
+    gone = per.join(several, "root_path", "left_semi").join(selected_versions(per, policy), ["root_path", "version"], "left_anti")
+    under = F.concat("root_path", F.lit("/"), "version")
+    parts = urls.segments(F.col("url"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    met = pages.select("url", F.explode(prefixes).alias("prefix")).join(gone.select(under.alias("prefix")), "prefix", "left_semi").select("url").distinct()
+    return pages.join(met, "url", "left_anti")
+
+
+def apply_language_policy(pages: DataFrame, policy: str) -> DataFrame:
+    """pages without foreign locales (policy ``english``), where locale_report detects a family of them."""
+    if policy == "all":
+        return pages
+    report = locale_report(pages).select("detected")
+    prefix = urls.language_prefix(F.col("url"))
+    foreign = prefix.isNotNull() & (F.substring(prefix, 1, 2) != "en")
+    return pages.crossJoin(F.broadcast(report)).where(~(F.col("detected") & foreign)).drop("detected")  # one row

@@ -26,6 +26,8 @@ def _table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/rounds-{uuid.uuid4().hex}"
@@ -43,25 +45,29 @@ def select_prototypes(chunks: DataFrame, order: str, most: int = MOST) -> DataFr
     """(namespace, ordinal, url, order, passage): up to ``most`` passages of chunks(namespace, url, order, passage).
 
     Greedy: a document not used yet comes first, then the least overlap with what is selected, then source
-    order.  Every round reduces each namespace to one row with min(), so its passages are never gathered.
+    order.  Every round reduces each namespace to one row with min(), so its passages are never gathered; only
+    keys, token hashes and the overlap so far go from round to round, passages are fetched for the winners.
     Passages equal in normal form count once, at their first place.
     """
     named = chunks.where("passage IS NOT NULL").withColumn("_key", comparable(F.col("passage"))).where("_key <> ''")
-    first = named.groupBy("namespace", "_key").agg(F.min(F.struct(order, "url", "passage")).alias("r")).select("namespace", "r.*")
-    left = _table(first.withColumn("_tokens", lexical_tokens(F.col("passage"))).withColumn("_overlap", F.lit(0.0)).withColumn("_used", F.lit(0)))
+    first = _table(named.groupBy("namespace", "_key").agg(F.min(F.struct(order, "url", "passage")).alias("r")).select("namespace", "r.*"))
+    hashes = F.transform(lexical_tokens(F.col("passage")), lambda t: F.xxhash64(t))
+    left = first.select("namespace", order, "url", hashes.alias("_tokens"), F.lit(0.0).alias("_overlap"), F.lit(0).alias("_used"))
     out = None
     for ordinal in range(most):
-        best = _table(left.groupBy("namespace").agg(F.min(F.struct("_used", "_overlap", order, "url", "passage", "_tokens")).alias("r")).select("namespace", "r.*"))
+        best = _table(left.groupBy("namespace").agg(F.min(F.struct("_used", "_overlap", order, "url", "_tokens")).alias("r")).select("namespace", "r.*"))
         if best.isEmpty():
             break
-        taken = best.select("namespace", F.lit(ordinal).alias("ordinal"), "url", order, "passage")
+        taken = best.select("namespace", F.lit(ordinal).alias("ordinal"), "url", order)
         out = taken if out is None else out.unionByName(taken)
         if ordinal + 1 < most:
             last = best.select("namespace", F.col(order).alias("_o"), F.col("url").alias("_u"), F.col("_tokens").alias("_t"))
             left = left.join(last, "namespace").where((F.col(order) != F.col("_o")) | (F.col("url") != F.col("_u")))
             left = left.withColumn("_overlap", F.greatest("_overlap", overlap(F.col("_tokens"), F.col("_t")))).withColumn("_used", F.greatest("_used", (F.col("url") == F.col("_u")).cast("int")))
             left = _table(left.drop("_o", "_u", "_t"))
-    return out if out is not None else first.limit(0).select("namespace", F.lit(0).alias("ordinal"), "url", order, "passage")
+    if out is None:
+        return first.limit(0).select("namespace", F.lit(0).alias("ordinal"), "url", order, "passage")
+    return out.join(first, ["namespace", "url", order]).select("namespace", "ordinal", "url", order, "passage")
 
 
 def merge_cards(existing: DataFrame, incoming: DataFrame, semantic: list[str], kept: list[str]) -> DataFrame:

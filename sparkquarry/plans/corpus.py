@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sparkquarry.functions import ranking, repo
 from sparkquarry.functions import text as tx
 from sparkquarry.functions import urls
-from sparkquarry.operators import chunking, manifest, pages, prototypes
-from sparkquarry.sources import relation
+from sparkquarry.operators import chunking, index, manifest, pages, prototypes
+from sparkquarry.sources import relation, sinks
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -128,9 +128,15 @@ def page_titles(spark, sf_dir):
     return titled.select("page_id", pages.html_title(html, F.col("url")).alias("title"))
 
 
-@query()
+_BLOCKS = "p|div|h[1-6]|li|ul|ol|tr|table|section|article|br|pre|blockquote"
+
+
+@query(rf"""
+WITH x AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<noscript\b.*?</noscript>|<head\b.*?</head>|<!--.*?-->', ' ', 'g'), '(?i)</?({_BLOCKS})\b[^>]*>', chr(10), 'g') AS t FROM pages),
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM x)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM u""")
 def page_text(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", pages.html_title(F.col("html"), F.col("url")).alias("title"), pages.html_text(F.col("html")).alias("text"))
+    return load(spark, sf_dir, "pages").select("page_id", pages.html_text(F.col("html")).alias("text"))
 
 
 @query(_PATHS + """, s AS (SELECT page_id, unnest(range(1, len(parts) + 1)) AS i, parts FROM t)
@@ -144,6 +150,13 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk_documents(load(spark, sf_dir, "documents"))
 
 
+@query("SELECT doc_id FROM documents WHERE false")
+def lost_words(spark, sf_dir):
+    """Documents of which chunks lose a word or a number: none."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"(?m)^#{1,6}\s", "").alias("text"))
+    return chunking.lost_words(docs, chunking.chunk_documents(docs))
+
+
 @query("""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), s AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1, 80)) AS first_line FROM l)
 SELECT doc_id, first_line, least(first_line + 79, len(lines)) AS last_line, sha256(array_to_string(lines[first_line:first_line + 79], chr(10))) AS content_sha FROM s""")
@@ -255,15 +268,25 @@ def ledger_violations(spark, sf_dir):
     return manifest.ledger_violations(spoilt.withColumn("status", F.when(status == "retained_stale", "gone").otherwise(status)))
 
 
-@query()
+_LANES = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
+
+
+@query(_SIDES + f""", j AS (SELECT sha256('{{"canonical_url":"' || canonical_url || '","embedding_text_hash":"' || embedding_text_hash || '","page_hash":"' || page_hash || '","plan_id":"' || plan_id || '","row_id":"' || row_id || '","status":"' || status || '"}}') AS h FROM l)
+SELECT count(*) AS rows, sha256(concat_ws(',', {_LANES})) AS content_hash FROM j""")
 def ledger_hash(spark, sf_dir):
     return manifest.table_hash(_sides(spark, sf_dir)[1], "row_id")
 
 
-@query("SELECT conv_id, count(*) AS turns, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS body_md5 FROM conversations GROUP BY conv_id")
+@query("""
+WITH b AS (SELECT conv_id, turn // 64 AS block, count(*) AS turns, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY ALL)
+SELECT conv_id, CAST(sum(turns) AS BIGINT) AS turns, md5(string_agg(h, chr(10) ORDER BY block)) AS body_md5 FROM b GROUP BY conv_id""")
 def ordered_assembly(spark, sf_dir):
-    rows = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line")))).alias("lines"))
-    return rows.select("conv_id", "turns", F.md5(F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("body_md5"))
+    """Transcripts in blocks of 64 turns: only the hash of a block meets those of its conversation's other blocks."""
+    line = F.concat("role", F.lit(": "), "text")
+    blocks = load(spark, sf_dir, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 64).alias("block")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
+    hashed = blocks.select("conv_id", "block", "n", F.md5(F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("h"))
+    whole = hashed.groupBy("conv_id").agg(F.sum("n").alias("turns"), F.array_sort(F.collect_list(F.struct("block", "h"))).alias("blocks"))
+    return whole.select("conv_id", "turns", F.md5(F.array_join(F.transform("blocks", lambda x: x["h"]), "\n")).alias("body_md5"))
 
 
 @query(_PATHS + """, r AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'tests/' WHEN 2 THEN 'docs/' WHEN 3 THEN 'build/' WHEN 4 THEN 'examples/' ELSE 'pkg/fixtures/' END || trim(path, '/') || CASE page_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.min.js' WHEN 2 THEN '.md' ELSE '' END AS p FROM t)
@@ -280,6 +303,57 @@ def repository_paths(spark, sf_dir):
     return paths.select("page_id", repo.role(F.col("p")).alias("role"), F.coalesce(repo.skip_reason(F.col("p")), F.lit("none")).alias("skip_reason"), repo.language(F.col("p")).alias("language"))
 
 
+_NAMES = ["v1.2", "v1.10", "latest", "intro", "nightly", "2.0.1"]
+_VERSIONED = r"""
+WITH p AS (SELECT page_id, 'https://docs.example/' || CASE page_id % 4 WHEN 0 THEN 'api/' WHEN 1 THEN 'guide/' WHEN 2 THEN '' ELSE 'blog/' END || ['v1.2', 'v1.10', 'latest', 'intro', 'nightly', '2.0.1'][page_id // 4 % 6 + 1] || '/p' || page_id AS url FROM pages),
+s AS (SELECT page_id, url, split_part(url, '/', 4) AS root, split_part(url, '/', 5) AS version FROM p WHERE page_id % 4 <> 2),
+k AS (SELECT *, CASE WHEN version IN ('latest', 'current', 'stable') THEN 'current' WHEN version IN ('nightly', 'main', 'master', 'dev', 'snapshot') THEN 'preview' WHEN regexp_matches(version, '^v?[0-9]+(\.[0-9]+){1,3}([-+].*)?$') THEN 'semver' END AS kind FROM s),
+v AS (SELECT '/' || root AS root_path, version, kind, count(*) AS urls FROM k WHERE kind IS NOT NULL GROUP BY ALL)
+"""
+
+
+def _versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages put under roots and versions by their number."""
+    page = F.col("page_id")
+    root = F.element_at(F.array(*map(F.lit, ("api/", "guide/", "", "blog/"))), (page % 4 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.floor(page / 4) % len(_NAMES) + 1).cast("int"))
+    return load(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://docs.example/"), root, name, F.lit("/p"), page.cast("string")).alias("url"))
+
+
+@query(_VERSIONED + "SELECT root_path, version, kind, urls FROM v")
+def page_versions(spark, sf_dir):
+    return pages.versions(_versioned(spark, sf_dir))
+
+
+@query(_VERSIONED + """, best AS (SELECT root_path, coalesce(arg_max(version, list_transform(string_split(regexp_extract(version, '[0-9.]+'), '.'), lambda x: TRY_CAST(x AS INTEGER))) FILTER (kind = 'semver'), min(version) FILTER (kind = 'current'), min(version) FILTER (kind = 'preview')) AS version, count(*) AS n FROM v GROUP BY root_path)
+SELECT page_id, url FROM p WHERE page_id NOT IN (SELECT page_id FROM k JOIN best ON root_path = '/' || root WHERE kind IS NOT NULL AND n > 1 AND k.version <> best.version)""")
+def stable_pages(spark, sf_dir):
+    """Pages of the latest numbered version of each root, and all that have no version."""
+    return pages.apply_version_policy(_versioned(spark, sf_dir), "stable-latest")
+
+
+@query(ORACLE["page_locale_report"].replace("SELECT foreign_locales, foreign_urls, unprefixed_urls, english_locales,\n  ", "SELECT page_id FROM t CROSS JOIN (SELECT ").replace(" AS detected FROM r", " AS detected FROM r) WHERE NOT (detected AND prefix IS NOT NULL AND prefix NOT LIKE 'en%')"))
+def english_pages(spark, sf_dir):
+    return pages.apply_language_policy(load(spark, sf_dir, "pages"), "english").select("page_id")
+
+
+@query("""
+WITH d AS (SELECT CASE WHEN doc_id % 31 = 0 THEN NULL WHEN doc_id % 37 = 0 THEN ' ' ELSE CAST(doc_id % 1000 AS VARCHAR) END AS document_id, CASE WHEN doc_id % 29 = 0 THEN ' ' ELSE text END AS content FROM documents)
+SELECT rule, count(*) AS rows FROM (SELECT 'id missing' AS rule FROM d WHERE document_id IS NULL UNION ALL SELECT 'id blank' FROM d WHERE trim(document_id) = '' UNION ALL SELECT 'content blank' FROM d WHERE NOT regexp_matches(coalesce(content, ''), '[^\\s]')
+  UNION ALL SELECT 'id repeated' FROM d WHERE document_id IS NOT NULL GROUP BY document_id HAVING count(*) > 1) GROUP BY rule""")
+def invalid_rows(spark, sf_dir):
+    """Documents with some ids and texts spoilt by rule."""
+    key = F.col("doc_id")
+    name = F.when(key % 31 != 0, F.when(key % 37 == 0, " ").otherwise((key % 1000).cast("string")))
+    return index.invalid_rows(load(spark, sf_dir, "documents").select(name.alias("document_id"), F.when(key % 29 == 0, " ").otherwise(F.col("text")).alias("content")))
+
+
+@query("SELECT 'document-' || substr(sha256(url), 1, 24) || '.md' AS file, sha256('---' || chr(10) || 'title: ' || to_json(left(html, 40)) || chr(10) || 'url: ' || to_json(url) || chr(10) || '---' || chr(10) || chr(10) || html || chr(10)) AS raw_sha FROM pages")
+def markdown_files(spark, sf_dir):
+    rows = sinks.as_markdown(load(spark, sf_dir, "pages").select("url", F.left("html", F.lit(40)).alias("title"), F.col("html").alias("content")))
+    return rows.select("file", tx.sha256(F.col("raw")).alias("raw_sha"))
+
+
 @query("""
 WITH e AS (SELECT 'c-' || c_custkey AS namespace, c_mktsegment AS title, c_nationkey % 2 = 0 AS enabled, CASE WHEN c_custkey % 3 = 0 THEN 'manual' ELSE 'generated' END AS semantic_origin FROM customer WHERE c_custkey % 5 <> 0),
 i AS (SELECT 'c-' || c_custkey AS namespace, 'Customer ' || c_custkey AS title, true AS enabled, 'generated' AS semantic_origin FROM customer WHERE c_custkey % 7 <> 0)

@@ -364,6 +364,52 @@ def evidence_threshold(spark, sf_dir):
     return evaluation.select_threshold(_observations(spark, sf_dir))
 
 
+@query("""
+WITH o AS (SELECT quality = 1 AS useful, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE (n_chars % 1000) / 100.0::DOUBLE + quality * 40 END AS score, CASE WHEN doc_id % 2 = 0 THEN 'calibration' ELSE 'gate' END AS split FROM labels JOIN documents USING (doc_id)),
+p AS (SELECT score AS threshold, count(*) FILTER (useful) AS p, count(*) FILTER (NOT useful) AS n FROM o WHERE score IS NOT NULL AND split = 'calibration' GROUP BY score),
+k AS (SELECT threshold, sum(p) OVER (ORDER BY threshold DESC) AS tp, sum(n) OVER (ORDER BY threshold DESC) AS fp FROM p),
+c AS (SELECT threshold FROM k WHERE fp * 100 <= (tp + fp) * 5 ORDER BY tp DESC, fp / (tp + fp), threshold DESC LIMIT 1),
+g AS (SELECT threshold, count(*) FILTER (a AND useful) AS tp, count(*) FILTER (a AND NOT useful) AS fp, count(*) FILTER (NOT a AND NOT useful) AS tn, count(*) FILTER (NOT a AND useful) AS fn
+  FROM (SELECT threshold, useful, coalesce(score >= threshold, false) AS a FROM o CROSS JOIN c WHERE split = 'gate') GROUP BY threshold),
+r AS (SELECT *, fp / nullif(fp + tp, 0) AS risk, tp / nullif(tp + fn, 0) AS recall, tn / nullif(tn + fp, 0) AS abstention FROM g)
+SELECT threshold, tp, fp, tn, fn, round(risk, 9) AS risk, round(recall, 9) AS recall, round(abstention, 9) AS abstention, coalesce(risk <= 0.05::DOUBLE, false) AND coalesce(recall >= 0.95::DOUBLE, false) AND coalesce(abstention >= 0.9::DOUBLE, false) AS passed FROM r""")
+def evidence_certification(spark, sf_dir):
+    """Even documents calibrate, odd ones certify."""
+    both = load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    score = F.when(F.col("doc_id") % 9 != 0, (F.col("n_chars") % 1000) / F.lit(100.0) + F.col("quality") * 40)
+    out = evaluation.certify(both.select((F.col("quality") == 1).alias("useful"), score.alias("score"), F.when(F.col("doc_id") % 2 == 0, "calibration").otherwise("gate").alias("split")))
+    return out.select("threshold", "tp", "fp", "tn", "fn", *[F.round(c, 9).alias(c) for c in ("risk", "recall", "abstention")], "passed")
+
+
+@query("""
+WITH k AS (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % 50 = 0),
+j AS (SELECT q.query_id, v.vec_id AS key, 'g' || v.vec_id % 7 AS "group", 1 + (v.vec_id % 7) % 3 AS grade FROM k q JOIN embeddings v ON v.label = q.label),
+w AS (SELECT query_id, "group", max(grade) AS grade FROM j GROUP BY ALL),
+b AS (SELECT query_id, vec_id AS key, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) DESC, v.vec_id) AS rank FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 50 = 0) WHERE rank <= 10),
+h AS (SELECT 'before' AS side, * FROM b UNION ALL SELECT 'after', query_id, key, 11 - rank FROM b),
+m AS (SELECT side, query_id, "group", min(rank) AS rank FROM h JOIN j USING (query_id, key) GROUP BY ALL),
+n AS (SELECT s.side, w.query_id, w.grade, m.rank, row_number() OVER (PARTITION BY s.side, w.query_id ORDER BY w.grade DESC, w."group") AS ideal FROM w CROSS JOIN (VALUES ('before'), ('after')) AS s(side) LEFT JOIN m ON m.side = s.side AND m.query_id = w.query_id AND m."group" = w."group"),
+d AS (SELECT side, query_id, coalesce(sum((2.0::DOUBLE ** grade - 1) / log2(rank + 1)) FILTER (rank <= 5), 0) / sum((2.0::DOUBLE ** grade - 1) / log2(ideal + 1)) FILTER (ideal <= 5) AS ndcg FROM n GROUP BY ALL)
+SELECT count(*) FILTER (side = 'before') AS cases, round(avg(ndcg) FILTER (side = 'before'), 9) AS ndcg_before, round(avg(ndcg) FILTER (side = 'after'), 9) AS ndcg_after, round(avg(ndcg) FILTER (side = 'after') - avg(ndcg) FILTER (side = 'before'), 9) AS improvement FROM d""")
+def rerank_gain(spark, sf_dir):
+    """Neighbours of some vectors, before and after their order is turned round; seven groups of the own label's vectors are the judgments."""
+    rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "label")
+    asked = rows.where("key % 50 = 0").select(F.col("key").alias("query_id"), "label")
+    nth = F.col("key") % 7
+    groups = asked.join(rows, "label").select("query_id", "key", F.concat(F.lit("g"), nth.cast("string")).alias("group"), (1 + nth % 3).alias("grade"))
+    before = _neighbours(spark, sf_dir).select("query_id", F.col("vec_id").alias("key"), "rank")
+    out = evaluation.rerank_gain(before, before.withColumn("rank", 11 - F.col("rank")), groups)
+    return out.select("cases", *[F.round(c, 9).alias(c) for c in ("ndcg_before", "ndcg_after", "improvement")])
+
+
+@query(_CARDS + """, e AS (SELECT vec_id AS query_id, 'label-' || label AS namespace FROM embeddings)
+SELECT namespace, count(*) AS cases, count(rank) AS found, round(count(rank) / count(*), 9) AS recall FROM e LEFT JOIN (SELECT query_id, namespace, rank FROM routes WHERE rank <= 2) USING (query_id, namespace) GROUP BY namespace""")
+def recall_by_namespace(spark, sf_dir):
+    expected = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("label-"), F.col("label").cast("string")).alias("namespace"))
+    out = evaluation.recall_by_namespace(_routes(spark, sf_dir), expected, 2)
+    return out.withColumn("recall", F.round("recall", 9))
+
+
 @query(_SEEN + """, c AS (SELECT lang, count(*) FILTER (coalesce(score >= 60, false) AND useful) AS tp, count(*) FILTER (coalesce(score >= 60, false) AND NOT useful) AS fp,
   count(*) FILTER (NOT coalesce(score >= 60, false) AND NOT useful) AS tn, count(*) FILTER (NOT coalesce(score >= 60, false) AND useful) AS fn FROM o GROUP BY GROUPING SETS ((lang), ())),
 r AS (SELECT *, fp / nullif(fp + tp, 0) AS risk, tp / nullif(tp + fn, 0) AS recall FROM c)
@@ -395,6 +441,36 @@ def stage_latency(spark, sf_dir):
     return traces.stage_latency(traces.spans(load(spark, sf_dir, "events")))
 
 
+@query(_SPANS + """, r AS (SELECT trace_id, count(*) AS spans, min(ts) AS started_at, CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS us, count(*) FILTER (bad) = 0 AS ok FROM s GROUP BY trace_id)
+SELECT strftime(started_at, '%Y-%m-%d') AS day, count(*) AS retrievals, round(sum(us) / count(*) / 1000, 1) AS average_ms, count(*) FILTER (ok) AS successful, count(*) FILTER (spans = 1) AS incomplete FROM r GROUP BY day""")
+def daily_volume(spark, sf_dir):
+    return traces.daily_volume(traces.runs(traces.spans(load(spark, sf_dir, "events")))).withColumn("day", F.col("day").cast("string"))
+
+
+@query(_SPANS + " SELECT name AS stage, count(*) AS calls, round(sum(CAST(round(value * 1000) AS BIGINT)) / count(*) / 1000, 1) AS average_ms, round(quantile_cont(round(value, 1), 0.95), 1) AS p95_ms FROM s GROUP BY name")
+def stage_percentiles(spark, sf_dir):
+    return traces.stage_percentiles(traces.spans(load(spark, sf_dir, "events")))
+
+
+@query(_SPANS + """, r AS (SELECT count(*) AS spans, count(*) FILTER (bad) AS errors FROM s GROUP BY trace_id)
+SELECT spans > 2 AS widened, CASE WHEN errors > 0 THEN 'error' ELSE 'none' END AS fallback_reason, errors AS failure_count, count(*) AS retrievals FROM r GROUP BY ALL""")
+def widening_matrix(spark, sf_dir):
+    run = traces.runs(traces.spans(load(spark, sf_dir, "events")))
+    run = run.select((F.col("spans") > 2).alias("widened"), F.when(F.col("errors") > 0, "error").otherwise("none").alias("fallback_reason"), F.col("errors").alias("failure_count"))
+    return traces.outcome_matrix(run, "widened", "fallback_reason", "failure_count")
+
+
+@query("""
+WITH e AS (SELECT CASE WHEN event_id % 41 = 0 THEN ' ' ELSE event_type || '-' || user_id END AS trace_id, CASE event_id % 37 WHEN 3 THEN 'broken' WHEN 5 THEN '[1]' WHEN 7 THEN '{"ms": -1}' ELSE '{"ms": ' || event_id || '}' END AS payload FROM events)
+SELECT trace_id, 'id missing' AS reason FROM e WHERE trim(trace_id) = '' UNION ALL SELECT trace_id, 'no object' FROM e WHERE payload IN ('broken', '[1]') UNION ALL SELECT trace_id, 'negative duration' FROM e WHERE payload = '{"ms": -1}'""")
+def envelope_violations(spark, sf_dir):
+    """Events as envelopes, some spoilt by rule."""
+    key, part = F.col("event_id"), F.col("event_id") % 37
+    body = F.when(part == 3, "broken").when(part == 5, "[1]").when(part == 7, '{"ms": -1}').otherwise(F.concat(F.lit('{"ms": '), key.cast("string"), F.lit("}")))
+    name = F.when(key % 41 == 0, " ").otherwise(F.concat("event_type", F.lit("-"), F.col("user_id").cast("string")))
+    return traces.envelope_violations(load(spark, sf_dir, "events").select(name.alias("trace_id"), body.alias("payload")))
+
+
 @query("""
 WITH t AS (SELECT user_id AS trace_id, event_id AS span_id, CASE WHEN event_id % 97 <> 0 THEN event_id - event_id % 97 END AS p, ts AS started_at, ts + INTERVAL 1 HOUR AS ended_at FROM events),
 l AS (SELECT c.trace_id, r.span_id AS parent, c.started_at < r.started_at OR c.ended_at > r.ended_at AS outside FROM t c LEFT JOIN t r ON r.trace_id = c.trace_id AND r.span_id = c.p WHERE c.p IS NOT NULL)

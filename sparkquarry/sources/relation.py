@@ -57,7 +57,7 @@ def read_markdown(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_repository(spark: SparkSession, root: str, max_bytes: int = 50 * 1024, glob: str = "*") -> DataFrame:
-    """(path, size, text) of text files of at most max_bytes: no NUL byte and valid UTF-8 in the first 8,192 bytes."""
+    """(path, size, text) of text files of at most max_bytes: no NUL byte in the first 8,192 bytes and valid UTF-8 all through, so that text is exact."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).where(F.col("length") <= max_bytes)
     head = F.substring("content", 1, 8192)
     text = F.regexp_replace(F.try_validate_utf8(F.decode("content", "UTF-8")), "\r\n?", "\n")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,31 +18,49 @@ def require_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df
 
 
+def _folder(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _versions(spark: SparkSession, root: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+    pattern, fs = _folder(spark, f"{root}/_versions/*")
+    return sorted(int(f.getPath().getName()) for f in fs.globStatus(pattern) or [])
 
 
 def publish(df: DataFrame, root: str, expected: int | None = None) -> int:
-    """Write df as the next version; readers see it once its success marker is there.
+    """Write df into a folder of its own, then claim the next version for it; readers see whole versions only.
 
-    expected: the version that df was derived from; another current version is a conflict (ValueError).
+    expected: the version that df was derived from.  Another current version, or another writer that claims
+    the number first (the marker is created exclusively), is a conflict (ValueError).
     """
-    done = _versions(df.sparkSession, root)
+    spark = df.sparkSession
+    done = _versions(spark, root)
     current = done[-1] if done else 0
     if expected is not None and expected != current:
         raise ValueError(f"version {current} is current, not {expected}")
-    df.write.mode("overwrite").parquet(f"{root}/version={current + 1}")
+    name = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{name}")
+    marker, fs = _folder(spark, f"{root}/_versions/{current + 1:08d}")
+    try:
+        out = fs.create(marker, False)
+    except Py4JJavaError as e:
+        raise ValueError(f"version {current + 1} was published by another writer") from e
+    out.writeUTF(name)
+    out.close()
     return current + 1
 
 
 def read_current(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    """The newest whole version, with the exact schema if one is given."""
+    """The newest version, with the exact schema if one is given."""
     done = _versions(spark, root)
     if not done:
         raise FileNotFoundError(f"no complete version under {root}")
-    df = spark.read.parquet(f"{root}/version={done[-1]}")
+    marker, fs = _folder(spark, f"{root}/_versions/{done[-1]:08d}")
+    stream = fs.open(marker)
+    name = stream.readUTF()
+    stream.close()
+    df = spark.read.parquet(f"{root}/{name}")
     return require_schema(df, schema) if schema else df
 
 
@@ -60,8 +81,14 @@ def upsert(stored: DataFrame, rows: DataFrame, deleted: DataFrame, key: str = "i
     return stored.join(gone, key, "left_anti").unionByName(rows)
 
 
+def json_string(x: Column) -> Column:
+    """x as a JSON string, null as an empty one."""
+    whole = F.to_json(F.struct(F.coalesce(x, F.lit("")).alias("v")))
+    return F.substring(whole, 6, F.length(whole) - 6)
+
+
 def as_markdown(pages: DataFrame) -> DataFrame:
-    """(file, raw) of pages(url, title, content): front matter with escaped scalars and a name derived from the URL."""
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """(file, raw) of pages(url, title, content): front matter of JSON strings, as chunking.front_matter reads it, and a name derived from the URL."""
     name = F.concat(F.lit("document-"), F.substring(F.sha2("url", 256), 1, 24), F.lit(".md"))
-    return pages.select(name.alias("file"), F.concat(F.lit("---\ntitle: "), quoted("title"), F.lit("\nurl: "), quoted("url"), F.lit("\n---\n\n"), F.col("content"), F.lit("\n")).alias("raw"))
+    raw = F.concat(F.lit("---\ntitle: "), json_string(F.col("title")), F.lit("\nurl: "), json_string(F.col("url")), F.lit("\n---\n\n"), F.coalesce("content", F.lit("")), F.lit("\n"))
+    return pages.select(name.alias("file"), raw.alias("raw"))

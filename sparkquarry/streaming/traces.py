@@ -11,6 +11,7 @@ from sparkquarry.functions.text import sha256
 
 ENVELOPE = T.StructType([T.StructField("trace_id", T.StringType()), T.StructField("payload", T.StringType())])
 STATUS = ("ok", "error")
+PAYLOAD_BYTES, BUCKETS = 65_536, 64
 
 
 def spans(events: DataFrame) -> DataFrame:
@@ -35,6 +36,41 @@ def stage_latency(rows: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.count("*").alias("spans"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"), F.sum(F.round(F.col("duration_ms") * 1000).cast("long")).alias("total_us"))
 
 
+def daily_volume(run: DataFrame) -> DataFrame:
+    """(day, retrievals, average_ms, successful, incomplete) of runs: traces by day of their start; incomplete ones have one span only."""
+    return run.groupBy(F.to_date("started_at").alias("day")).agg(
+        F.count("*").alias("retrievals"), F.round(F.sum("duration_us") / F.count("*") / 1000, 1).alias("average_ms"),
+        F.sum(F.when(F.col("status") == "ok", 1).otherwise(0)).alias("successful"), F.sum(F.when(F.col("spans") == 1, 1).otherwise(0)).alias("incomplete"),
+    )
+
+
+def stage_percentiles(rows: DataFrame) -> DataFrame:
+    """(stage, calls, average_ms, p95_ms) of spans; durations count by the tenth of a millisecond, which bounds what the percentile keeps."""
+    tenth = F.round("duration_ms", 1)
+    return rows.groupBy(F.col("name").alias("stage")).agg(
+        F.count("*").alias("calls"), F.round(F.sum(F.round(F.col("duration_ms") * 1000).cast("long")) / F.count("*") / 1000, 1).alias("average_ms"), F.round(F.percentile(tenth, 0.95), 1).alias("p95_ms")
+    )
+
+
+def outcome_matrix(run: DataFrame, *columns: str) -> DataFrame:
+    """How many runs have each combination of the columns, for example mode, widened, fallback reason and failures."""
+    return run.groupBy(*columns).agg(F.count("*").alias("retrievals"))
+
+
+def envelope_violations(envelopes: DataFrame) -> DataFrame:
+    """(trace_id, reason) of envelopes(trace_id, payload) that must not be stored: no id, no JSON object, over PAYLOAD_BYTES, no numeric or a negative duration."""
+    body = F.try_parse_json("payload")
+    good = F.startswith(F.trim("payload"), F.lit("{")) & body.isNotNull()
+    duration = F.try_variant_get(body, "$.ms", "double")
+    rules = [
+        (F.coalesce(F.trim("trace_id"), F.lit("")) == "", "id missing"),
+        (~F.coalesce(good, F.lit(False)), "no object"),
+        (F.octet_length(F.coalesce("payload", F.lit(""))) > PAYLOAD_BYTES, "too large"),
+        (F.coalesce(good, F.lit(False)) & F.coalesce(duration < 0, F.lit(False)), "negative duration"),
+    ]
+    return envelopes.select("trace_id", F.explode(F.array_compact(F.array(*[F.when(x, F.lit(why)) for x, why in rules]))).alias("reason"))
+
+
 def graph_violations(rows: DataFrame) -> DataFrame:
     """(trace_id, reason) for spans(trace_id, span_id, parent_span_id, started_at, ended_at): roots other than one, missing parents, spans outside their parent."""
     roots = rows.groupBy("trace_id").agg(F.sum(F.when(F.col("parent_span_id").isNull(), 1).otherwise(0)).alias("roots")).where("roots <> 1").select("trace_id", F.lit("not one root").alias("reason"))
@@ -63,20 +99,23 @@ def classify(batch: DataFrame, stored: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, inbox: str, store: str, receipts: str, checkpoint: str, files_per_batch: int = 128) -> StreamingQuery:
     """Drain a folder of JSON envelopes into a store, once each; every envelope leaves a receipt.
 
-    A batch writes its traces and receipts under its own batch folder and overwrites them when it is
-    replayed after a crash, so either is there once however often a batch runs.
+    The store is dealt into BUCKETS folders by a hash of the trace id, and a batch reads only the ids and
+    hashes of the buckets that it has envelopes for.  It writes its traces and receipts under its own batch
+    folder and overwrites them when it is replayed after a crash, so either is there once however often a
+    batch runs.
     """
-    schema = T.StructType([*ENVELOPE.fields, T.StructField("content_hash", T.StringType())])
+    schema = T.StructType([*ENVELOPE.fields, T.StructField("content_hash", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
 
     def write(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        jvm = session._jvm
-        pattern = f"{store}/batch=*"
-        files = jvm.org.apache.hadoop.fs.Path(pattern).getFileSystem(session._jsc.hadoopConfiguration()).globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []
-        earlier = [f.getPath().toString() for f in files if int(f.getPath().getName().split("=")[1]) < number]
-        stored = session.read.schema(schema).parquet(*earlier) if earlier else session.createDataFrame([], schema)
-        made = classify(batch, stored).persist()
-        made.where("outcome = 'committed'").select(*schema.names).dropDuplicates(["trace_id"]).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64("trace_id"), F.lit(BUCKETS)).cast("int"))
+        wanted = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        path = session._jvm.org.apache.hadoop.fs.Path(store)
+        known = path.getFileSystem(session._jsc.hadoopConfiguration()).exists(path)
+        stored = session.read.schema(schema).parquet(store).where(F.col("bucket").isin(wanted) & (F.col("batch") < number)) if known else session.createDataFrame([], schema)
+        made = classify(batch, stored).withColumn("bucket", F.pmod(F.xxhash64("trace_id"), F.lit(BUCKETS)).cast("int")).persist()
+        new = made.where("outcome = 'committed'").select("trace_id", "payload", "content_hash", "bucket").dropDuplicates(["trace_id"]).withColumn("batch", F.lit(number).cast("long"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(store)
         made.select("trace_id", "content_hash", "outcome").write.mode("overwrite").parquet(f"{receipts}/batch={number}")
         made.unpersist()
 

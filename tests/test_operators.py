@@ -224,7 +224,7 @@ def test_trace_ingest_is_exactly_once(spark, tmp_path):
     def drain():
         traces.ingest(spark, inbox, store, receipts, checkpoint).awaitTermination(120)
         seen = spark.read.option("basePath", receipts).parquet(f"{receipts}/batch=*")
-        return sorted((r.trace_id, r.outcome) for r in seen.collect()), spark.read.parquet(f"{store}/batch=*").count()
+        return sorted((r.trace_id, r.outcome) for r in seen.collect()), spark.read.parquet(store).count()
 
     put("1.json", ("a", '{"n": 1}'), ("b", '{"n": 2}'), ("c", "no json"))
     assert drain() == ([("a", "committed"), ("b", "committed"), ("c", "rejected")], 2)
@@ -298,8 +298,62 @@ def test_versions_and_upserts(spark, tmp_path):
     sinks.write_index(rows, index)
     sinks.write_index(rows.where("namespace = 'x'").withColumn("n", F.lit(2)), index)
     assert {(r.namespace, r.n) for r in spark.read.parquet(index).collect()} == {("x", 2), ("y", 1)}
-    page = sinks.as_markdown(spark.createDataFrame([("u", 'a "b"', "text")], "url string, title string, content string")).first()
-    assert chunking.front_matter(page.raw)[1].strip() == "text" and page.file.startswith("document-")
+    title = 'a "b" \\ c\n: é'
+    page = sinks.as_markdown(spark.createDataFrame([("u", title, "text")], "url string, title string, content string")).first()
+    values, body = chunking.front_matter(page.raw)
+    assert values == {"title": title, "url": "u"} and body.strip() == "text" and page.file.startswith("document-")
+
+
+def test_of_two_writers_of_a_version_one_is_refused(spark, tmp_path, monkeypatch):
+    from sparkquarry.sources import sinks
+
+    root = str(tmp_path / "table")
+    df = spark.range(3)
+    assert sinks.publish(df, root) == 1
+    monkeypatch.setattr(sinks, "_versions", lambda spark, root: [])  # what a writer saw that began before
+    with pytest.raises(ValueError):
+        sinks.publish(spark.range(5), root)
+    monkeypatch.undo()
+    assert sinks.read_current(spark, root).count() == 3 and sinks.publish(df, root, expected=1) == 2
+
+
+def test_risk_curve_in_ranges_equals_one_window(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.random() < 0.4, rng.choice([None, round(rng.random(), 2)])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "useful boolean, score double")
+    whole, parts = ({r.threshold: (r.tp, r.fp) for r in evaluation.risk_curve(df, n).collect()} for n in (10**6, 7))
+    assert whole == parts and whole == {t: tuple(sum(u == want and s is not None and s >= t for u, s in rows) for want in (True, False)) for t in whole}
+    points = [r.threshold for r in evaluation.breakpoints(df.limit(3).union(spark.createDataFrame([(True, 0.5)], df.schema)), "score").collect()]
+    assert 0.5 in points and any(0 < p - 0.5 < 1e-15 for p in points)
+
+
+def test_routes_by_name_and_by_certified_margin(spark):
+    cards = spark.createDataFrame([("a", "Alpha.com", ["first site"], [1.0, 0.0]), ("b", "Beta", [], [0.0, 1.0]), ("c", "Gamma", None, [0.6, 0.8]), ("d", "Delta", [], [-1.0, 0.0])], "namespace string, title string, aliases array<string>, vector array<double>")
+    asked = [(1, "what does alpha do", [0.0, 1.0]), (2, "beta or gamma", [1.0, 0.0]), (3, "no name", [1.0, 0.0]), (4, "alpha beta gamma delta", [1.0, 0.0]), (5, "nothing", [0.7, 0.714])]
+    queries = spark.createDataFrame(asked, "query_id long, query string, vector array<double>")
+    got = {}
+    for r in routing.hybrid_route(queries, cards).orderBy("query_id", "route_rank").collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert [r.namespace for r in got[1]] == ["a", "b", "c"] and got[1][0].fanout == 1 and got[1][0].reason == "unique_title_or_alias"
+    assert {r.namespace for r in got[2]} == {"b", "c"} and got[2][0].fanout == 2 and got[2][0].confident
+    assert [r.namespace for r in got[3]] == ["a", "c", "b"] and got[3][0].confident and got[3][0].fanout == 1
+    assert [(r.namespace, r.reason, r.fanout) for r in got[4]] == [(None, "too_many_named", 0)]
+    assert not got[5][0].confident or got[5][0].score >= 0.65
+    passages = spark.createDataFrame([("a", 0, "nothing at all"), ("b", 0, "else"), ("b", 1, "nothing"), ("c", 0, "x"), ("d", 0, "x")], "namespace string, ordinal long, passage string")
+    same = lambda q, p: F.when(q == p, 1.0).otherwise(0.0)
+    for certified, sure in ((True, True), (False, False)):
+        rows = routing.prototype_route(queries.where("query_id = 5"), cards, cards, passages, same, 0.5, 0.5, certified).orderBy("route_rank").collect()
+        assert [r.namespace for r in rows] == ["b", "c", "a"] and rows[0].confident == sure and rows[0].fanout == (1 if sure else 3)
+
+
+def test_field_weights_and_pushed_filters(spark):
+    docs = spark.createDataFrame([(1, "alpha", "x", "beta"), (2, "x", "x", "alpha alpha"), (3, None, None, None)], "doc_id long, title string, section_path string, content string")
+    asked = spark.createDataFrame([(7, "Alpha"), (8, "absent"), (9, None)], "query_id long, query string")
+    top = retrieval.bm25_top_k(docs, asked, 5, fields=retrieval.FIELD_WEIGHTS).collect()
+    assert [(r.query_id, r.doc_id) for r in sorted(top, key=lambda r: r.rank)] == [(7, 1), (7, 2)]
+    assert retrieval.bm25_top_k(docs.limit(0), asked, 5, fields={"content": 1.0}).count() == 0
 
 
 def test_judgments_slots_and_rules(spark):
