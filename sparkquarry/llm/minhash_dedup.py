@@ -239,6 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rest = members.where("node <> lead").select("key", "node").join(label, "node", "left")
     rest = rest.select("key", "node", F.coalesce("root", "node").alias("label"))
     split = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
+    split = cut(split)  # written, so that the join has its own exchange, whose hot buckets AQE can split
     rest = rest.join(split.select("key", "low", F.ceil(F.col("n") / BLOCK).cast("int").alias("salts")), "key")
     rest = cut(rest.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")))
     if not rest.isEmpty():
