@@ -40,7 +40,8 @@ def token_count(x: Column) -> Column:
 
 def identifier_tokens(x: Column) -> Column:
     """Distinct camel-case and number parts in order, lower-cased."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(IDENTIFIER), F.lit(0)), F.lower))
+    parts = F.flatten(F.transform(F.split(x, "[^A-Za-z0-9]+"), lambda t: F.regexp_extract_all(t, F.lit(IDENTIFIER), F.lit(0))))
+    return F.array_distinct(F.transform(parts, F.lower))
 
 
 def lexical_tokens(x: Column) -> Column:

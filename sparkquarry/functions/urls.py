@@ -100,3 +100,50 @@ def allowed(x: Column, include: list[str] | None = None, exclude: list[str] | No
     for p in exclude or []:
         ok = ok & ~matches(x, p)
     return ok
+
+
+def unquoted(x: Column) -> Column:
+    """Percent escapes decoded, + as it is; x itself where an escape is malformed."""
+    return F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+
+
+def plain_path(x: Column) -> Column:
+    """Escapes decoded, backslashes turned, no slash at either end."""
+    return F.regexp_replace(F.replace(unquoted(F.trim(x)), F.lit("\\"), F.lit("/")), "^/+|/+$", "")
+
+
+def eval_url(x: Column) -> Column:
+    """Host and path of a judged URL, host lower-cased, // collapsed, no slash at the end; something without a host lower-cased."""
+    x = unquoted(F.trim(x))
+    named = F.regexp_extract(x, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    joined = F.regexp_replace(F.concat(F.lower(named), F.lit("/"), F.regexp_replace(path(x), "^/+|/+$", "")), "/{2,}", "/")
+    return F.regexp_replace(F.when(named != "", joined).otherwise(F.lower(x)), "/+$", "")
+
+
+def page_key(x: Column) -> Column:
+    """A page's URL without fragment and slashes at the end, lower-cased."""
+    return F.lower(F.regexp_replace(F.regexp_replace(x, "#.*$", ""), "/+$", ""))
+
+
+def same_host(x: Column, allowed_host: str) -> Column:
+    return F.lower(x).rlike("^https?://") & (host(x) == allowed_host.lower())
+
+
+def source_id(x: Column) -> Column:
+    """The slug of a site's host, without www."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host(x), r"^www\.", ""), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def namespace_name(x: Column) -> Column:
+    return F.concat(F.lit("site-"), source_id(x), F.lit("-v1"))
+
+
+def with_scheme_and_host(x: Column) -> Column:
+    """Whether a base URL is http(s) with a host, without credentials, query or fragment."""
+    return F.coalesce(x.rlike(r"^(?i:https?)://[^/?#@\s]+(/[^?#\s]*)?$"), F.lit(False))
+
+
+def sitemap_seeds(base: Column) -> Column:
+    """Where a site's sitemaps are looked for: robots.txt and two usual names."""
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    return F.array(*[F.concat(root, F.lit(p)) for p in ("/robots.txt", "/sitemap.xml", "/sitemap_index.xml")])
