@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from sparkquarry.functions import text as tx
 from sparkquarry.functions import urls
 from sparkquarry.operators import manifest, repository, rows
+from sparkquarry.operators import search as search_ops
 from sparkquarry.plans import corpus, search
+from sparkquarry.sources import artifacts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -142,3 +144,36 @@ def judged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = load(spark, sf_dir, "documents").select("doc_id", part("n", 3).alias("namespace"), F.col("source").alias("url"), part("g", 5).alias("group"))
     hits = search._body_hits(spark, sf_dir).join(known, "doc_id").select("query_id", "rank", "namespace", "url")
     return rows.judged_groups(hits, known.where("doc_id % 2 = 0"))
+
+
+@query("SELECT * FROM (" + search.ORACLE["hybrid_routes"].replace("SELECT query_id, CASE WHEN named <= 3 THEN namespace END AS namespace", "SELECT query_id, CASE WHEN named <= 3 THEN namespace END AS namespace", 1).join(["WITH routes AS (", "), "]) + search._BODY.replace("WITH ", "", 1) + """,
+hits AS (SELECT query_id, 'label-' || doc_id % 10 AS namespace, doc_id AS key, score AS local_score, (n_chars % 997) / 997.0::DOUBLE AS cross_score FROM body JOIN documents USING (doc_id)),
+met AS (SELECT hits.*, route_rank, fanout FROM hits JOIN routes USING (query_id, namespace)),
+c AS (SELECT 'narrow' AS side, * FROM met WHERE route_rank <= fanout UNION ALL SELECT 'wide', * FROM met),
+lr AS (SELECT *, row_number() OVER (PARTITION BY side, query_id, namespace ORDER BY local_score DESC, key) AS local_rank FROM c QUALIFY local_rank <= 8),
+cr AS (SELECT *, row_number() OVER (PARTITION BY side, query_id ORDER BY cross_score DESC, local_rank, namespace, key) AS cross_rank FROM lr),
+fu AS (SELECT *, round(1.0::DOUBLE / (60 + local_rank) + 1.0::DOUBLE / (60 + cross_rank), 12) AS score FROM cr),
+rk AS (SELECT *, row_number() OVER (PARTITION BY side, query_id ORDER BY score DESC, cross_rank, local_rank, namespace, key) AS rank FROM fu QUALIFY rank <= 5),
+ob AS (SELECT query_id, max(cross_score) AS top FROM rk WHERE side = 'narrow' GROUP BY query_id),
+weak AS (SELECT DISTINCT query_id FROM routes LEFT JOIN ob USING (query_id) WHERE top IS NULL OR top < 0.6::DOUBLE)
+SELECT query_id, namespace, key, local_rank, cross_rank, score, rank, side = 'wide' AS widened FROM rk WHERE (side = 'wide') = (query_id IN (SELECT query_id FROM weak)))""")
+def routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions asked of the labels that hybrid_routes sends them to; documents are dealt to labels by their id."""
+    chars = load(spark, sf_dir, "documents").select("doc_id", ((F.col("n_chars") % 997) / F.lit(997.0)).alias("cross_score"))
+    hits = search._body_hits(spark, sf_dir).join(chars, "doc_id")
+    hits = hits.select("query_id", F.concat(F.lit("label-"), (F.col("doc_id") % 10).cast("string")).alias("namespace"), F.col("doc_id").alias("key"), F.col("score").alias("local_score"), "cross_score")
+    return search_ops.routed_search(search.hybrid_routes(spark, sf_dir), hits, 0.6)
+
+
+@query("""
+WITH c AS (SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'broken' WHEN doc_id % 17 = 0 THEN '{"id": "' || doc_id % 500 || '", "question": "q", "extra": 1}' WHEN doc_id % 13 = 0 THEN '{"id": "' || doc_id % 500 || '"}' ELSE '{"id": "' || doc_id % 500 || '", "question": "q"}' END AS t FROM documents),
+i AS (SELECT doc_id % 500 AS id FROM c WHERE t <> 'broken' GROUP BY 1 HAVING count(*) > 1)
+SELECT doc_id, 'no object' AS problem FROM c WHERE t = 'broken' UNION ALL SELECT doc_id, 'unknown: extra' FROM c WHERE t LIKE '%extra%' UNION ALL SELECT doc_id, 'missing: question' FROM c WHERE t NOT LIKE '%question%' AND t <> 'broken'
+UNION ALL SELECT doc_id, 'repeated id: ' || doc_id % 500 FROM c WHERE t <> 'broken' AND doc_id % 500 IN (SELECT id FROM i)""")
+def case_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' ids as JSON cases, some spoilt by rule, and what strict reading says of them."""
+    key = F.col("doc_id")
+    head = F.concat(F.lit('{"id": "'), (key % 500).cast("string"), F.lit('"'))
+    text = F.when(key % 19 == 0, "broken").when(key % 17 == 0, F.concat(head, F.lit(', "question": "q", "extra": 1}'))).when(key % 13 == 0, F.concat(head, F.lit("}"))).otherwise(F.concat(head, F.lit(', "question": "q"}')))
+    made = artifacts.unique(artifacts.checked(load(spark, sf_dir, "documents").select("doc_id", text.alias("element")), artifacts.EVAL_CASE, ["id", "question"]), "id")
+    return made.select("doc_id", F.explode("problems").alias("problem"))

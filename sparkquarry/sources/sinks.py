@@ -51,6 +51,12 @@ def publish(df: DataFrame, root: str, expected: int | None = None) -> int:
     return current + 1
 
 
+def current_version(spark: SparkSession, root: str) -> int:
+    """The number of the newest version, 0 where there is none."""
+    done = _versions(spark, root)
+    return done[-1] if done else 0
+
+
 def read_current(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
     """The newest version, with the exact schema if one is given."""
     done = _versions(spark, root)

@@ -304,6 +304,62 @@ def test_versions_and_upserts(spark, tmp_path):
     assert values == {"title": title, "url": "u"} and body.strip() == "text" and page.file.startswith("document-")
 
 
+def test_plans_are_applied_once_and_in_order(spark, tmp_path):
+    from sparkquarry.operators import apply
+
+    schema = "row_id string, canonical_url string, page_hash string, embedding_text_hash string"
+    index, ledger = str(tmp_path / "index"), str(tmp_path / "ledger")
+
+    def plan(*pairs):
+        wanted = spark.createDataFrame([(i, "u", "a" * 64, h * 64) for i, h in pairs], schema)
+        return wanted, wanted.select(F.col("row_id").alias("id"), F.col("embedding_text_hash").alias("content"))
+
+    first = apply.apply_plan(spark, *plan(("a", "1"), ("b", "1")), index, ledger, "p1").first()
+    assert first["rows_to_upsert"] == 2 and first["stale_rows"] == 0
+    again = apply.apply_plan(spark, *plan(("a", "1"), ("b", "2"), ("c", "1")), index, ledger, "p2").first()
+    assert (again["chunks_unchanged"], again["rows_to_upsert"]) == (1, 2)
+    apply.apply_plan(spark, *plan(("b", "2")), index, ledger, "p3", delete_stale=True)
+    from sparkquarry.sources import sinks
+
+    assert {(r.id, r.content[0]) for r in sinks.read_current(spark, index).collect()} == {("b", "2")}
+    assert {(r.row_id, r.status) for r in sinks.read_current(spark, ledger).collect()} == {("b", "active")} and sinks.current_version(spark, ledger) == 3
+
+
+def test_strict_artifacts(spark, tmp_path):
+    from sparkquarry.sources import artifacts
+
+    good, bad = tmp_path / "good.json", tmp_path / "bad.json"
+    good.write_text('{"cases": [{"id": "a", "question": "q", "split": "gate", "role": "named", "expected": ["x"]}, {"id": "b", "question": "r", "split": "calibration"}]}')
+    rows = artifacts.read_strict(spark, str(good), artifacts.ROUTING_CASE, ["id", "question", "split"], "id")
+    assert {(r.id, r.role) for r in rows.collect()} == {("a", "named"), ("b", None)} and artifacts.gate_cases(rows).count() == 1
+    bad.write_text('[{"id": "a", "id": "b", "score_floor": "much", "odd": 1}, 7]')
+    with pytest.raises(ValueError) as said:
+        artifacts.read_strict(spark, str(bad), "id string, score_floor double", ["id", "mode"])
+    assert all(x in str(said.value) for x in ("unknown: odd", "missing: mode", "misfit: score_floor", "no object"))
+
+
+def test_evidence_modes(spark):
+    from sparkquarry.operators import rows
+
+    seen = rows.observe_evidence(spark.createDataFrame([(1, 1, 0.7), (1, 2, 0.4), (1, 6, 0.9), (2, 1, None), (3, 1, 0.2)], "query_id int, rank int, cross_score double"))
+    got = {r.query_id: r for r in rows.decide_evidence(seen, 0.7, "active").collect()}
+    assert (got[1].decision, got[1].gap, got[1].candidates) == ("supported", 0.3, 2) and got[2].weak and got[3].decision == "insufficient"
+    assert {(r.decision, r.enforced) for r in rows.decide_evidence(seen, 0.7, "shadow").collect()} == {("supported", False), ("insufficient", False)}
+    assert {r.decision for r in rows.decide_evidence(seen, None, "collect").collect()} == {"not evaluated"}
+
+
+def test_pages_of_source_files(spark):
+    from sparkquarry.operators import repository
+
+    text = "import os\n\ndef load_rows():\n    pass\n" + "x = 1\n" * 90 + "class Reader:\n    pass\n"
+    files = spark.createDataFrame([("src/my_reader.py", text), ("README.md", "# Hi"), ("notes.txt", " plain\n"), ("run.sh", "```"), ("empty.py", None)], "path string, text string")
+    got = {r.path: r for r in repository.as_pages(files).collect()}
+    code = got["src/my_reader.py"]
+    assert code.n_symbols == 2 and "## Lines 1-80\n\nSymbol breadcrumbs: load_rows\n\n```python" in code.page and "## Lines 81-96\n\nSymbol breadcrumbs: Reader" in code.page
+    assert "Path tokens: src my reader\nFile stem: my_reader\nSymbols: load_rows, Reader\nSymbol tokens: load rows reader" in code.card and code.card.startswith("# File metadata: src/my_reader.py\n\nRepository file: `src/my_reader.py`")
+    assert got["README.md"].page == "# Hi" and got["notes.txt"].page == "# notes.txt\n\nplain" and "~~~~shell\n```\n~~~~" in got["run.sh"].page and "## Lines" not in got["empty.py"].page
+
+
 def test_of_two_writers_of_a_version_one_is_refused(spark, tmp_path, monkeypatch):
     from sparkquarry.sources import sinks
 
