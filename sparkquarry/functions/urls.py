@@ -147,3 +147,10 @@ def sitemap_seeds(base: Column) -> Column:
     """Where a site's sitemaps are looked for: robots.txt and two usual names."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     return F.array(*[F.concat(root, F.lit(p)) for p in ("/robots.txt", "/sitemap.xml", "/sitemap_index.xml")])
+
+
+def hosted_repository(x: Column) -> Column:
+    """(owner, name) of a repository's https or ssh address on the usual host, a .git ending aside; null for others."""
+    pattern = r"^(?:https?://(?:www\.)?github\.com/|git@github\.com:)([A-Za-z0-9][A-Za-z0-9-]{0,38})/([A-Za-z0-9._-]+?)(?:\.git)?/?$"
+    owner, name = (F.regexp_extract(F.trim(x), pattern, i) for i in (1, 2))
+    return F.when((owner != "") & ~name.isin("", ".", ".."), F.struct(owner.alias("owner"), name.alias("name")))

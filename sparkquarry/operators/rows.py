@@ -152,7 +152,7 @@ def judged_groups(hits: DataFrame, groups: DataFrame) -> DataFrame:
 
 def distinct_in_order(x: Column) -> Column:
     """Trimmed values without blanks and repeats."""
-    return F.array_distinct(F.filter(F.transform(x, F.trim), lambda v: v != ""))
+    return F.array_distinct(F.filter(F.transform(x, lambda t: F.trim(t)), lambda v: v != ""))
 
 
 def first_by_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

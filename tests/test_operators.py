@@ -338,6 +338,26 @@ def test_strict_artifacts(spark, tmp_path):
     assert all(x in str(said.value) for x in ("unknown: odd", "missing: mode", "misfit: score_floor", "no object"))
 
 
+def test_small_forms(spark):
+    from sparkquarry.operators import rows
+
+    assert one(spark, urls.hosted_repository(F.lit("git@github.com:me/some.repo.git"))).asDict() == {"owner": "me", "name": "some.repo"}
+    assert one(spark, urls.hosted_repository(F.lit("https://example.org/a/b"))) is None
+    assert one(spark, urls.eval_url(F.lit("https://A.example//x%20y/?q#z"))) == "a.example/x y" and one(spark, urls.eval_url(F.lit(" Some/Path/ "))) == "some/path"
+    assert one(spark, urls.plain_path(F.lit("\\a\\b%2Fc/"))) == "a/b/c" and one(spark, urls.plain_path(F.lit("100%"))) == "100%"
+    assert one(spark, urls.same_host(F.lit("HTTPS://Docs.Example/x"), "docs.example")) is True and one(spark, urls.same_host(F.lit("ftp://docs.example/x"), "docs.example")) is False
+    assert one(spark, urls.with_scheme_and_host(F.lit("https://u:p@a.example"))) is False and one(spark, urls.with_scheme_and_host(F.lit("https://a.example/x"))) is True
+    assert one(spark, urls.sitemap_seeds(F.lit("https://a.example/docs")))[0] == "https://a.example/robots.txt"
+    assert one(spark, rows.allowed_attributes(F.create_map(F.lit("a"), F.lit("x" * 300), F.lit("b"), F.lit("y"), F.lit("c"), F.lit(None).cast("string")), ["a", "c"])) == {"a": "x" * 256}
+    assert one(spark, rows.timestamp_of_nanos(F.lit(1_700_000_000_123_456_789))).microsecond == 123456
+    assert one(spark, rows.distinct_in_order(F.array(F.lit(" b"), F.lit(""), F.lit("a"), F.lit("b")))) == ["b", "a"]
+    assert one(spark, rows.as_float32(F.array(F.lit(0.1)))) == [0.10000000149011612]
+    left = spark.createDataFrame([("a", "x"), ("b", "y")], "namespace string, status string")
+    assert rows.uncovered_namespaces(left.replace({"x": "missing", "y": "eligible"}, subset="status")).first()["namespace"] == "a"
+    before, after = (spark.createDataFrame(r, "k string, v double") for r in ([("a", 1.0), ("b", 0.5), ("c", 0.1)], [("a", 1.0), ("b", 0.4)]))
+    assert {r.k for r in evaluation.regressions(before, after, "k", "v").collect()} == {"b", "c"}
+
+
 def test_evidence_modes(spark):
     from sparkquarry.operators import rows
 
