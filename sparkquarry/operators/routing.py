@@ -56,6 +56,7 @@ def nearest_namespaces(queries: DataFrame, bank: DataFrame, keep: int, digits: i
     Vectors of another length than the query's don't count; ties go to the smaller namespace.
     """
     spark, out = queries.sparkSession, None
+    bank = bank.where(F.size("vector") > 0)
     blocks = max(1, -(-bank.count() // BANK_BLOCK))
     for block in range(blocks):
         own = bank.where(F.pmod(F.xxhash64("namespace"), F.lit(blocks)) == block).select("namespace", "vector").toPandas()  # one block
