@@ -4,7 +4,8 @@ Every text is normalised (A-Z lower-cased, null counts as empty) and hashed with
 read; only digests travel.  Each read task first combines its own equal digests, so a text that makes
 up a third of the corpus reaches its shard as one row per task.  A shard streams its rows through a
 ``CuckooIndex``: a filter hit is verified against the full digests stored beside the fingerprints, a
-full table doubles from the stored keys, and withdrawn digests are deleted.
+full table doubles from the stored keys, and withdrawn digests are deleted.  The SHA-256 stands for the
+content: two texts of one digest count as equal, which is not known ever to have happened.
 
 Defined results: no rows give no rows; texts that are null, empty or repeated are ordinary rows
 (null equals empty); rows that repeat an id with the same text are all ``kept`` in the report, and
