@@ -607,6 +607,19 @@ def test_a_passage_put_together_from_pieces_is_found_whole(spark):
     assert len(got & set(groups)) >= 36
 
 
+def test_alignment_counts_words_once():
+    rng = np.random.RandomState(1)
+    for _ in range(50):
+        a = rng.randint(1000, 10**6, 80).astype(np.uint32)
+        cut = sorted(rng.choice(np.arange(10, 70), 2, replace=False))
+        b = np.concatenate((a[: cut[0]], a[cut[0] + 1 : cut[1]], rng.randint(1, 900, 2).astype(np.uint32), a[cut[1] :]))  # a word gone, two put in
+        anchors = [(i, j) for j in range(len(b) - 5) for i in range(75) if (a[i : i + 6] == b[j : j + 6]).all()]
+        got = substring_dedup.align(a, b, [i for i, _ in anchors], [j for _, j in anchors])
+        assert got == (0, 80, 0, 81, 79)
+    best, path = substring_dedup.chain([1, 5, 9, 40], [11, 15, 19, 50])
+    assert path == [0, 1, 2, 3] and best > substring_dedup.LEAST_CHAIN
+
+
 def test_recall_of_fuzzy_passages(spark):
     """Passages of 100 words with 3 to 15 % of the words changed, dropped or put in, against plain word alignment."""
     rng = random.Random(2)
