@@ -33,7 +33,7 @@ STEMS = (4, 5, 6)
 POSITIVES, NEGATIVES = 2500, 5000
 LEAST, EVIDENCE, FACTORS = 4, 4.0, 8
 PAIR_LEAST, PAIR_EVIDENCE, PAIR_BLOCK = 16, 6.0, 1024
-BROADCAST_LABELS = 4_000_000
+BROADCAST_LABELS = 1_000_000
 
 
 def terms(texts: pa.Array, stems: tuple[int, ...] = STEMS) -> tuple[np.ndarray, np.ndarray]:
