@@ -105,6 +105,7 @@ def code_profile(path: Column, content: Column, query: Column, agents: list[str]
     crate = (F.size(parts) == 4) & (parts[0] == "crates") & F.coalesce((F.try_element_at(parts, F.lit(3)) == "src") & F.try_element_at(parts, F.lit(4)).isin("lib.rs", "main.rs"), F.lit(False))
     crate &= F.coalesce(related(asked, signal_tokens(F.try_element_at(parts, F.lit(2)))) >= 1, F.lit(False))
     index = (F.size(parts) >= 2) & F.startswith(F.element_at(parts, -1), F.lit("index.")) & F.coalesce(stem_matches(asked, F.try_element_at(parts, F.lit(-2))), F.lit(False))
+    # When each factor applies.
     rules = [
         (starts("doc/") & ~wants(DOCUMENTATION_INTENT, EXAMPLE_INTENT), 0.80),
         (starts("docs/tutorial/") & ~wants(DOCUMENTATION_INTENT, EXAMPLE_INTENT), 0.80),
