@@ -16,7 +16,9 @@ from sparkquarry.llm import textkit
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one in fewer parts than there are cores (a small file of one row group) is dealt over all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df if name != "documents" or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:
