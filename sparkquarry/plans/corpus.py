@@ -147,7 +147,7 @@ def path_suffixes(spark, sf_dir):
 
 @query()
 def chunk_documents(spark, sf_dir):
-    return chunking.chunk_documents(load(spark, sf_dir, "documents"))
+    return chunking.chunk_documents(relation.dealt(load(spark, sf_dir, "documents")))
 
 
 @query("SELECT doc_id FROM documents WHERE false")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkquarry.functions import text, vectors
 from sparkquarry.operators import evaluation, index, prototypes, retrieval, routing
+from sparkquarry.sources import relation
 from sparkquarry.streaming import traces
 
 QUERIES: dict = {}
@@ -33,12 +34,12 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _body_hits(spark: SparkSession, sf_dir: str, top: int = 20) -> DataFrame:
-    return retrieval.bm25_top_k(load(spark, sf_dir, "documents"), _questions(spark, sf_dir), top)
+    return retrieval.bm25_top_k(relation.dealt(load(spark, sf_dir, "documents")), _questions(spark, sf_dir), top)
 
 
 def _title_hits(spark: SparkSession, sf_dir: str, top: int = 20) -> DataFrame:
     """The first line of a document stands for its title."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"))
+    docs = relation.dealt(load(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("title")))
     return retrieval.bm25_top_k(docs, _questions(spark, sf_dir), top, fields={"title": 1.0})
 
 
@@ -92,6 +93,7 @@ SELECT query_id, doc_id, coalesce(l, 0) AS vector_rank, coalesce(r, 0) AS bm25_r
 def hybrid_search(spark, sf_dir):
     """The flagship: nearest vectors and field-weighted BM25 fused; the vector of an item's id stands for its question's, that of a document's id for the document's."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"), F.col("source").alias("section_path"), F.col("text").alias("content"))
+    docs = relation.dealt(docs)
     rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")).join(rows, "doc_id").select(F.col("doc_id").alias("query_id"), "embedding")
     fused = retrieval.hybrid_top_k(docs, rows, _questions(spark, sf_dir), asked, 10)

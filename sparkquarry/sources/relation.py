@@ -49,6 +49,12 @@ def duplicate_ids(df: DataFrame, id_column: str) -> DataFrame:
     return df.groupBy(resolve(df, id_column).cast("string").alias("document_id")).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df, over as many parts as there are cores where it comes in fewer (a small file of one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     """(path, relative_path, raw) of every *.md below root."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
