@@ -33,6 +33,7 @@ from sparkquarry.llm import blocks, textkit
 from sparkquarry.llm.tables import crc_fold, cut, load
 
 PRIORS, ORDER, LANE = (256.0, 16.0), 3, 64  # pseudo-words of orders 2 and 3
+BLOCK = 500_000  # larger than elsewhere: the n-grams that a block's texts share are asked for once
 END, START = np.uint64(0), np.uint64(0x5851F42D4C957F2D)
 
 
@@ -163,7 +164,7 @@ def score(docs: DataFrame, learns: Column | None = None, priors: tuple[float, fl
     doc_id, n_tokens, n_known, train_tokens, base_score, score.
     """
     marked = docs.select(F.col("doc_id").alias("id"), (F.lit(True) if learns is None else F.coalesce(learns, F.lit(False))).alias("mark"), "text")
-    made = cut(blocks.text_blocks(marked))
+    made = cut(blocks.text_blocks(marked, BLOCK))
     tokens = made.agg(F.coalesce(F.sum(F.size("sizes") + F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0))).first()[0]
     counts = cut(blocks.global_counts(made, lambda batch, row: _grams(batch, row).asked(), tokens))
     learned, distinct = counts.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()

@@ -138,8 +138,7 @@ def test_near_duplicates_edges(spark, odd, empty):
 @pytest.mark.parametrize("size", [2000, 1_000_000])
 def test_lm_scores_equal_a_dictionary_model(spark, monkeypatch, size):
     """Whole texts of the whole table: counts, base score and backoff score against plain dictionaries."""
-    monkeypatch.setattr(blocks, "BLOCK", size)
-    monkeypatch.setattr(blocks.text_blocks, "__defaults__", (size,))
+    monkeypatch.setattr(lm_scoring, "BLOCK", size)
     monkeypatch.setattr(blocks, "BUCKET", 30_000)
     rows = registry.queries()["op2_lm_scoring"](spark, SF).collect()
     texts = {r.doc_id: brute.words(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
