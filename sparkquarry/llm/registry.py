@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sparkquarry.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, minhash_dedup, source_mix, substring_dedup, tables, toxicity
+from sparkquarry.llm import chat_format, decontaminate, exact_dedup, filter_audit, language_id, line_dedup, lm_scoring, minhash_dedup, source_mix, substring_dedup, tables, toxicity
 
 MODULES = {
     "op1_minhash_dedup": minhash_dedup,
@@ -20,6 +20,7 @@ MODULES = {
     "op8_exact_dedup": exact_dedup,
     "op9_substring_dedup": substring_dedup,
     "op10_source_mix": source_mix,
+    "op11_filter_audit": filter_audit,
 }
 
 
