@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -47,6 +47,17 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gather(spark: SparkSession, frames: Iterable[DataFrame], schema: str) -> DataFrame:
+    """One table of all frames, each written as it comes; it lasts as long as one of ``cut``."""
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    if getattr(_runs, "open", None):
+        _runs.open[-1].append(path)
+    spark.createDataFrame([], schema).write.parquet(path)
+    for df in frames:
+        df.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables cut inside the block are deleted after it; write what should last with ``cut(df, keep=True)``."""

@@ -7,7 +7,7 @@ from itertools import permutations
 from pyspark.sql import functions as F
 
 from sparkquarry.llm import filter_audit
-from tests.llm.test_operators import LONG, ODD, SCHEMA, empty, odd, table  # noqa: F401  (fixtures)
+from tests.llm.test_operators import LONG, SCHEMA, empty, odd, table  # noqa: F401  (fixtures)
 
 LABELS = "doc_id long, quality int, toxic int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
