@@ -58,10 +58,10 @@ def lattice(filters: int) -> tuple[dict[int, int], dict[int, int]]:
 def repeats(rows: DataFrame) -> DataFrame:
     """rows(doc_id, digest, ...) with ``repeated``: a smaller id has the same digest.
 
-    The smallest id comes from min(), combined before the shuffle; the table of digests that stand more than once has a row each,
-    so a digest of a third of all rows is a skewed left side that AQE splits.
+    The smallest id comes from min(), combined before the shuffle; the digests that stand more than once are written, a row each,
+    so that the join has exchanges of its own and a digest of a third of all rows is a skewed side that AQE splits.
     """
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_rows")).where("_rows > 1").select(F.col("digest").alias("_digest"), "_first")
+    first = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_rows")).where("_rows > 1").select(F.col("digest").alias("_digest"), "_first"))
     both = rows.join(first, F.col("digest") == F.col("_digest"), "left")
     return both.withColumn("repeated", F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False))).drop("_digest", "_first")
 
