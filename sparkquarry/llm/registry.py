@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sparkquarry.llm import chat_format, decontaminate, exact_dedup, filter_audit, hard_negatives, language_id, line_dedup, lm_scoring, minhash_dedup, source_mix, substring_dedup, tables, toxicity
+from sparkquarry.llm import chat_format, decontaminate, exact_dedup, filter_audit, hard_negatives, jaccard_join, language_id, line_dedup, lm_scoring, minhash_dedup, source_mix, substring_dedup, tables, toxicity
 
 MODULES = {
     "op1_minhash_dedup": minhash_dedup,
@@ -21,6 +21,7 @@ MODULES = {
     "op9_substring_dedup": substring_dedup,
     "op10_source_mix": source_mix,
     "op11_filter_audit": filter_audit,
+    "op12_jaccard_join": jaccard_join,
     "op13_hard_negatives": hard_negatives,
 }
 
