@@ -304,27 +304,6 @@ def test_versions_and_upserts(spark, tmp_path):
     assert values == {"title": title, "url": "u"} and body.strip() == "text" and page.file.startswith("document-")
 
 
-def test_plans_are_applied_once_and_in_order(spark, tmp_path):
-    from sparkquarry.operators import apply
-
-    schema = "row_id string, canonical_url string, page_hash string, embedding_text_hash string"
-    index, ledger = str(tmp_path / "index"), str(tmp_path / "ledger")
-
-    def plan(*pairs):
-        wanted = spark.createDataFrame([(i, "u", "a" * 64, h * 64) for i, h in pairs], schema)
-        return wanted, wanted.select(F.col("row_id").alias("id"), F.col("embedding_text_hash").alias("content"))
-
-    first = apply.apply_plan(spark, *plan(("a", "1"), ("b", "1")), index, ledger, "p1").first()
-    assert first["rows_to_upsert"] == 2 and first["stale_rows"] == 0
-    again = apply.apply_plan(spark, *plan(("a", "1"), ("b", "2"), ("c", "1")), index, ledger, "p2").first()
-    assert (again["chunks_unchanged"], again["rows_to_upsert"]) == (1, 2)
-    apply.apply_plan(spark, *plan(("b", "2")), index, ledger, "p3", delete_stale=True)
-    from sparkquarry.sources import sinks
-
-    assert {(r.id, r.content[0]) for r in sinks.read_current(spark, index).collect()} == {("b", "2")}
-    assert {(r.row_id, r.status) for r in sinks.read_current(spark, ledger).collect()} == {("b", "active")} and sinks.current_version(spark, ledger) == 3
-
-
 def test_strict_artifacts(spark, tmp_path):
     from sparkquarry.sources import artifacts
 
