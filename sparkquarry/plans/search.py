@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text, vectors
-from sparkquarry.operators import evaluation, index, prototypes, retrieval, routing
+from sparkquarry.operators import calibration, evaluation, index, prototypes, retrieval, routing
 from sparkquarry.sources import relation
 from sparkquarry.streaming import traces
 
@@ -231,6 +231,19 @@ def routing_threshold_grid(spark, sf_dir):
     return evaluation.threshold_grid(cases, floors(0.2, 0.4, 0.6, 0.65, 0.8), floors(0, 0.05, 0.1, 0.2))
 
 
+@query(_CARDS + """, heads AS (SELECT round(score, 2) AS score, round(margin, 2) AS margin, namespace = 'label-' || label AS correct FROM routes WHERE rank = 1),
+s AS (SELECT DISTINCT unnest([score, nextafter(score, 'inf'::DOUBLE)]) AS score_floor FROM heads), g AS (SELECT DISTINCT unnest([margin, nextafter(margin, 'inf'::DOUBLE)]) AS margin_floor FROM heads WHERE margin IS NOT NULL),
+f AS (SELECT score_floor, margin_floor, count(*) AS cases, count(*) FILTER (score >= score_floor AND margin >= margin_floor AND correct) AS correct, count(*) FILTER (score >= score_floor AND margin >= margin_floor AND NOT correct) AS wrong,
+  sum(CASE WHEN score >= score_floor AND margin >= margin_floor THEN 1 ELSE 3 END) / count(*) AS average_fanout FROM heads CROSS JOIN s CROSS JOIN g GROUP BY score_floor, margin_floor)
+SELECT score_floor, margin_floor, cases, correct, wrong, round(average_fanout, 9) AS average_fanout FROM f WHERE wrong = 0 ORDER BY correct DESC, average_fanout, score_floor DESC, margin_floor DESC LIMIT 1""")
+def routing_floors(spark, sf_dir):
+    """The floors of confident routing over every breakpoint of the vectors' routes; scores are rounded, which makes ties."""
+    labels = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("label-"), F.col("label").cast("string")).alias("own"))
+    heads = _routes(spark, sf_dir).where("rank = 1").join(labels, "query_id")
+    cases = heads.select(F.round("score", 2).alias("score"), F.round("margin", 2).alias("margin"), (F.col("namespace") == F.col("own")).alias("correct"), F.lit(calibration.MAX_FANOUT).alias("ranked"))
+    return calibration.choose_floors(cases).withColumn("average_fanout", F.round("average_fanout", 9))
+
+
 @query("""
 WITH d AS (SELECT DISTINCT source AS namespace, trim(regexp_replace(lower(regexp_extract(text, '^(\\S+\\s+\\S+)', 1)), '[^a-z0-9]+', ' ', 'g')) AS phrase FROM documents),
 p AS (SELECT DISTINCT namespace, phrase, len(string_split(phrase, ' ')) AS n FROM d WHERE phrase <> ''),
