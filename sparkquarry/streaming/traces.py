@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.streaming.query import StreamingQuery
 
 from sparkquarry.functions.text import sha256
 
 ENVELOPE = T.StructType([T.StructField("trace_id", T.StringType()), T.StructField("payload", T.StringType())])
 STATUS = ("ok", "error")
-PAYLOAD_BYTES, BUCKETS = 65_536, 64
+PAYLOAD_BYTES = 65_536
+STATE_STORE, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def spans(events: DataFrame) -> DataFrame:
@@ -96,31 +102,64 @@ def classify(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return both.select("trace_id", "payload", "content_hash", outcome.alias("outcome"))
 
 
+def envelope_key() -> Column:
+    """What an envelope's state is kept by: its trace id; an envelope that isn't stored has no state and is dealt out by its content."""
+    return F.when(F.col("_ok"), F.concat(F.lit("trace:"), "trace_id")).otherwise(F.concat(F.lit("rejected:"), F.coalesce("content_hash", F.lit(""))))
+
+
+def settle(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Outcomes of one key's envelopes in a batch; the state is the content hash that its trace was stored with.
+
+    Copies are held by hash, the payload of the smallest hash alone.
+    """
+    if not key[0].startswith("trace:"):
+        for part in parts:
+            yield part[["trace_id", "content_hash"]].assign(outcome="rejected", payload=None)
+        return
+    known = state.get[0] if state.exists else None
+    ids, least, payload = [], None, None
+    for part in parts:
+        ids.append(part[["trace_id", "content_hash"]])
+        at = part["content_hash"].idxmin()
+        if least is None or part.at[at, "content_hash"] < least:
+            least, payload = part.at[at, "content_hash"], part.at[at, "payload"]
+    reference = known or least
+    if known is None:
+        state.update((least,))
+    new = known is None
+    for part in ids:
+        same = part["content_hash"] == reference
+        out = part.assign(outcome=np.where(~same, "conflict", "committed" if new else "replayed"), payload=None)
+        if payload is not None and same.any() and new:
+            out.loc[same.idxmax(), "payload"] = payload  # the trace is stored once, with the first of its equal copies
+            payload = None
+        yield out
+
+
 def ingest(spark: SparkSession, inbox: str, store: str, receipts: str, checkpoint: str, files_per_batch: int = 128) -> StreamingQuery:
     """Drain a folder of JSON envelopes into a store, once each; every envelope leaves a receipt.
 
-    The store is dealt into BUCKETS folders by a hash of the trace id, and a batch reads only the ids and
-    hashes of the buckets that it has envelopes for.  It writes its traces and receipts under its own batch
-    folder and overwrites them when it is replayed after a crash, so either is there once however often a
-    batch runs.
+    What a trace was stored with is keyed state (RocksDB in the checkpoint), so a batch looks up the ids that it has and
+    never reads the store: its cost follows the batch.  It writes its traces and receipts under its own batch folder and overwrites them when it is replayed after a
+    crash, with the state as it was before it, so either is there once however often a batch runs.  Outcomes are those of ``classify``.
     """
-    schema = T.StructType([*ENVELOPE.fields, T.StructField("content_hash", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
+    ok = F.col("trace_id").isNotNull() & F.coalesce(F.startswith(F.trim("payload"), F.lit("{")) & F.try_parse_json("payload").isNotNull(), F.lit(False))
+    stream = spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_batch).json(inbox)
+    keyed = stream.withColumn("content_hash", sha256(F.col("payload"))).withColumn("_ok", ok).withColumn("key", envelope_key())
+    settled = keyed.select("key", "trace_id", "payload", "content_hash").groupBy("key").applyInPandasWithState(settle, "trace_id string, content_hash string, outcome string, payload string", "content_hash string", "update", "NoTimeout")
 
     def write(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        batch = batch.withColumn("bucket", F.pmod(F.xxhash64("trace_id"), F.lit(BUCKETS)).cast("int"))
-        wanted = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-        path = session._jvm.org.apache.hadoop.fs.Path(store)
-        known = path.getFileSystem(session._jsc.hadoopConfiguration()).exists(path)
-        stored = session.read.schema(schema).parquet(store).where(F.col("bucket").isin(wanted) & (F.col("batch") < number)) if known else session.createDataFrame([], schema)
-        made = classify(batch, stored).withColumn("bucket", F.pmod(F.xxhash64("trace_id"), F.lit(BUCKETS)).cast("int")).persist()
-        new = made.where("outcome = 'committed'").select("trace_id", "payload", "content_hash", "bucket").dropDuplicates(["trace_id"]).withColumn("batch", F.lit(number).cast("long"))
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(store)
+        made = batch.persist()
+        made.where("payload IS NOT NULL").select("trace_id", "payload", "content_hash").write.mode("overwrite").parquet(f"{store}/batch={number}")
         made.select("trace_id", "content_hash", "outcome").write.mode("overwrite").parquet(f"{receipts}/batch={number}")
         made.unpersist()
 
-    stream = spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_batch).json(inbox)
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return settled.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
 
 
 def windowed_counts(stream: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
