@@ -86,14 +86,14 @@ def delta_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(corpus._SIDES + """, u AS (SELECT m.row_id, m.embedding_text_hash AS h FROM m JOIN x USING (row_id) WHERE action IN ('new', 'changed', 'reactivate_retained_stale')), o AS (SELECT row_id, embedding_text_hash AS h FROM l WHERE status = 'active'),
-p AS (SELECT 'doc-' || doc_id AS row_id, sha256(text) AS h FROM d WHERE doc_id % 4 = 0)
+p AS (SELECT 'doc-' || doc_id AS row_id, sha256(text) AS h FROM d)
 SELECT p.row_id, CASE WHEN coalesce(u.h, o.h) IS NULL THEN 'no such row' ELSE 'another content' END AS reason FROM p LEFT JOIN u ON u.row_id = p.row_id LEFT JOIN o ON o.row_id = p.row_id WHERE coalesce(u.h, o.h) IS NULL OR coalesce(u.h, o.h) <> p.h""")
 def prototype_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth document as a prototype, against the rows put in and those that are active."""
+    """Every document as a prototype, against the rows put in and those that are active."""
     wanted, ledger = corpus._sides(spark, sf_dir)
     changed = rows.delta_rows(manifest.diff(wanted, ledger)).where("kind = 'upsert'").select("row_id")
     own = lambda df, *more: df.select("row_id", F.col("embedding_text_hash").alias("content_hash"), *more)
-    docs = load(spark, sf_dir, "documents").where("doc_id % 4 = 0").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("row_id"), tx.sha256(tx.text_or_empty(F.col("text"))).alias("content_hash"))
+    docs = load(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("row_id"), tx.sha256(tx.text_or_empty(F.col("text"))).alias("content_hash"))
     return rows.prototype_violations(docs, own(wanted).join(changed, "row_id", "left_semi"), own(ledger, "status"))
 
 
@@ -127,23 +127,24 @@ def hit_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS nth, embedding FROM embeddings WHERE vec_id % 50 < 20)
-SELECT label, CAST(nth AS INTEGER) AS nth, round(list_sum(CAST(embedding AS DOUBLE[])), 5) AS total, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM b""")
+WITH b AS (SELECT label || '-' || vec_id // 500 AS name, row_number() OVER (PARTITION BY label, vec_id // 500 ORDER BY vec_id) - 1 AS nth, embedding FROM embeddings)
+SELECT name, CAST(nth AS INTEGER) AS nth, round(list_sum(CAST(embedding AS DOUBLE[])), 5) AS total, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM b""")
 def vector_banks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some vectors of each label flattened into its bank and taken apart again."""
-    some = load(spark, sf_dir, "embeddings").where("vec_id % 50 < 20").select("label", "vec_id", rows.as_float32(F.col("embedding")).alias("embedding"))
-    made = rows.bank_vectors(rows.flat_bank(some, "label", "vec_id", "embedding"), "label", 64)
-    return made.select("label", "nth", F.round(F.aggregate("vector", F.lit(0.0), lambda a, b: a + b), 5).alias("total"), F.round(F.col("vector")[0], 6).alias("first"))
+    """The vectors of each label and run of 500 ids flattened into a bank and taken apart again."""
+    name = F.concat_ws("-", F.col("label").cast("string"), F.floor(F.col("vec_id") / 500).cast("string")).alias("name")
+    some = load(spark, sf_dir, "embeddings").select(name, "vec_id", rows.as_float32(F.col("embedding")).alias("embedding"))
+    made = rows.bank_vectors(rows.flat_bank(some, "name", "vec_id", "embedding"), "name", 64)
+    return made.select("name", "nth", F.round(F.aggregate("vector", F.lit(0.0), lambda a, b: a + b), 5).alias("total"), F.round(F.col("vector")[0], 6).alias("first"))
 
 
-@query(search._BODY + """, g AS (SELECT doc_id, 'n' || doc_id % 3 AS namespace, source AS url, 'g' || doc_id % 5 AS "group" FROM documents), h AS (SELECT query_id, rank, namespace, url FROM body JOIN g USING (doc_id)), k AS (SELECT DISTINCT namespace, url, "group" FROM g WHERE doc_id % 2 = 0)
+@query(search._BODY + """, g AS (SELECT doc_id, 'n' || doc_id % 3 AS namespace, source AS url, 'g' || doc_id % 5 AS "group" FROM documents), h AS (SELECT query_id, rank, namespace, url FROM body JOIN g USING (doc_id)), k AS (SELECT DISTINCT namespace, url, "group" FROM g)
 SELECT query_id, "group", min(rank) AS rank FROM h JOIN k USING (namespace, url) GROUP BY ALL""")
 def judged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
     part = lambda p, n: F.concat(F.lit(p), (key % n).cast("string"))
     known = load(spark, sf_dir, "documents").select("doc_id", part("n", 3).alias("namespace"), F.col("source").alias("url"), part("g", 5).alias("group"))
     hits = search._body_hits(spark, sf_dir).join(known, "doc_id").select("query_id", "rank", "namespace", "url")
-    return rows.judged_groups(hits, known.where("doc_id % 2 = 0"))
+    return rows.judged_groups(hits, known)
 
 
 @query("SELECT * FROM (" + search.ORACLE["hybrid_routes"].replace("SELECT query_id, CASE WHEN named <= 3 THEN namespace END AS namespace", "SELECT query_id, CASE WHEN named <= 3 THEN namespace END AS namespace", 1).join(["WITH routes AS (", "), "]) + search._BODY.replace("WITH ", "", 1) + """,

@@ -309,19 +309,19 @@ def hybrid_routes(spark, sf_dir):
     return routing.hybrid_route(_asked(spark, sf_dir), _cards(spark, sf_dir))
 
 
-@query(_BANK + """, bank AS (SELECT * FROM base UNION ALL SELECT 'label-' || label, v FROM u WHERE vec_id % 50 < 20),
+@query(_BANK + """, bank AS (SELECT * FROM base UNION ALL SELECT 'label-' || label, v FROM u),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, namespace) AS rank FROM (SELECT query_id, namespace, round(max(list_dot_product(a.v, b.v)), 6) AS score FROM asked a CROSS JOIN bank b GROUP BY ALL) QUALIFY rank <= 12),
 w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS words FROM benchmark),
-p AS (SELECT 'label-' || item_id % 10 AS namespace, item_id // 10 AS ordinal, words FROM w WHERE item_id % 3 <> 1),
+p AS (SELECT 'label-' || item_id % 10 AS namespace, item_id // 10 AS ordinal, words FROM w),
 met AS (SELECT query_id, n.namespace, rank AS shortlist_rank, ordinal, round(len(list_intersect(w.words, p.words)) / len(list_distinct(list_concat(w.words, p.words))), 6) AS s FROM near n JOIN p USING (namespace) JOIN w ON w.item_id = query_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, shortlist_rank, namespace) AS rank FROM (SELECT query_id, namespace, shortlist_rank, max(s) AS score FROM met GROUP BY ALL))"""
        + _SELECT.format(sure="coalesce(top >= 0.3::DOUBLE AND margin >= 0.1::DOUBLE, false)"))
 def prototype_routes(spark, sf_dir):
-    """Every label has its centroid and some vectors in the bank, and some benchmark items as passages; scores are shares of common words."""
+    """Every label has its centroid and its vectors in the bank, and the benchmark items as passages; scores are shares of common words."""
     rows = load(spark, sf_dir, "embeddings").select(F.concat(F.lit("label-"), F.col("label").cast("string")).alias("namespace"), "vec_id", vectors.unit(F.col("embedding")).alias("vector"))
     cards = _cards(spark, sf_dir)
-    bank = cards.select("namespace", "vector").unionByName(rows.where("vec_id % 50 < 20").select("namespace", "vector"))
-    items = load(spark, sf_dir, "benchmark").where("item_id % 3 <> 1")
+    bank = cards.select("namespace", "vector").unionByName(rows.select("namespace", "vector"))
+    items = load(spark, sf_dir, "benchmark")
     passages = items.select(F.concat(F.lit("label-"), (F.col("item_id") % 10).cast("string")).alias("namespace"), F.floor(F.col("item_id") / 10).alias("ordinal"), F.col("text").alias("passage"))
     common = lambda q, p: prototypes.overlap(text.lexical_tokens(q), text.lexical_tokens(p))
     return routing.prototype_route(_asked(spark, sf_dir), cards, bank, passages, common, 0.3, 0.1)

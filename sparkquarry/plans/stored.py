@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkquarry.functions import markdown
 from sparkquarry.operators import apply, judged, text_index
 from sparkquarry.plans import search
 from sparkquarry.sources import relation, scratch
@@ -72,6 +73,13 @@ def applied_index(spark, sf_dir):
         return scratch.written(both.crossJoin(cards).select("row_id", "content_hash", "status", "plan_id", "card"))
 
 
+@query()
+def page_markdown(spark, sf_dir):
+    """Title, main content as Markdown and its hash of every page."""
+    made = relation.dealt(search.load(spark, sf_dir, "pages")).select("page_id", "url", markdown.page_content(F.col("html")).alias("page"))
+    return made.select("page_id", F.coalesce(F.nullif("page.title", F.lit("")), "url").alias("title"), "page.markdown", F.sha2("page.markdown", 256).alias("source_hash"))
+
+
 _JUDGED = """
 WITH RECURSIVE h AS (SELECT user_id AS query_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS rank, 'src/' || event_type || '/' || event_id % 4 || '.py' AS file, event_type AS section FROM events WHERE value > 60 QUALIFY rank <= 10),
 r AS (SELECT user_id AS query_id, event_id % 4 AS grade, CASE WHEN event_id % 3 = 0 THEN 'src/' || event_type || '/' || event_id % 5 || '.py' ELSE '' END AS file, CASE WHEN event_id % 3 > 0 THEN 'host.example/o/r/blob/main/src/' || event_type ELSE '' END AS url,
