@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import markdown
-from sparkquarry.operators import apply, judged, text_index
+from sparkquarry.operators import apply, judged, text_index, vector_index
 from sparkquarry.plans import search
 from sparkquarry.sources import relation, scratch
 
@@ -46,6 +46,16 @@ def indexed_field_search(spark, sf_dir):
     return _indexed(spark, sf_dir, docs, ["title", "section_path", "content"], 20)
 
 
+@query(search._KNN + " SELECT query_id, vec_id, score, rank FROM knn")
+def indexed_vector_search(spark, sf_dir):
+    """The rows of vector_search from a stored index of cells."""
+    rows = search.load(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    with scratch.folder(spark) as root:
+        vector_index.build(spark, root, rows, cells=32)
+        return scratch.written(vector_index.search(vector_index.Reader(spark, root), asked, 10))
+
+
 @query("""
 WITH d AS (SELECT doc_id, 'doc-' || doc_id AS row_id, sha256(text) AS old_hash, CASE WHEN doc_id % 3 = 0 THEN sha256(text || ' v2') ELSE sha256(text) END AS new_hash, doc_id % 5 <> 0 AS first, doc_id % 7 <> 0 AS second FROM documents)
 SELECT row_id, CASE WHEN second THEN new_hash ELSE old_hash END AS content_hash, CASE WHEN second THEN 'active' ELSE 'retained_stale' END AS status,
