@@ -18,7 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquarry.llm.tables import by_slice, cut, load
@@ -27,6 +27,7 @@ SLOTS = 4
 MAX_KICKS = 200
 KEYS_PER_SHARD = 400_000
 COMBINE_ROWS = 100_000
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 class CuckooIndex:
@@ -200,15 +201,22 @@ def exact_dedup(docs: DataFrame, withdrawn: DataFrame | None = None) -> DataFram
     )
 
 
+def digest_of(text: str) -> Column:
+    """The digest of ``digests`` as an expression, in hex."""
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()).cast("binary"), 256)
+
+
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text a row with a larger id repeats; all columns as they were.
 
-    Rows that repeat both id and text are one document: one of them stays.
+    Rows that repeat both id and text (alike after lower-casing A-Z) are one document: one of them stays.  An id that stands for several texts
+    keeps those of its rows that no larger id repeats.
     """
-    kept = cut(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id")))
+    kept = cut(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")))
     once = kept.distinct()
-    out = docs.join(once, docs["doc_id"].eqNullSafe(once["_kept_id"]), "left_semi")
-    return out if kept.count() == once.count() else out.dropDuplicates(["doc_id", "text"])
+    named = docs.withColumn("_sha", digest_of("text"))
+    out = named.join(once, named["doc_id"].eqNullSafe(once["_kept_id"]) & (named["_sha"] == once["_kept_sha"]), "left_semi")
+    return (out if kept.count() == once.count() else out.dropDuplicates(["doc_id", "_sha"])).drop("_sha")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
