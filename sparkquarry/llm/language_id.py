@@ -88,7 +88,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _sampled(docs: DataFrame, counts: dict[str, int], rows: int) -> Column:
-    """About ``rows`` rows a language, by a hash of id and text that knows nothing of the language."""
+    """About ``rows`` rows a language, by a hash of the id that knows nothing of the language; rows of one id are drawn together."""
     draw = (F.pmod(F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit("draw")), F.lit(1 << 30)) / (1 << 30)).alias("draw")
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows / n))])
     return draw < F.element_at(share, docs["lang"])
