@@ -125,6 +125,44 @@ def test_blocks_under_the_bound_are_not_scored(spark, tmp_path):
     assert all(r.score <= bounds[blocks[r["key"]]] + 1e-12 for r in exact.collect())
 
 
+def test_posting_rows_are_made_where_documents_are_read(spark, documents):
+    """A row for each term of a block, whole, without a shuffle of texts or of single postings."""
+    docs, fields = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), "title", "content"), ["title", "content"]
+    made = text_index.postings(docs, fields, 3, block_docs=16)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    rows, want, got, held = made.collect(), {}, {}, {}
+    for d in docs.collect():
+        for field, text in enumerate((d.title, d.content)):
+            terms = re.findall("[a-z0-9]+", (text or "").lower())
+            want |= {(field, t, d["key"]): (terms.count(t), len(terms)) for t in terms}
+    for r in rows:
+        keys = [p["key"] for p in r.postings]
+        assert keys == sorted(set(keys)) and r.n == len(keys) and r.max_tf == max(p.tf for p in r.postings) and r.min_length == min(p.length for p in r.postings)
+        got |= {(r.field, r.term, p["key"]): (p.tf, p.length) for p in r.postings}
+        held.setdefault(r.block, set()).update(keys)
+    assert got == want and sum(r.n for r in rows) == len(want) and len({(r.field, r.term, r.block) for r in rows}) == len(rows)
+    assert max(map(len, held.values())) <= 16 and {b >> 40 for b in held} == {3} and sum(map(len, held.values())) == len(set().union(*held.values()))
+
+
+def test_blocks_are_bounded_by_words(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(text_index, "WORDS", 100)
+    words = np.array([5, 60, 0, 30, 500, 7, 101, 99, 1])
+    block = text_index._blocks(words, 4)
+    for b in range(block.max() + 1):
+        own = words[block == b]
+        assert 1 <= len(own) <= 4 and (own.sum() <= 100 or len(own) == 1)
+    assert all(words[block == b].max() <= words[block == b + 1].min() for b in range(block.max()))
+
+
+def test_scores_that_round_to_one_value_tie_by_key(spark):
+    bound = spark.createDataFrame([(1, 0, 2.0)], "query_id long, block long, bound double")
+    score = lambda _: spark.createDataFrame([(1, 9, 1.0000004), (1, 2, 1.0000003), (1, 5, 0.5)], "query_id long, key long, score double")
+    found, _ = text_index.first_and_others(bound, score, 1, 6, 4)
+    assert [r["key"] for r in found.collect()] == [2]
+
+
 def test_keys_that_repeat_change_nothing(spark, tmp_path, documents, questions):
     root = str(tmp_path / "index")
     text_index.add_documents(spark, root, documents.limit(50), ["content"], buckets=4)
