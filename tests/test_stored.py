@@ -163,6 +163,23 @@ def test_scores_that_round_to_one_value_tie_by_key(spark):
     assert [r["key"] for r in found.collect()] == [2]
 
 
+def test_a_block_hands_on_its_best(spark, tmp_path, documents):
+    """Of each query k documents a block at most, all of those that are among its k best."""
+    root = str(tmp_path / "index")
+    text_index.add_documents(spark, root, documents, ["content"], buckets=8, block_docs=60)
+    asked = spark.createDataFrame([(1, "w1"), (1, "w2"), (2, "w5"), (2, "w1"), (2, "w1"), (3, "nothing")], "query_id long, term string")
+    reader = text_index.Reader(spark, root)
+    stored = reader.of(asked.select("term"))
+    known = text_index.term_weights(stored, reader.notes, [1.0])
+    chosen = text_index.bounds(stored, asked, known).select("query_id", "block")
+    every, best = (text_index.scored(stored, asked, known, chosen, **limit).collect() for limit in ({}, {"k": 3}))
+    place = lambda r: (-round(r.score, 6), r["key"])
+    for q in (1, 2):
+        want = sorted((r for r in every if r.query_id == q), key=place)[:3]
+        assert [r["key"] for r in sorted((r for r in best if r.query_id == q), key=place)[:3]] == [r["key"] for r in want]
+    assert len(best) <= 3 * chosen.count() < len(every) and {r.query_id for r in every} == {1, 2}
+
+
 def test_keys_that_repeat_change_nothing(spark, tmp_path, documents, questions):
     root = str(tmp_path / "index")
     text_index.add_documents(spark, root, documents.limit(50), ["content"], buckets=4)
