@@ -15,8 +15,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    """a over its norm, null for none; the norm is an element of its own, since a lambda computes all it names for every element."""
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))), 0)
 
 
 def is_unit(a: Column, size: int, tolerance: float = 1e-4) -> Column:

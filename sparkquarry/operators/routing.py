@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquarry.functions.text import comparable, sha256
+from sparkquarry.sources import scratch
 
 # What a confident semantic route needs, and its fan-outs.
 SCORE_FLOOR, MARGIN_FLOOR, SURE_FANOUT, WIDE_FANOUT = 0.65, 0.05, 1, 3
 SHORTLIST, MOST_NAMED = 12, 3
-BANK_BLOCK = 8192
+BANK_BLOCK, QUERY_BLOCK, SCORED = 8192, 1024, 4096
 
 
 def lexical_route(queries: DataFrame, descriptors: DataFrame) -> DataFrame:
@@ -51,41 +52,80 @@ def named_route(queries: DataFrame, cards: DataFrame) -> DataFrame:
 def nearest_namespaces(queries: DataFrame, bank: DataFrame, keep: int, digits: int = 6) -> DataFrame:
     """(query_id, namespace, score, rank): the ``keep`` namespaces whose best vector in bank(namespace, vector) has the largest dot product with queries(query_id, vector).
 
-    The bank goes out in blocks of about BANK_BLOCK vectors, a namespace in one block; a task multiplies its
-    queries with the block and hands on the best of each, so queries are never joined with the catalog.
-    Vectors of another length than the query's don't count; ties go to the smaller namespace.
+    Of the two sides the one of fewer blocks goes out, block by block (BANK_BLOCK vectors or QUERY_BLOCK queries), to where
+    the other is read, so queries are never joined with the catalog.  A task hands on, for each query, the best ``keep`` of
+    what it multiplies at once: a namespace among the best of all is among them wherever its best vector lies, so its vectors
+    needn't lie together.  Vectors of another length than the query's don't count; ties go to the smaller namespace.
     """
-    spark, out = queries.sparkSession, None
-    bank = bank.where(F.size("vector") > 0)
-    blocks = max(1, -(-bank.count() // BANK_BLOCK))
-    for block in range(blocks):
-        own = bank.where(F.pmod(F.xxhash64("namespace"), F.lit(blocks)) == block).select("namespace", "vector").toPandas()  # one block
-        banks = []
-        for size, part in own.groupby(own["vector"].map(len)):
-            part = part.sort_values("namespace", kind="stable")
-            names, first = np.unique(part["namespace"].to_numpy(dtype=str), return_index=True)
-            banks.append((int(size), names, first, np.stack(part["vector"].to_numpy()).astype(np.float64)))
-        shared = spark.sparkContext.broadcast(banks)
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lengths = pc.list_value_length(batch.column("vector"))
-                for size, names, first, matrix in shared.value:
-                    some = batch.filter(pc.equal(lengths, size))
-                    if not some.num_rows or not size:
-                        continue
-                    x = some.column("vector").flatten().to_numpy().astype(np.float64).reshape(some.num_rows, size)
-                    scores = np.round(np.maximum.reduceat(x @ matrix.T, first, axis=1), digits)
-                    order = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-                    ids = some.column("query_id").take(pa.array(np.repeat(np.arange(some.num_rows), order.shape[1])))
-                    yield pa.record_batch([ids, pa.array(names[order.ravel()]), pa.array(np.take_along_axis(scores, order, axis=1).ravel())], names=["query_id", "namespace", "score"])
-
-        part = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(best, "query_id long, namespace string, score double")
+    bank = bank.select("namespace", F.col("vector").cast("array<double>").alias("vector"))
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    others = max(1, -(-bank.count() // BANK_BLOCK)) if blocks > 1 else 1
+    schema, out = "query_id long, namespace string, score double", None
+    for block in range(min(blocks, others)):
+        if others < blocks:
+            own = bank.where(F.pmod(F.xxhash64("namespace", "vector"), F.lit(others)) == block)
+            part = queries.mapInArrow(_against_bank(own, keep, digits), schema)
+        else:
+            own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+            part = bank.mapInArrow(_against_queries(own, keep, digits), schema)
         out = part if out is None else out.unionByName(part)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "namespace")))
+    best = out.groupBy("query_id", "namespace").agg(F.max("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "namespace")))
     return ranked.where(F.col("rank") <= keep)
 
 
+def _best(ids: pa.Array, names: np.ndarray, scores: np.ndarray, keep: int) -> pa.RecordBatch:
+    """The ``keep`` largest of each row of scores(ids, names in order)."""
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
+    rows = ids.take(pa.array(np.repeat(np.arange(len(ids)), order.shape[1])))
+    return pa.record_batch([rows, pa.array(names[order.ravel()], pa.string()), pa.array(np.take_along_axis(scores, order, axis=1).ravel())], names=["query_id", "namespace", "score"])
+
+
+def _of_size(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows whose vectors have that size, SCORED at once."""
+    some = batch.filter(pc.equal(pc.list_value_length(batch.column("vector")), size))
+    for first in range(0, some.num_rows, SCORED):
+        part = some.slice(first, SCORED)
+        yield part, part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, size)
+
+
+def _against_bank(bank: DataFrame, keep: int, digits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    own, banks = bank.where(F.size("vector") > 0).distinct().toPandas(), []  # one block
+    for size, part in own.groupby(own["vector"].map(len)):
+        part = part.sort_values("namespace", kind="stable")
+        names, first = np.unique(part["namespace"].to_numpy(dtype=str), return_index=True)
+        banks.append((int(size), names, first, np.stack(part["vector"].to_numpy()).astype(np.float64)))
+    shared = bank.sparkSession.sparkContext.broadcast(banks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, names, first, matrix in shared.value:
+                for some, x in _of_size(batch, size):
+                    scores = np.round(np.maximum.reduceat(x @ matrix.T, first, axis=1), digits)
+                    yield _best(some.column("query_id"), names, scores, keep)
+
+    return run
+
+
+def _against_queries(queries: DataFrame, keep: int, digits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    own = queries.where(F.size("vector") > 0).toPandas()  # one block
+    asked = [(int(size), part["query_id"].to_numpy(), np.stack(part["vector"].to_numpy()).astype(np.float64)) for size, part in own.groupby(own["vector"].map(len))]
+    shared = queries.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, ids, matrix in shared.value:
+                for some, x in _of_size(batch, size):
+                    names, of = np.unique(some.column("namespace").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+                    order = np.argsort(of, kind="stable")
+                    first = np.searchsorted(of[order], np.arange(len(names)))
+                    scores = np.round(np.maximum.reduceat(matrix @ x[order].T, first, axis=1), digits)
+                    yield _best(pa.array(ids, pa.int64()), names, scores, keep)
+
+    return run
+
+
 def _with_margin(ranked: DataFrame, score: str, digits: int = 6) -> DataFrame:
     """ranked with the first rank's lead over the second on every row (null where there is no second)."""
     heads = ranked.where("rank <= 2").groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col(score))).alias("top"), F.max(F.when(F.col("rank") == 2, F.col(score))).alias("second"))
@@ -144,7 +184,7 @@ def select_route(named: DataFrame, semantic: DataFrame, ranked: DataFrame, score
 
 def prototype_route(queries: DataFrame, cards: DataFrame, bank: DataFrame, passages: DataFrame, score: Callable[[Column, Column], Column], score_floor: float, margin_floor: float, certified: bool = True) -> DataFrame:
     """select_route of queries(query_id, query, vector): names, else the best passage of each of the SHORTLIST nearest namespaces."""
-    near = nearest_namespaces(queries, bank, SHORTLIST)
+    near = scratch.written(nearest_namespaces(queries, bank, SHORTLIST))  # three uses read it
     ranked = rerank_shortlist(queries, near, passages, score)
     return select_route(named_route(queries, cards), near, ranked, score_floor, margin_floor, True, certified)
 

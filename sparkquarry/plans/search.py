@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkquarry.functions import text, vectors
 from sparkquarry.operators import calibration, evaluation, index, prototypes, retrieval, routing
-from sparkquarry.sources import relation
+from sparkquarry.sources import relation, scratch
 from sparkquarry.streaming import traces
 
 QUERIES: dict = {}
@@ -277,8 +277,8 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), vectors.unit(F.col("embedding")).alias("vector"))
-    return _questions(spark, sf_dir).join(rows, "query_id")
+    rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _questions(spark, sf_dir).join(rows, "query_id").select("query_id", "query", vectors.unit(F.col("embedding")).alias("vector"))
 
 
 @query(_NAMED + "SELECT query_id, namespace, matches, words, rank FROM named")
@@ -319,7 +319,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 def prototype_routes(spark, sf_dir):
     """Every label has its centroid and its vectors in the bank, and the benchmark items as passages; scores are shares of common words."""
     rows = load(spark, sf_dir, "embeddings").select(F.concat(F.lit("label-"), F.col("label").cast("string")).alias("namespace"), "vec_id", vectors.unit(F.col("embedding")).alias("vector"))
-    cards = _cards(spark, sf_dir)
+    cards = scratch.written(_cards(spark, sf_dir))  # a row a label, for the bank and the names
     bank = cards.select("namespace", "vector").unionByName(rows.select("namespace", "vector"))
     items = load(spark, sf_dir, "benchmark")
     passages = items.select(F.concat(F.lit("label-"), (F.col("item_id") % 10).cast("string")).alias("namespace"), F.floor(F.col("item_id") / 10).alias("ordinal"), F.col("text").alias("passage"))

@@ -403,6 +403,43 @@ def test_routes_by_name_and_by_certified_margin(spark):
         assert [r.namespace for r in rows] == ["b", "c", "a"] and rows[0].confident == sure and rows[0].fanout == (1 if sure else 3)
 
 
+def test_nearest_namespaces_whichever_side_goes_out(spark, monkeypatch):
+    """Namespaces larger than a block of the bank are never collected whole; either side in several blocks gives the rows of all pairs."""
+    import random
+
+    rng = random.Random(4)
+    vector = lambda n: [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(n)]
+    asked = [(q, vector(3)) for q in range(40)] + [(90, None), (91, []), (92, vector(5))]
+    bank = [(f"n{rng.choice('aaaaaabc')}{i % 5}", vector(3)) for i in range(300)] + [("nz", vector(5)), ("nz", None), ("ny", [])]
+    best = {}
+    for q, x in asked:
+        for name, y in bank:
+            if x and y and len(x) == len(y):
+                best[q, name] = max(best.get((q, name), -9.0), sum(a * b for a, b in zip(x, y, strict=True)))
+    want = {}
+    for (q, name), score in sorted(best.items(), key=lambda b: (b[0][0], -b[1], b[0][1])):
+        want.setdefault(q, []).append((name, score))
+    queries, rows = spark.createDataFrame(asked, "query_id long, vector array<double>"), spark.createDataFrame(bank, "namespace string, vector array<double>")
+    collected = []
+    to_pandas = type(rows).toPandas
+    monkeypatch.setattr(type(rows), "toPandas", lambda df: collected.append(out := to_pandas(df)) or out)
+    for query_block, bank_block in ((1024, 50), (16, 50), (4, 50)):
+        monkeypatch.setattr(routing, "QUERY_BLOCK", query_block, raising=False)
+        monkeypatch.setattr(routing, "BANK_BLOCK", bank_block)
+        got = {}
+        for r in routing.nearest_namespaces(queries, rows, 3).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.namespace, r.score))
+        assert got == {q: hits[:3] for q, hits in want.items()}
+    assert max(map(len, collected)) <= 80
+
+
+def test_unit_vectors(spark):
+    from sparkquarry.functions import vectors
+
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [])], "id int, v array<float>")
+    assert [r.u for r in rows.select("id", vectors.unit(F.col("v")).alias("u")).orderBy("id").collect()] == [[0.6, 0.8], None, None, None]
+
+
 def test_field_weights_and_pushed_filters(spark):
     docs = spark.createDataFrame([(1, "alpha", "x", "beta"), (2, "x", "x", "alpha alpha"), (3, None, None, None)], "doc_id long, title string, section_path string, content string")
     asked = spark.createDataFrame([(7, "Alpha"), (8, "absent"), (9, None)], "query_id long, query string")
